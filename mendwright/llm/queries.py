@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import html_extract, secret_scan
+from mendwright.llm import byte_bpe, html_extract, secret_scan
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_secret_scan)}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_secret_scan, op5_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
