@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import byte_bpe, html_extract, lm_score, secret_scan
+from mendwright.llm import byte_bpe, html_extract, lm_score, quality_cnn, secret_scan
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_secret_scan, op5_byte_bpe, op10_lm_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_secret_scan, op5_byte_bpe, op9_quality_cnn, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {}
