@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import byte_bpe, html_extract, lm_score, quality_cnn, secret_scan
+from mendwright.llm import byte_bpe, html_extract, iblt, lm_score, quality_cnn, secret_scan
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_secret_scan, op5_byte_bpe, op9_quality_cnn, op10_lm_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op5_byte_bpe, op9_quality_cnn, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {}
