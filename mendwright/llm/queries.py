@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import byte_bpe, html_extract, iblt, jaccard_join, lm_score, quality_cnn, secret_scan
+from mendwright.llm import byte_bpe, decontaminate, html_extract, iblt, jaccard_join, lm_score, quality_cnn, secret_scan
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op5_byte_bpe, op7_jaccard_join, op9_quality_cnn, op10_lm_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op5_byte_bpe, op6_decontamination, op7_jaccard_join, op9_quality_cnn, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {}
