@@ -3,9 +3,10 @@
 The items are the indexed documents; every passage of every training text is a query. Passages are windows of
 words that overlap by half and are twice as long as the longest item, so that any occurrence of an item lies
 whole in one of them. Weights are BM25's, divided by the item's score for itself, so one threshold (``least``,
-a share of the full score) holds for all items. Bounds are used as in block-max WAND: a passage whose terms'
-largest weights don't add up to the threshold is skipped; of the rest, blocks of items whose block maxima don't
-reach it are skipped; in what remains scores are exact, and all items at or above the threshold are retrieved.
+a share of the full score) holds for all items. Bounds are used as in block-max WAND: terms so common that all of
+them together stay well below the threshold for every item can't select one, so only the others' postings are
+walked, and for a passage and a block of items their block maxima, with the most that the common terms can add,
+must reach the threshold. In what remains scores are exact, and all items at or above it are retrieved.
 Each retrieved item is then verified: its question (all but the last line or sentence) and its answer (that last
 one) must both recur in the passage, as shares of their word trigrams.
 
@@ -56,7 +57,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Bm25Index:
     """Postings of a block of items with weights relative to each item's own score, and maxima by term and by block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 16) -> None:
+    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, least: float = 0.5, block: int = 8) -> None:
         items = [(i, t) for i, t in items if t and words_of(t)]
         self.ids = [i for i, _ in items]
         split = [words_of(t) for _, t in items]
@@ -78,7 +79,6 @@ class Bm25Index:
         self.starts = np.cumsum([0] + [len(p) for p in postings])
         self.items = np.array([i for p in postings for i, _ in p], np.int64)
         self.weights = np.array([w for p in postings for _, w in p], np.float64)
-        self.top = np.array([max((w for _, w in p), default=0.0) for p in postings])
         n_blocks = -(-max(1, len(items)) // block)
         self.n_blocks = n_blocks
         maxima: list[dict[int, float]] = [{} for _ in postings]
@@ -88,6 +88,17 @@ class Bm25Index:
         self.block_starts = np.cumsum([0] + [len(m) for m in maxima])
         self.block_of = np.array([k for m in maxima for k in m], np.int64)
         self.block_top = np.array([w for m in maxima for w in m.values()], np.float64)
+        # common terms: as many of the most frequent as leave each item well below the threshold
+        light = np.zeros(len(items))
+        self.essential = np.ones(len(df) + 1, bool)
+        self.essential[0] = False
+        for t, _ in sorted(df.items(), key=lambda p: (-p[1], p[0])):
+            k = self.terms[t]
+            i, w = self.items[self.starts[k] : self.starts[k + 1]], self.weights[self.starts[k] : self.starts[k + 1]]
+            if (light[i] + w <= 0.6 * least).all():
+                light[i] += w
+                self.essential[k] = False
+        self.light = np.maximum.reduceat(light, np.arange(0, len(items), block)) if len(items) else np.zeros(1)
 
     def term_ids(self, text: str) -> np.ndarray:
         """The term (0 for others) of each word of the text. Pieces between white space that hold one word, most of them, are looked up as they are."""
@@ -112,8 +123,6 @@ class Bm25Index:
         """(item, score) of all items that reach ``least`` for the distinct terms of a passage."""
         terms = np.unique(terms)
         terms = terms[terms > 0]
-        if self.top[terms].sum() < least:
-            return []
         at = _runs(self.block_starts, terms)
         bound = np.bincount(self.block_of[at], weights=self.block_top[at], minlength=self.n_blocks)
         alive = bound >= least - 1e-9
@@ -124,6 +133,15 @@ class Bm25Index:
         scores = np.bincount(self.items[at], weights=self.weights[at])
         return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= least - 1e-9)]
 
+    def _bounds(self, ids: np.ndarray, step: int, windows: int) -> np.ndarray:
+        """For each window of two steps, the most that any item can score, over blocks of items."""
+        at = np.flatnonzero(self.essential[ids])
+        terms = ids[at]
+        runs = _runs(self.block_starts, terms)
+        half = np.repeat(at // step, self.block_starts[terms + 1] - self.block_starts[terms])
+        sums = np.bincount(half * self.n_blocks + self.block_of[runs], weights=self.block_top[runs], minlength=(windows + 1) * self.n_blocks).reshape(-1, self.n_blocks)
+        return (sums[:windows] + sums[1 : windows + 1] + self.light).max(1)
+
     def matches(self, text: str, least: float, question: float, answer: float) -> list[tuple[int, int, float, float, float]]:
         """(item_id, first word of the passage, score, question's and answer's share) of each verified item."""
         ids = self.term_ids(text) if self.ids else np.zeros(0, np.int64)
@@ -131,11 +149,10 @@ class Bm25Index:
         if not len(ids):
             return []
         step = max(32, self.longest)
-        sums = np.append(0, np.cumsum(self.top[ids]))
         begins = np.arange(0, max(1, len(ids) - step), step)
         ends = np.minimum(begins + 2 * step, len(ids))
         best: dict[int, tuple[float, int, float, float]] = {}
-        for k in np.flatnonzero(sums[ends] - sums[begins] >= least - 1e-9).tolist():
+        for k in np.flatnonzero(self._bounds(ids, step, len(begins)) >= least - 1e-9).tolist():
             a, b = int(begins[k]), int(ends[k])
             found = self.search(ids[a:b], least)
             if not found:
@@ -168,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     parts = []
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        index = Bm25Index([(r["item_id"], r["text"]) for r in rows])
+        index = Bm25Index([(r["item_id"], r["text"]) for r in rows], least=least)
         shared = own.sparkSession.sparkContext.broadcast(index)
 
         def work(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
