@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import byte_bpe, decontaminate, html_extract, iblt, jaccard_join, lm_score, quality_cnn, secret_scan
+from mendwright.llm import byte_bpe, decontaminate, html_extract, iblt, jaccard_join, language_id, lm_score, quality_cnn, secret_scan, token_counts
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +44,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on pages, whose markup and addresses speak too."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,5 +62,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op5_byte_bpe, op6_decontamination, op7_jaccard_join, op9_quality_cnn, op10_lm_score)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op4_token_counts, op5_byte_bpe, op6_decontamination, op7_jaccard_join, op8_language_id, op9_quality_cnn, op10_lm_score, language_id_pages)}
 ORACLE_SQL: dict[str, str] = {}

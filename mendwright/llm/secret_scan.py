@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mendwright.llm.common import blocks, texts_of
@@ -143,14 +144,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 def redact(docs: DataFrame, reach: int = 200) -> DataFrame:
     """``docs`` with their columns, the found spans masked in ``text`` and ``n_chars`` (where there is one) counted anew."""
-    names = docs.columns
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = [None if t is None else redacted(t, scan_text(t, reach)[1]) for t in frame["text"]]
-            frame = frame.assign(text=text)
-            if "n_chars" in names:
-                frame = frame.assign(n_chars=[len(t or "") for t in text])
-            yield frame[names]
-
-    return docs.mapInPandas(work, docs.schema)
+    counted = "n_chars" in docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [None if t is None else redacted(t, scan_text(t, reach)[1]) for t in batch.column("text").to_pylist()]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
+            if counted:
+                at = batch.schema.get_field_index("n_chars")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([len(t or "") for t in text], batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(work, docs.schema)
