@@ -1,11 +1,92 @@
-"""The corpus pipeline: stages applied one after another to ``documents``."""
+"""The corpus pipeline: five operators applied one after another to ``documents``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
+documents. Rows are known by a hash of doc_id and text, so repeated ids and null ids are told apart by text
+and equal rows share their fate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mendwright.llm import byte_bpe, decontaminate, jaccard_join, language_id, secret_scan
+from mendwright.llm.common import table, written
+
+#: Up to so many keys (of 8 bytes) are sent to all executors; more are joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``keys`` (one column, __key)."""
+    keys = written(keys.distinct())
+    if keys.count() <= MOST_SENT:
+        keys = F.broadcast(keys)
+    return _keyed(docs).join(keys, "__key", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is told with enough certainty."""
+    nothing = F.lit(None).cast("string")
+    found = language_id.identify(_keyed(docs), "__key", "text", F.col("lang"), F.col("source"), F.lit(""), nothing)
+    return _without(docs, found.where("rejected").select("__key"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class of near copies; of equal rows one."""
+    found = written(jaccard_join.classes(_keyed(docs), id_col="__key"))
+    # classes name a component by its smallest key; the one that stays is the row of the smallest doc_id
+    ids = _keyed(docs).select("__key", "doc_id")
+    members = found.select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids.groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "__key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("kept"))
+    judged = written(members.join(first, "component_id"))
+    left = _without(docs, judged.where("__key != kept").select("__key"))
+    again = judged.where("__key = kept and rows > 1").select("__key").distinct()
+    if again.isEmpty():
+        return left
+    repeated = _keyed(left).join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return _without(left, again).unionByName(repeated)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item's question and answer."""
+    leaks = decontaminate.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col="__key")
+    return _without(docs, leaks.select(F.col("doc_id").alias("__key")))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, its secrets masked."""
+    return secret_scan.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, as counts and digests, of each document."""
+    import public_tokenizers
+
+    return byte_bpe.encode(docs, public_tokenizers.path(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", mask_secrets),
+    ("byte-level BPE", encode),
+]
+
+#: Similarity joins, language models and BPE go beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each is written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs
