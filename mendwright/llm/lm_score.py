@@ -23,7 +23,6 @@ rows with one id are scored apart; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendwright.llm.common import blocks, byte_words, texts_of
+from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 #: Bits of a key: of words, and of longer n-grams.
 BITS = (60, 48, 48)
@@ -49,7 +49,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_HASHES) > 400_000:
+        if len(_HASHES) > 250_000:
             _HASHES.clear()
         for w in words:
             if w not in _HASHES:
@@ -90,41 +90,6 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.n
     return out
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Ascending distinct keys as differences of as many bytes as the largest needs."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    low = np.minimum(counts, 255).astype(np.uint8)
-    high = counts[counts >= 255].astype("<u8")
-    return zlib.compress(np.array([len(low)], "<u8").tobytes() + low.tobytes() + high.tobytes(), 1)
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, "<u8", 1)[0])
-    counts = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(raw, "<u8", offset=8 + n)
-    return counts
-
-
-def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's share of the ascending keys begins; buckets cut the key space evenly."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """(N, V): tokens and distinct tokens of the training documents, exactly."""
 
@@ -132,7 +97,7 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
         for frame in blocks(frames, 12_000_000):
             tokens, _ = _tokens(frame["text"].tolist())
             keys = np.unique(tokens)
-            cuts = _cuts(keys, BITS[0], buckets)
+            cuts = bucket_cuts(keys, BITS[0], buckets)
             yield pd.DataFrame([(b, pack(keys[i:j]), 0) for b, (i, j) in enumerate(pairwise(cuts)) if j > i] + [(0, pack(keys[:0]), len(tokens))], columns=["bucket", "keys", "n"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +127,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for n, (keys, at) in enumerate(_grams(tokens, sizes, order)):
             distinct, place = np.unique(keys, return_inverse=True)
             counts = np.bincount(place, weights=train[at], minlength=len(distinct)).astype(np.int64)
-            cuts = _cuts(distinct, BITS[n], buckets)
+            cuts = bucket_cuts(distinct, BITS[n], buckets)
             for b, (i, j) in enumerate(pairwise(cuts)):
                 filled[b] |= j > i
                 rows[b] += [pack(distinct[i:j]), pack_counts(counts[i:j])]
