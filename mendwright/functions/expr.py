@@ -63,9 +63,13 @@ def parse_date(x: Column) -> Column:
 
 
 def size_label(x: Column) -> Column:
-    """Bytes as MB, KB (one decimal) or B."""
-    one = lambda v: F.format_string("%.1f", v)
-    return F.when(x >= 1_000_000, F.concat(one(x / 1e6), F.lit(" MB"))).when(x >= 1_000, F.concat(one(x / 1e3), F.lit(" KB"))).otherwise(F.concat(x.cast("string"), F.lit(" B")))
+    """Bytes as MB, KB (one decimal, halves up) or B."""
+
+    def one(unit: int) -> Column:
+        tenths = F.floor((x + unit // 20) / F.lit(unit // 10))
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    return F.when(x >= 1_000_000, F.concat(one(1_000_000), F.lit(" MB"))).when(x >= 1_000, F.concat(one(1_000), F.lit(" KB"))).otherwise(F.concat(x.cast("string"), F.lit(" B")))
 
 
 def shortened(x: Column, most: int = 120) -> Column:
