@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import elapsed_days, iso_date
@@ -15,11 +15,21 @@ EXPIRY_AS_OF = "2001-10-15 12:00:00"
 LABELS = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Normal", "4-NOT SPECIFIED": "Other", "5-LOW": "Other"}
 LABEL_SQL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Normal' WHEN '4-NOT SPECIFIED' THEN 'Other' WHEN '5-LOW' THEN 'Other' ELSE o_orderpriority END"
 MONEY = "COALESCE(TRY_CAST(o_totalprice AS DECIMAL(12,2)), 0)"
-DATE = F.col("o_orderdate")
-NOW = F.lit(EXPIRY_AS_OF).cast("timestamp_ntz")
 
 
-def label():
+def _date() -> Column:
+    return F.col("o_orderdate")
+
+
+def _now() -> Column:
+    return F.lit(EXPIRY_AS_OF).cast("timestamp_ntz")
+
+
+def _ship() -> Column:
+    return F.col("l_shipdate")
+
+
+def label() -> Column:
     return spend.relabelled(F.col("o_orderpriority"), LABELS)
 
 
@@ -30,7 +40,7 @@ def total_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(COALESCE(SUM({MONEY}), 0) AS DOUBLE) AS month_total FROM orders WHERE date_trunc('month', o_orderdate) = DATE '2001-07-01'")
 def month_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spend.month_total(table(spark, sf_dir, "orders"), "o_totalprice", DATE, AS_OF)
+    return spend.month_total(table(spark, sf_dir, "orders"), "o_totalprice", _date(), AS_OF)
 
 
 def _series_sql(bound: str) -> str:
@@ -44,17 +54,17 @@ BOUNDED = _series_sql(f"<= TIMESTAMP '{AS_OF}'")
 
 @query(BOUNDED)
 def monthly_series_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spend.monthly_series(table(spark, sf_dir, "orders"), "o_totalprice", DATE, AS_OF)
+    return spend.monthly_series(table(spark, sf_dir, "orders"), "o_totalprice", _date(), AS_OF)
 
 
 @query(_series_sql("< DATE '2001-08-01'"))
 def monthly_series_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spend.monthly_series(table(spark, sf_dir, "orders"), "o_totalprice", DATE, AS_OF, until_now=False)
+    return spend.monthly_series(table(spark, sf_dir, "orders"), "o_totalprice", _date(), AS_OF, until_now=False)
 
 
 @query(f"SELECT ROUND(SUM(total) / 12, 4) AS average FROM ({BOUNDED})")
 def avg_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spend.monthly_average(table(spark, sf_dir, "orders"), "o_totalprice", DATE, AS_OF).select(F.round("average", 4).alias("average"))
+    return spend.monthly_average(table(spark, sf_dir, "orders"), "o_totalprice", _date(), AS_OF).select(F.round("average", 4).alias("average"))
 
 
 CATEGORY = f"SELECT {LABEL_SQL} AS category, CAST(SUM({MONEY}) AS DOUBLE) AS total, COUNT(*) AS records FROM orders GROUP BY 1"
@@ -78,7 +88,7 @@ def analytics_category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY COALESCE(o_orderdate, TIMESTAMP '1970-01-01') DESC, o_orderkey LIMIT 6")
 def recent_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    return spend.recent(orders, 6, DATE, DATE, "o_orderkey")
+    return spend.recent(orders, 6, _date(), _date(), "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -115,23 +125,22 @@ DIFF = f"date_diff('day', CAST(TIMESTAMP '{EXPIRY_AS_OF}' AS DATE), CAST(l_shipd
 CLASS = f"CASE WHEN l_shipdate IS NULL THEN 'none' WHEN {DIFF} < 0 THEN 'expired' WHEN {DIFF} <= 30 THEN 'expiring' ELSE 'valid' END"
 ELAPSED = f"CAST(floor((epoch_ms(l_shipdate) - epoch_ms(TIMESTAMP '{EXPIRY_AS_OF}')) / 86400000.0 + 0.5) AS BIGINT)"
 STATUS = f"CASE WHEN l_shipdate IS NULL THEN 'none' WHEN {ELAPSED} < 0 THEN 'expired' WHEN {ELAPSED} <= 30 THEN 'expiring' ELSE 'ok' END"
-SHIP = F.col("l_shipdate")
 
 
 @query(f"SELECT {CLASS} AS class, COUNT(*) AS n FROM lineitem GROUP BY 1")
 def expiry_class_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(expiry.calendar_class(SHIP, NOW).alias("class")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy(expiry.calendar_class(_ship(), _now()).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CASE WHEN l_shipdate IS NULL THEN '-' WHEN {DIFF} < 0 THEN 'Expired' ELSE 'OK' END AS pill, COUNT(*) AS n FROM lineitem GROUP BY 1")
 def expiry_pill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(expiry.pill(SHIP, NOW).alias("pill")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy(expiry.pill(_ship(), _now()).alias("pill")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {STATUS} AS status, MIN({ELAPSED}) AS low, MAX({ELAPSED}) AS high, COUNT(*) AS n FROM lineitem GROUP BY 1")
 def expiry_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = elapsed_days(SHIP, NOW)
-    return table(spark, sf_dir, "lineitem").groupBy(expiry.elapsed_class(SHIP, NOW).alias("status")).agg(F.min(d).alias("low"), F.max(d).alias("high"), F.count("*").alias("n"))
+    d = elapsed_days(_ship(), _now())
+    return table(spark, sf_dir, "lineitem").groupBy(expiry.elapsed_class(_ship(), _now()).alias("status")).agg(F.min(d).alias("low"), F.max(d).alias("high"), F.count("*").alias("n"))
 
 
 # Days from an order's date to the three dates that run out.
@@ -139,8 +148,8 @@ OFFSETS = {"insurance": 100, "roadtax": 80, "service": 60}
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = {k: (DATE + F.expr(f"interval {n} days")).alias(f"{k}_date") for k, n in OFFSETS.items()}
-    return table(spark, sf_dir, "orders").where(DATE >= F.lit("2001-06-01").cast("timestamp_ntz")).select("o_orderkey", "o_custkey", *days.values())
+    days = {k: (_date() + F.expr(f"interval {n} days")).alias(f"{k}_date") for k, n in OFFSETS.items()}
+    return table(spark, sf_dir, "orders").where(_date() >= F.lit("2001-06-01").cast("timestamp_ntz")).select("o_orderkey", "o_custkey", *days.values())
 
 
 RECORDS = "(SELECT o_orderkey, o_custkey, " + ", ".join(f"o_orderdate + INTERVAL {n} DAY AS {k}_date" for k, n in OFFSETS.items()) + " FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01') r"
@@ -157,7 +166,7 @@ DASHBOARD = " UNION ALL ".join(
 
 
 def _dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expiry.dashboard_alerts(_records(spark, sf_dir), "o_orderkey", {k: f"{k}_date" for k in OFFSETS}, NOW)
+    return expiry.dashboard_alerts(_records(spark, sf_dir), "o_orderkey", {k: f"{k}_date" for k in OFFSETS}, _now())
 
 
 @query(DASHBOARD)
@@ -187,7 +196,7 @@ SMART = " UNION ALL ".join(
 
 
 def _smart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expiry.smart_alerts(_records(spark, sf_dir), "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), {k: f"{k}_date" for k in OFFSETS}, NOW, TIP)
+    return expiry.smart_alerts(_records(spark, sf_dir), "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), {k: f"{k}_date" for k in OFFSETS}, _now(), TIP)
 
 
 @query(SMART)
@@ -205,20 +214,20 @@ DISMISSED = f"(SELECT 'insurance-' || o_orderkey || '-' || strftime(insurance_da
 
 
 def _dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    until = (NOW.cast("timestamp") + F.make_dt_interval((F.col("o_orderkey") % 9 - 4).cast("int"))).cast("timestamp_ntz")
+    until = (_now().cast("timestamp") + F.make_dt_interval((F.col("o_orderkey") % 9 - 4).cast("int"))).cast("timestamp_ntz")
     own = _records(spark, sf_dir).where("o_orderkey % 3 = 0")
     return own.select(F.concat_ws("-", F.lit("insurance"), F.col("o_orderkey").cast("string"), iso_date(F.col("insurance_date"))).alias("id"), until.alias("until"))
 
 
 @query(f"SELECT * FROM ({SMART}) a WHERE NOT EXISTS (SELECT 1 FROM {DISMISSED} d WHERE d.id = a.id AND d.until > TIMESTAMP '{EXPIRY_AS_OF}')")
 def alerts_after_dismiss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expiry.not_dismissed(_smart(spark, sf_dir), _dismissed(spark, sf_dir), NOW)
+    return expiry.not_dismissed(_smart(spark, sf_dir), _dismissed(spark, sf_dir), _now())
 
 
 @query(f"""WITH d AS (SELECT * FROM {DISMISSED}), n AS (SELECT DISTINCT id FROM ({SMART}) WHERE priority = 'high')
     SELECT id, until FROM d WHERE until > TIMESTAMP '{EXPIRY_AS_OF}' AND id NOT IN (SELECT id FROM n) UNION ALL SELECT id, TIMESTAMP '{EXPIRY_AS_OF}' + INTERVAL 7 DAY FROM n""")
 def dismissals_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expiry.dismiss(_dismissed(spark, sf_dir), _smart(spark, sf_dir).where("priority = 'high'").select("id"), NOW)
+    return expiry.dismiss(_dismissed(spark, sf_dir), _smart(spark, sf_dir).where("priority = 'high'").select("id"), _now())
 
 
 @query(f"SELECT CAST(count_if(priority = 'high') AS BIGINT) AS high, CAST(count_if(priority = 'medium') AS BIGINT) AS medium, CAST(count_if(priority = 'low') AS BIGINT) AS low, COUNT(*) AS total, CAST(count_if(priority IN ('high', 'medium')) AS BIGINT) AS actions FROM ({SMART})")
@@ -233,8 +242,8 @@ def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     parts = [
         table(spark, sf_dir, "customer").agg(F.count("*").alias("records")),
-        spend.month_total(orders, "o_totalprice", DATE, AS_OF),
-        spend.monthly_average(orders, "o_totalprice", DATE, AS_OF).select(F.round("average", 4).alias("average")),
+        spend.month_total(orders, "o_totalprice", _date(), AS_OF),
+        spend.monthly_average(orders, "o_totalprice", _date(), AS_OF).select(F.round("average", 4).alias("average")),
         _dashboard(spark, sf_dir).agg(F.count_if(F.col("status") == "expired").alias("high"), F.count_if(F.col("status") == "expiring").alias("medium")),
     ]
     out = parts[0].withColumn("one", F.lit(1))
