@@ -145,3 +145,14 @@ def comprehensive(users: DataFrame, master: DataFrame, threshold: float = 0.7, s
 def correction_rate(corrected: DataFrame) -> DataFrame:
     n = F.count_if(F.size("corrections") > 0)
     return corrected.agg(F.count("*").alias("total"), n.alias("corrected"), F.coalesce(F.try_divide(n.cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def extract_one(inputs: DataFrame, master: DataFrame, threshold: int = 70) -> DataFrame:
+    """(input, candidate, score): each input's best candidate with a score of 0 to 100 at or above the threshold, ties to the first candidate.
+
+    The score is the gestalt ratio times 100, which stands in for a weighted ratio of a library that isn't at hand.
+    """
+    pairs = candidate_pairs(inputs, master, threshold / 100)
+    scored = pairs.withColumn("score", F.round(gestalt(F.col("input"), F.col("candidate")) * 100).cast("int")).where(F.col("score") >= threshold)
+    best = scored.groupBy("input").agg(F.max_by(F.struct("candidate", "score"), F.struct(F.col("score"), -F.col("position"))).alias("b"))
+    return best.select("input", "b.candidate", "b.score")

@@ -182,3 +182,29 @@ def model_comparison_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def framework_corrector(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'toyot' WHEN 1 THEN 'hond' WHEN 2 THEN 'civicy' WHEN 3 THEN 'camr' ELSE p_name END")
     return table(spark, sf_dir, "part").select("p_partkey", cascade.framework_corrector(t).alias("c")).select("p_partkey", "c.corrected", "c.confidence")
+
+
+@query()
+def extract_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.extract_one(_inputs(spark, sf_dir), _names(spark, sf_dir))
+
+
+@query()
+def rule_corrector_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule corrector over all faulty names: accuracy, coverage and their product."""
+    truth = table(spark, sf_dir, "part").select(F.expr(FAULTY).alias("input"), F.col("p_name").alias("actual"))
+    found = similarity.extract_one(_inputs(spark, sf_dir), _names(spark, sf_dir)).withColumnRenamed("candidate", "predicted")
+    return cascade.accuracy(truth.join(found, "input", "left"), "predicted", "actual")
+
+
+@query("SELECT p_partkey, COALESCE(CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 2 = 0 THEN p_type END, p_name) AS first_available FROM part")
+def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first corrector that has an answer."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.when(key % 3 == 0, F.col("p_brand")), F.when(key % 2 == 0, F.col("p_type")), F.col("p_name")).alias("first_available"))
+
+
+@query(f"SELECT input, candidate FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY confidence DESC, candidate DESC) AS k FROM (SELECT input, candidate, 1 - levenshtein(input, candidate) / CAST(greatest(length(input), length(candidate), 1) AS DOUBLE) AS confidence FROM {INPUTS}, {NAMES} WHERE {BOUND.format(0.6)}) WHERE confidence >= 0.6) WHERE k = 1 AND confidence >= 0.8")
+def best_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.suggestions(_inputs(spark, sf_dir), _names(spark, sf_dir), score=similarity.levenshtein_score, reverse=False)
+    return found.where("rank = 1 and confidence >= 0.8").select("input", "candidate")

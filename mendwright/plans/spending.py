@@ -250,3 +250,10 @@ def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.join(p.withColumn("one", F.lit(1)), "one")
     return out.drop("one")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def event_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's daily counts over a table."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
