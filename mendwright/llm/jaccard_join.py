@@ -38,6 +38,8 @@ from mendwright.llm.common import blocks, byte_words, texts_of, written
 from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
+#: Edges that one task may join to components; some 100 bytes each.
+ONE_TASK = 2_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _HASHES: dict[bytes, int] = {}
 
@@ -177,12 +179,36 @@ def links(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable; alternating large and small stars, until nothing changes."""
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, comp) for the edges (u, v) of one task, by union and find."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+    nodes = list(above)
+    yield pd.DataFrame({"node": np.array(nodes, np.int64), "comp": np.array([top(x) for x in nodes], np.int64)})
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, comp): comp is the smallest node reachable.
+
+    Up to ``one_task`` edges (their number is checked) go through one executor task; more, through alternating large
+    and small stars until nothing changes. The result is the same.
+    """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     state = e.agg(mark).first()[0]
-    while state[0]:
+    if state[0] <= one_task:
+        return written(e.coalesce(1).mapInPandas(_forest, "node long, comp long"))
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -203,6 +229,9 @@ def _near_in_size(a: Column, b: Column, percent: int) -> Column:
 def node_components(kept: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """(node, comp) of the nodes that link with another."""
     posts = kept.select("node", "n", F.explode("keys").alias("key"))
+    # keys with the same nodes say the same: one of them is enough
+    group = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
+    posts = written(posts.join(group.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
     found = comps = None
     for r in range(rounds):
         own = posts.withColumn("comp", F.col("node")) if comps is None else posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
