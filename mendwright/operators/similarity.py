@@ -85,13 +85,17 @@ def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold:
     norm = lambda c: years.normalized_text(F.col(c))
     u = users.select("*", norm("brand").alias("nb"), norm("model").alias("nm"), years.match_year(F.col("year").cast("string")).alias("ny"))
     m = master.select(F.col("brand").alias("mb"), F.col("model").alias("mm"), "year_start", "year_end", "position", *[(norm(c) if normalize_master else F.col(c)).alias(a) for c, a in (("brand", "cb"), ("model", "cm"))])
-    side = lambda a, b, name: score(F.col(a), F.col(b)).alias(name)
-    # distinct values meet distinct candidates
-    brands = u.select("nb").distinct().join(F.broadcast(m.select("cb").distinct()), F.lit(True)).select("nb", "cb", side("nb", "cb", "sb")).where("sb > 0")
-    models = u.select("nm").distinct().join(F.broadcast(m.select("cm").distinct()), F.lit(True)).select("nm", "cm", side("nm", "cm", "sm")).where("sm > 0")
     wb, wm, wy = WEIGHTS
-    # without the year a match needs (threshold - wy) of brand and model
-    texts = u.select("nb", "nm").distinct().join(brands, "nb").join(F.broadcast(m), "cb").join(models, ["nm", "cm"]).where(wb * F.col("sb") + wm * F.col("sm") >= threshold - wy - 1e-9)
+    # without the year a match needs (threshold - wy) of brand and model, so neither may be below this
+    least = max(0.0, min((threshold - wy - wm) / wb, (threshold - wy - wb) / wm)) - 1e-9
+
+    def scored_pairs(mine: str, theirs: str, name: str) -> DataFrame:
+        """Distinct values meet distinct candidates."""
+        pairs = candidate_pairs(u.select(F.col(mine).alias("input")).distinct(), m.select(F.col(theirs).alias("candidate")).distinct().withColumn("position", F.lit(0)), max(least, 0.0))
+        return pairs.select(F.col("input").alias(mine), F.col("candidate").alias(theirs), score(F.col("input"), F.col("candidate")).alias(name)).where(F.col(name) >= least)
+
+    brands, models = scored_pairs("nb", "cb", "sb"), scored_pairs("nm", "cm", "sm")
+    texts = u.select("nb", "nm").distinct().join(brands, "nb").join(m, "cb").join(models, ["nm", "cm"]).where(wb * F.col("sb") + wm * F.col("sm") >= threshold - wy - 1e-9)
     both = u.join(texts, ["nb", "nm"])
     inside = F.coalesce(F.col("ny").between(F.col("year_start"), F.col("year_end")), F.lit(False))
     scored = both.withColumn("score", wb * F.col("sb") + wm * F.col("sm") + F.when(inside, wy).otherwise(0.0)).where(F.col("score") >= threshold)
