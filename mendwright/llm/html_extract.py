@@ -45,8 +45,8 @@ SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _noisy(tag: str, attributes: str) -> bool:
-    """Is this element marked as something around the article?"""
+def _noisy(tag: str, attributes: str, names: bool = True) -> bool:
+    """Is this element marked as something around the article, by its tag or, with ``names``, by its class, id or role?"""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "article", "main") or tag in INLINE and tag not in ("span", "a"):
@@ -55,12 +55,12 @@ def _noisy(tag: str, attributes: str) -> bool:
         name, value = (m[1] or m[3] or "").lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and any(p.lower() in NOISE for p in NAME_PART.findall(value)):
+        if names and name in ("class", "id", "role") and any(p.lower() in NOISE for p in NAME_PART.findall(value)):
             return True
     return False
 
 
-def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+def page_blocks(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters of it in links) of each text block in page order, without dropped elements."""
     stack: list[tuple[str, bool]] = []  # tag, noisy
     out, parts, links = [], [], 0
@@ -155,7 +155,7 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in INLINE:
             if tag == "img":
                 continue
-            bad = _noisy(tag, attributes)
+            bad = _noisy(tag, attributes, names)
             stack.append((tag, bad))
             noisy += bad
             in_link += tag == "a"
@@ -183,7 +183,7 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if stack[k][0] not in INLINE:
                 pop(k + 1)
                 break
-        bad = tag == "header" and not any(t in ("article", "main") for t, _ in stack) or _noisy(tag, attributes)
+        bad = tag == "header" and not any(t in ("article", "main") for t, _ in stack) or _noisy(tag, attributes, names)
         stack.append((tag, bad))
         noisy += bad
         path = (*path, tag)
@@ -223,7 +223,7 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
     """
     if not page:
         return ""
-    found = page_blocks(page)
+    found = page_blocks(page) or page_blocks(page, names=False)  # a page that lies in one oddly named element
     if not found:
         return ""
     scores = path_scores(found)

@@ -43,6 +43,10 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_oddly_named_page():
+    assert html_extract.main_text("<body><div class='with-sidebar'><p>All, of it.</p></div></body>") == "All, of it."
+
+
 def test_extract_query(spark):
     rows = queries.op1_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
