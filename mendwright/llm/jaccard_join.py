@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwright.llm.common import blocks, byte_words, texts_of, written
+from mendwright.llm.common import blocks, byte_words, texts_of, trim, written
 from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
@@ -48,7 +48,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_HASHES) > 250_000:
+        if len(_HASHES) > 120_000:
             _HASHES.clear()
         for w in words:
             if w not in _HASHES:
@@ -128,6 +128,7 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
         if not len(wanted) or not len(frame):
             return pd.DataFrame(columns=columns)
         keys, _, counts = distinct_keys(own_sets(frame, wanted["node"].to_numpy()))
+        trim()
         cuts = bucket_cuts(keys, KEY_BITS, buckets)
         number = int(frame["chunk"].iloc[0])
         return pd.DataFrame([(number, b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(pairwise(cuts)) if j > i], columns=columns)
@@ -140,6 +141,7 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
         return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "totals": [pack_counts(p) for p in parts], "node": np.zeros(len(frame), np.int64)})  # no nulls: pandas would make floats of them
 
     def choose(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        trim()
         columns = ["node", "n", "keys", "segments", *(f"p{k}" for k in range(PARITY_WORDS))]
         wanted = told[told["bucket"] < 0]
         if not len(wanted) or not len(frame):
@@ -226,23 +228,36 @@ def _near_in_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def node_components(kept: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _with_comp(df: DataFrame, comps: DataFrame | None, node: str = "node", comp: str = "comp") -> DataFrame:
+    if comps is None:
+        return df.withColumn(comp, F.col(node))
+    return df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
+
+
+def node_components(kept: DataFrame, percent: int, rounds: int = 2, centers: int = 4) -> DataFrame:
     """(node, comp) of the nodes that link with another."""
     posts = kept.select("node", "n", F.explode("keys").alias("key"))
     # keys with the same nodes say the same: one of them is enough
     group = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
     posts = written(posts.join(group.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
     found = comps = None
+    # rounds: a node is held against a few other ones, which stand for its groups in other components
     for r in range(rounds):
-        own = posts.withColumn("comp", F.col("node")) if comps is None else posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        turn = F.xxhash64("node", F.lit(r)) if r else F.col("node")
-        center = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("node", "n", "comp"), turn).alias("c")).where("low != high").select("key", "c")
-        pairs = own.join(center, "key").where((F.col("comp") != F.col("c.comp")) & _near_in_size(F.col("n"), F.col("c.n"), percent))
-        pairs = pairs.groupBy(F.col("node").alias("b")).agg(F.min_by("c.node", F.xxhash64("c.node", F.lit(r))).alias("a")).select("a", "b")
+        own = _with_comp(posts, comps)
+        turns = [F.xxhash64("node", F.lit(r * centers + j)) for j in range(centers)]
+        center = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min_by(F.struct("node", "n", "comp"), t).alias(f"c{j}") for j, t in enumerate(turns)])
+        met = own.join(center.where("low != high").drop("low", "high"), "key")
+        picks = []
+        for j in range(centers):
+            other = F.col(f"c{j}.node")
+            ok = (F.col("comp") != F.col(f"c{j}.comp")) & _near_in_size(F.col("n"), F.col(f"c{j}.n"), percent)
+            picks.append(F.min_by(F.when(ok, other), F.when(ok, F.xxhash64(other, F.lit(r * centers + j)))))
+        pairs = met.groupBy(F.col("node").alias("b")).agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("a")).select(F.explode("a").alias("a"), "b")
         new = links(pairs, kept, percent)
         found = written(new if found is None else found.unionByName(new))
         comps = components(found)
-    own = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # what is left between components, behind exact filters
+    own = _with_comp(posts, comps)
     mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     left = written(own.join(mixed, "key").join(kept.select("node", *(f"p{k}" for k in range(PARITY_WORDS))), "node"))
     x, y = left.alias("x"), left.alias("y")
@@ -250,11 +265,24 @@ def node_components(kept: DataFrame, percent: int, rounds: int = 3) -> DataFrame
     # |A - B| + |B - A| <= (|A| + |B|) * (1 - t) / (1 + t)
     near = differing * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near_in_size(F.col("x.n"), F.col("y.n"), percent) & near)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return components(written(found.unionByName(links(rest, kept, percent))))
+    rest = written(rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min(differing).alias("d")))
+    # first the likeliest pair of each two components, then all that still stand apart
+    for last in (False, False, True):
+        apart = _with_comp(_with_comp(rest, comps, "a", "ca"), comps, "b", "cb").where("ca != cb")
+        if last:
+            pairs = apart.select("a", "b")
+        else:
+            best = apart.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p"))
+            pairs = best.select("p.a", "p.b")
+        pairs = written(pairs)
+        if pairs.isEmpty():
+            break
+        found = written(found.unionByName(links(pairs, kept, percent)))
+        comps = components(found)
+    return comps
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 3000) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 1500) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     own = texts_of(docs, id_col, text_col)
     sets = written(set_table(own, size))
