@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -9,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,15 @@ def blocks(frames: Iterator[pd.DataFrame], most_chars: int = 4_000_000) -> Itera
         for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
             if b > a:
                 yield frame.iloc[a:b]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, since a worker process outlives its tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sha256_hex(data: bytes) -> str:

@@ -105,7 +105,7 @@ class Bm25Index:
         known, pieces = self.known, text.lower().split()
         ids = list(map(known.get, pieces))
         if None in ids:
-            if len(known) > 300_000:
+            if len(known) > 120_000:
                 known.clear()
             for k, piece in enumerate(pieces):
                 if ids[k] is None:

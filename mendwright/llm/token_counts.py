@@ -45,7 +45,7 @@ def load_scores(path: str) -> dict[str, float]:
 class TrieCounter:
     """Token counts and scores of pre-tokens; terminal values are kept up to ``most_kept``."""
 
-    def __init__(self, scores: dict[str, float], most_kept: int = 500_000) -> None:
+    def __init__(self, scores: dict[str, float], most_kept: int = 300_000) -> None:
         self.scores, self.most_kept = scores, most_kept
         # pieces by last character, with their lengths: those that can end at a node
         self.longest = max(map(len, scores), default=1)
