@@ -25,7 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from mendwright.llm.common import texts_of, trim
+from mendwright.llm.common import blocks, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NO_ID = 65535
@@ -263,21 +263,13 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return _KEPT[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_chars: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_chars: int = 6_000_000) -> DataFrame:
     """One row per document: n_tokens, digests of the ids and of their decoding; ``with_ids`` adds the ids themselves."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path, pattern)
-        held, chars = [], 0
-        for frame in frames:  # batches are small, so that they can be gathered to blocks of even size
-            held.append(frame)
-            chars += int(frame["text"].str.len().sum())
-            if chars >= most_chars:
-                yield from done(own, pd.concat(held))
-                held, chars = [], 0
-        if held:
-            yield from done(own, pd.concat(held))
-        trim()
+        for frame in blocks(frames, most_chars):
+            yield from done(own, frame)
 
     def done(own: ByteBPE, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         rows = []
