@@ -1,9 +1,9 @@
 """String similarity, fuzzy matching to a master table, and error classes.
 
 A pair is scored once for each distinct value: distinct inputs meet distinct candidates, and results join back.
-Candidates are a master table. Its size is checked: up to ``most_sent`` rows it is sent to every executor;
-beyond that candidates are met by an equi-join on shared character bigrams (values of one or two characters meet
-each other alone).
+Candidates are a master table. Its size is checked: up to ``MOST_SENT`` rows it is sent to every executor; a larger
+one is dealt into blocks of about that many rows, and each partition of inputs meets each block in a task of its own.
+Both ways meet every pair within the length bound, so the size decides where pairs meet, not which.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwright.functions.expr import char_ngrams
 from mendwright.operators import rules, years
 
 MOST_SENT = 100_000
@@ -43,13 +42,11 @@ def levenshtein_score(a: Column, b: Column) -> Column:
 def candidate_pairs(inputs: DataFrame, master: DataFrame, cutoff: float) -> DataFrame:
     """(input, candidate, position) pairs that pass the length bound. inputs: (input); master: (candidate, position)."""
     near = could_reach(F.col("input"), F.col("candidate"), cutoff)
-    if master.count() <= MOST_SENT:
+    n = master.count()
+    if n <= MOST_SENT:
         return inputs.join(F.broadcast(master), near)
-
-    def grams(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("g", F.explode(F.array_distinct(F.when(F.length(c) < 3, F.array(F.lit(""))).otherwise(char_ngrams(F.col(c), 2, 2)))))
-
-    return grams(inputs, "input").join(grams(master, "candidate"), "g").where(near).select("input", "candidate", "position").distinct()
+    dealt = master.repartition(-(-n // max(1, MOST_SENT)), "candidate")
+    return inputs.join(dealt.hint("shuffle_replicate_nl"), near)
 
 
 def suggestions(inputs: DataFrame, master: DataFrame, n: int = 3, cutoff: float = 0.6, score=gestalt, reverse: bool = True) -> DataFrame:

@@ -69,6 +69,25 @@ def test_comprehensive_on_empty_master(spark):
     assert (r["brand"], r["model"], r["year"]) == ("toyot", None, "2025") and len(r["corrections"]) == 1
 
 
+def test_large_masters_lose_no_pair(spark, monkeypatch):
+    inputs = spark.createDataFrame([(x,) for x in ("abcde", "ab", "", "q", "toyota")], "input string")
+    names = ("axcxe", "abc", "", "q", "qq", "toyta", "zzzzzzzzzzzz", "edcba")
+    master = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "candidate string, position int")
+    cars = spark.createDataFrame([("ab", "civic", 2000, 2025, 0), ("honda", "cxvxc", 2000, 2025, 1)], "brand string, model string, year_start int, year_end int, position int")
+    users = spark.createDataFrame([(1, "abc", "civic", "2010"), (2, "honda", "civic", "2010")], "key int, brand string, model string, year string")
+
+    def results():
+        pairs = similarity.candidate_pairs(inputs, master, 0.6)
+        assert "CartesianProduct" in pairs._jdf.queryExecution().toString() or similarity.MOST_SENT
+        forms = (pairs, similarity.suggestions(inputs, master), similarity.suggestions(inputs, master, score=similarity.levenshtein_score, reverse=False), similarity.extract_one(inputs, master), similarity.best_matches(users, cars).select("key", "match"))
+        return [sorted(map(str, f.collect())) for f in forms]
+
+    sent = results()
+    assert any("axcxe" in r for r in sent[2]) and any("'ab'" in r and "'abc'" in r for r in sent[1])
+    monkeypatch.setattr(similarity, "MOST_SENT", 0)
+    assert results() == sent
+
+
 def test_expiry_bounds(spark):
     now = F.lit("2024-05-10 12:00:00").cast("timestamp_ntz")
     days = {"2024-05-09": ("expired", "expired"), "2024-05-10": ("expiring", "expiring"), "2024-06-09": ("expiring", "expiring"), "2024-06-10": ("valid", "ok")}
