@@ -13,10 +13,12 @@ For each row the posterior of a language is proportional to
   P(l | host) = (n(host, l) + k * P(l | site)) / (n(host) + k), and so on up to the uniform distribution. The
   counts are those of the text's likeliest language. They are joined, not collected, and carry hosts, not rows.
 
-The text model learns from at most ``train_rows`` rows with a declared language (lowest id hash, texts of at most
-``train_chars`` characters); everything else covers all rows and whole texts.
+The languages are all that any row with a text declares. The text model learns from a bounded number of rows of each
+(lowest id hash; ``train_rows`` shared out evenly, 100 to 1,000 a language) and the first ``train_chars`` characters of
+their texts; everything else covers all rows and whole texts.
 
-A row is rejected if its text has no letters or its best posterior is below ``sure``.
+A row is rejected if its text has no letters, if its best posterior is below ``sure``, or if no language fits: equally
+likely trigrams explain the text better than the likeliest language does, as for texts in a language nobody declares.
 
 Defined cases: null and empty texts have a flat likelihood (other evidence decides) and are rejected; without
 any declared language there is the one language ``und``; ties go to the first code; extra columns are ignored.
@@ -29,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwright.llm.common import blocks, written
 
 PLACES = 1 << 15
+#: Log probability of a trigram if all places are equally likely, less what 32-bit numbers may err.
+UNIFORM = -np.log(PLACES) - 1e-3
 LETTER = re.compile(r"[^\W\d_]")
 #: Country domains by the language that they mostly stand for.
 DOMAIN_LANGUAGE = {"at": "de", "br": "pt", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pt": "pt", "uk": "en", "us": "en"}
@@ -56,29 +60,43 @@ class TextModel:
         self.languages, self.log_p = languages, log_p
 
     @classmethod
-    def train(cls, rows: list[tuple[str, str]]) -> TextModel:
-        sums: dict[str, np.ndarray] = {}
-        for lang, text in rows:
-            c = np.minimum(trigram_counts(text), 50)
-            sums[lang] = sums[lang] + c if lang in sums else c.astype(np.float64)
+    def of_counts(cls, sums: dict[str, np.ndarray]) -> TextModel:
         languages = sorted(sums) or ["und"]
         counts = np.array([sums.get(x, np.zeros(PLACES)) for x in languages]) + 0.1
         return cls(languages, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
 
-    def log_likelihood(self, text: str, strength: float) -> np.ndarray:
+    def read(self, text: str, strength: float) -> tuple[np.ndarray, bool]:
+        """Log-likelihood of each language, and whether the likeliest explains the text as well as equally likely trigrams."""
         c = trigram_counts(text) if text else np.zeros(PLACES)
         at = np.flatnonzero(c)
         n = c.sum()
-        return c[at] @ self.log_p[at] * (min(n, strength) / n) if n else np.zeros(len(self.languages))
+        if not n:
+            return np.zeros(len(self.languages)), True
+        ll = c[at] @ self.log_p[at]
+        return ll * (min(n, strength) / n), bool(ll.max() / n >= UNIFORM)
 
 
 def fit(rows: DataFrame, train_rows: int = 1500, train_chars: int = 30_000) -> TextModel:
     """rows: (id, text, declared)."""
-    own = rows.where(F.col("declared").isNotNull() & (F.length("text") <= train_chars) & (F.length("text") > 0))
+    own = rows.where(F.col("declared").isNotNull() & (F.length("text") > 0)).select("id", "declared", F.substring("text", 1, train_chars).alias("text"))
+    languages = own.select("declared").distinct().count()
+    each = min(max(-(-train_rows // max(1, languages)), 100), 1000)  # up to 1,000 the ranks are cut before the shuffle
+
+    def lowest(df: DataFrame, *then: str) -> DataFrame:
+        order = Window.partitionBy("declared").orderBy(F.xxhash64("id"), "id", *then)
+        return df.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(PLACES)
+        for text in frame["text"]:
+            total += np.minimum(trigram_counts(text), 50)
+        return pd.DataFrame({"declared": frame["declared"].iloc[:1], "sums": [total.astype("<f8").tobytes()]})
+
     # ids first, so that the sort carries no texts
-    picked = own.select("id", "declared").orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    texts = own.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(train_rows)
-    return TextModel.train([(r["declared"], r["text"]) for r in texts.select("declared", "text").collect()])
+    picked = lowest(own.select("id", "declared")).distinct().select(F.col("id").alias("i"), F.col("declared").alias("d"))
+    texts = own.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("declared") == F.col("d")), "left_semi")
+    sums = lowest(texts, "text").groupBy("declared").applyInPandas(summed, "declared string, sums binary").collect()
+    return TextModel.of_counts({r["declared"]: np.frombuffer(r["sums"], "<f8") for r in sums})
 
 
 def _smoothed(counts: DataFrame, keys: list[str], above: Column | None, table: DataFrame | None, k: float) -> DataFrame:
@@ -102,11 +120,11 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, host:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames):
-            found = [model.log_likelihood(t, strength) for t in frame["text"]]
-            yield frame.drop(columns="text").assign(ll=found, best=[int(np.argmax(x)) for x in found], letters=[LETTER.search(t) is not None for t in frame["text"]])
+            found = [model.read(t, strength) for t in frame["text"]]
+            yield frame.drop(columns="text").assign(ll=[x for x, _ in found], best=[int(np.argmax(x)) for x, _ in found], letters=[LETTER.search(t) is not None for t in frame["text"]], fits=[f for _, f in found])
 
     kind = rows.schema["id"].dataType.simpleString()
-    told = written(rows.mapInPandas(work, f"id {kind}, declared string, host string, site string, suffix string, ll array<double>, best int, letters boolean"))
+    told = written(rows.mapInPandas(work, f"id {kind}, declared string, host string, site string, suffix string, ll array<double>, best int, letters boolean, fits boolean"))
     counted = F.array(*[F.count_if((F.col("best") == k) & F.col("letters")).cast("double") for k in range(n)]).alias("c")
     overall = told.agg(counted).first()["c"]  # a number for each language
     everywhere = F.array(*[F.lit((c + 1.0 / n) / (sum(overall) + 1.0)) for c in overall])
@@ -129,7 +147,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, host:
     posterior = 1 / F.aggregate(F.col("post"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("high")))
     return fused.select(
         F.col("id").alias(id_col), F.element_at(names, F.array_position("post", F.col("high")).cast("int")).alias("language"), posterior.alias("posterior"),
-        F.element_at(names, F.col("best") + 1).alias("text_language"), "declared", (~F.col("letters") | (posterior < sure)).alias("rejected"),
+        F.element_at(names, F.col("best") + 1).alias("text_language"), "declared", (~F.col("letters") | ~F.col("fits") | (posterior < sure)).alias("rejected"),
     )
 
 

@@ -226,6 +226,16 @@ def test_languages_odd(spark):
     assert language_id.identify_documents(docs.limit(0)).count() == 0
 
 
+def test_rare_and_unknown_languages(spark):
+    en, fi = "the cat and the dog are in the house with the other one ", "kissa ja koira ovat talossa toisen kanssa eikä kukaan tiedä "
+    rows = [(k, en * 3, "en", "a.x") for k in range(2000)] + [(5000, fi * 700, "fi", "a.x"), (5001, fi * 700, None, "b.y")]
+    rows += [(6000, "обычное предложение на русском языке, которое стоит здесь " * 3, None, "a.x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.fit(docs.selectExpr("doc_id as id", "text", "lang as declared"), train_rows=4).languages == ["en", "fi"]
+    got = {r["doc_id"]: (r["language"], r["rejected"]) for r in language_id.identify_documents(docs).collect()}
+    assert got[5000] == got[5001] == ("fi", False) and got[1] == ("en", False) and got[6000][1]
+
+
 # quality
 
 
