@@ -4,12 +4,14 @@ Three base kinds are found by pattern, each leftmost and non-overlapping: ``assi
 and a value of 12 or more characters), ``access`` (``AKIA...``, 18 or more) and ``hex`` (16 or more of 0-9a-f).
 Beside them stand weak candidates: identifiers (user, login, client id, account), short secrets (password,
 passphrase, pwd, pin and key values, long base64 words) and endpoints (URLs and hosts with ports). A weak
-candidate alone says nothing. Within each scope (a run of text without a blank line) the parts' intervals,
-widened by ``reach`` characters, are joined; a weak candidate is reported only if a secret, an identifier and,
-where both of these are weak, an endpoint too overlap it. Base spans always stay.
+candidate alone says nothing. The parts of each scope (a run of text without a blank line) are joined; a weak
+candidate is reported only if its scope holds a secret, an identifier and, where both of these are weak, an
+endpoint too. ``scan`` and ``redact`` join whole scopes; with a ``reach`` only parts that lie within so many
+characters of each other meet. Base spans always stay.
 
 Defined cases: null and empty texts have no spans; equal spans of one kind count once; rows are independent,
-so repeated rows repeat their result; extra columns are ignored. The join is a sweep over sorted intervals.
+so repeated rows repeat their result; extra columns are ignored. Whole scopes take one pass over the parts, a
+``reach`` a sweep over sorted intervals.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
-    """The weak candidates whose complementary parts co-occur within their scope and ``reach`` characters."""
+def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[Span]:
+    """The weak candidates whose complementary parts co-occur within their scope (and ``reach`` characters, unless None)."""
     weak = [("short_secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text)] if "=" in text or ":" in text or "/" in text or base else []
     if not base and not weak:  # no secret of any kind, so nothing can be linked
         return []
@@ -65,44 +67,47 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         return []
     fences = [m.start() for m in BLANK_LINE.finditer(text)]
     parts = sorted([*base, *weak], key=_order)
+    if reach is None:
+        met: dict[int, set[str]] = {}
+        for kind, a, _ in parts:
+            met.setdefault(bisect_left(fences, a), set()).add(kind)
+        # what a rule asks for beside a part is never of the part's own kind, so the part itself may count
+        return [w for w in weak if _linked(w[0], met[bisect_left(fences, w[1])])]
     starts = [p[1] for p in parts]
     longest = max(p[2] - p[1] for p in parts)
     out = []
     for kind, a, b in weak:
         scope = bisect_left(fences, a)
-        secret = identifier = endpoint = False
-        strong_secret = strong_identifier = False
+        near = set()
         k = bisect_left(starts, a - reach - longest)
         while k < len(parts) and parts[k][1] <= b + reach:
             other, x, y = parts[k]
             k += 1
-            if y < a - reach or (other, x, y) == (kind, a, b) or bisect_left(fences, x) != scope:
-                continue
-            strong_secret |= other in ("assign", "hex")
-            strong_identifier |= other == "access"
-            secret |= other in ("assign", "hex", "short_secret")
-            identifier |= other in ("access", "identifier")
-            endpoint |= other == "endpoint"
-            if strong_secret and strong_identifier and endpoint:
-                break
-        if kind == "identifier":
-            ok = strong_secret or secret and endpoint
-        elif kind == "short_secret":
-            ok = strong_identifier or identifier and endpoint
-        else:
-            ok = secret and identifier
-        if ok:
+            if y >= a - reach and (other, x, y) != (kind, a, b) and bisect_left(fences, x) == scope:
+                near.add(other)
+        if _linked(kind, near):
             out.append((kind, a, b))
     return out
 
 
+def _linked(kind: str, met: set[str]) -> bool:
+    """Do the kinds that a weak candidate meets complete it?"""
+    strong_secret, strong_identifier = bool(met & {"assign", "hex"}), "access" in met
+    secret, identifier, endpoint = strong_secret or "short_secret" in met, strong_identifier or "identifier" in met, "endpoint" in met
+    if kind == "identifier":
+        return strong_secret or secret and endpoint
+    if kind == "short_secret":
+        return strong_identifier or identifier and endpoint
+    return secret and identifier
+
+
 def _covered(span: Span, strong: list[tuple[int, int]]) -> bool:
     """Does a base span (or the one before it) overlap this one?"""
     k = bisect_left(strong, (span[2], 0))
     return any(strong[i][1] > span[1] and strong[i][0] < span[2] for i in range(max(0, k - 3), k))
 
 
-def scan_text(text: str, reach: int = 200) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str, reach: int | None = 200) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind."""
     base = base_spans(text)
     return base, sorted([*base, *linked_spans(text, base, reach)], key=_order)
@@ -124,7 +129,7 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans, the number of linked ones."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return own.mapInPandas(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
-def redact(docs: DataFrame, reach: int = 200) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with their columns, the found spans masked in ``text`` and ``n_chars`` (where there is one) counted anew."""
     counted = "n_chars" in docs.columns
 

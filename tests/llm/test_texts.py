@@ -78,6 +78,16 @@ def test_weak_parts_need_each_other():
     assert secret_scan.scan_text(apart)[1] == [] and secret_scan.scan_text("user: bob\n\npwd: hunter2\n\nhttps://a.example.com/")[1] == []
 
 
+def test_parts_link_over_their_whole_scope(spark):
+    lines = "".join(f"option_{k} = a plain value of this block\n" for k in range(12))
+    block = f"user: bob\n{lines}pwd: hunter2\n{lines}host: db.example.com\n"
+    other = f"{block}\npin: 4711\n"
+    docs = spark.createDataFrame([(1, block), (2, other)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_linked"] for r in secret_scan.scan(docs).collect()} == {1: 3, 2: 3}
+    assert all("hunter2" not in r["text"] and "db.example.com" in r["text"] for r in secret_scan.redact(docs).collect())
+    assert secret_scan.scan_text(block)[1] == []  # with a reach of 200 characters they lie too far apart
+
+
 def test_redacted():
     text = "a token = abcdefghijklmnop b"
     assert secret_scan.redacted(text, secret_scan.scan_text(text)[1]) == "a [SECRET] b"
