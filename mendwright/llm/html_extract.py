@@ -3,8 +3,11 @@
 Every text block of a page belongs to a root-to-leaf tag path (block-level tags only, so unclosed inline
 markup does not split paths). Per path the text length and the punctuation count are summed over its blocks;
 their ratios to the number of blocks are smoothed, along the page (a Gaussian over neighbouring blocks) and
-along the tree (paths share with those under the same parent), fused into one score and held against a
-threshold. Blocks under paths that pass form the main text.
+along the tree (paths share with those under the same parent and, half as much a level, near ancestors), fused into one
+score and held against a threshold, inside article and main elements as elsewhere. Tags and names are factors of the
+score: paths outside article and main count a quarter, those marked as surroundings a twentieth. A mark is a step of
+the path of its own (``div!``); it says nothing about an article or main in it, nor, on a page without these, about
+most of the page's text. Blocks under paths that pass form the main text.
 
 Defined cases: null or empty html gives an empty text; html without any tag is one block; unclosed comments,
 tags and scripts reach to the end; repeated rows give equal results; extra columns are ignored. Time and
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math object".split())
 #: Never part of an article, whatever their text looks like.
-DROPPED = RAW | frozenset("head nav footer aside form button select menu dialog canvas audio video map datalist".split())
+DROPPED = RAW | frozenset("head button select canvas audio video map datalist".split())
+#: Marked as surroundings.
+AROUND = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
 ITEM = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -42,26 +47,29 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；？！]")
 SPACE = re.compile(r"\s+")
+#: Levels of ancestors that a path shares with; beyond them the share is below a hundredth.
+NEAR = 8
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _noisy(tag: str, attributes: str, names: bool = True) -> bool:
-    """Is this element marked as something around the article, by its tag or, with ``names``, by its class, id or role?"""
+def _cue(tag: str, attributes: str) -> str:
+    """"drop" for an element that is not text to read, "mark" for one that its tag, class, id or role call surroundings, else ""."""
     if tag in DROPPED:
-        return True
+        return "drop"
+    found = "mark" if tag in AROUND else ""
     if not attributes or tag in ("html", "body", "article", "main") or tag in INLINE and tag not in ("span", "a"):
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[3] or "").lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
-        if names and name in ("class", "id", "role") and any(p.lower() in NOISE for p in NAME_PART.findall(value)):
-            return True
-    return False
+            return "drop"
+        if name in ("class", "id", "role") and any(p.lower() in NOISE for p in NAME_PART.findall(value)):
+            found = "mark"
+    return found
 
 
-def page_blocks(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters of it in links) of each text block in page order, without dropped elements."""
+def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(path, text, characters of it in links) of each text block in page order, without dropped elements; marked ones have a ! in the path."""
     stack: list[tuple[str, bool]] = []  # tag, noisy
     out, parts, links = [], [], 0
     path: tuple[str, ...] = ()
@@ -155,7 +163,7 @@ def page_blocks(page: str, names: bool = True) -> list[tuple[tuple[str, ...], st
         if tag in INLINE:
             if tag == "img":
                 continue
-            bad = _noisy(tag, attributes, names)
+            bad = _cue(tag, attributes) != ""  # no step of a path, so a named span or link goes
             stack.append((tag, bad))
             noisy += bad
             in_link += tag == "a"
@@ -183,10 +191,11 @@ def page_blocks(page: str, names: bool = True) -> list[tuple[tuple[str, ...], st
             if stack[k][0] not in INLINE:
                 pop(k + 1)
                 break
-        bad = tag == "header" and not any(t in ("article", "main") for t, _ in stack) or _noisy(tag, attributes, names)
+        cue = _cue(tag, attributes) or ("mark" if tag == "header" and not any(t in ("article", "main") for t, _ in stack) else "")
+        bad = cue == "drop"
         stack.append((tag, bad))
         noisy += bad
-        path = (*path, tag)
+        path = (*path, f"{tag}!" if cue == "mark" else tag)
     flush()
     return out
 
@@ -200,7 +209,7 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]], width: float = 1.
         x[1] += len(PUNCTUATION.findall(text))
         x[2] += 1
         x[3] += min(links, len(text))
-    raw = {p: (x[0] / x[2]) * (1 + x[1] / x[2]) * (1 - x[3] / x[0]) * (4 if "article" in p or "main" in p else 1) for p, x in sums.items()}
+    raw = {p: (x[0] / x[2]) * (1 + x[1] / x[2]) * (1 - x[3] / x[0]) for p, x in sums.items()}
     # along the page
     kernel = [math.exp(-(k * k) / (2 * width * width)) for k in range(-2, 3)]
     along: dict[tuple[str, ...], list[float]] = {}
@@ -208,32 +217,41 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]], width: float = 1.
     for i, (path, _, _) in enumerate(found):
         near = [(kernel[k + 2], line[i + k]) for k in range(-2, 3) if 0 <= i + k < len(line)]
         along.setdefault(path, []).append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-    # along the tree: the best score under the same parent
-    parents: dict[tuple[str, ...], float] = {}
-    for p in raw:
-        parents[p[:-1]] = max(parents.get(p[:-1], 0), raw[p])
-    return {p: (0.5 * raw[p] + 0.25 * sum(along[p]) / len(along[p]) + 0.25 * parents[p[:-1]]) * (1 - sums[p][3] / sums[p][0]) ** 2 for p in raw}
+    # along the tree: the best score under the same parent, or under an ancestor up to NEAR levels above it
+    under: dict[tuple[str, ...], float] = {}
+    for p, v in raw.items():
+        for k in range(min(NEAR, len(p)) if p else 1):
+            above = p[: max(0, len(p) - 1 - k)]
+            under[above] = max(under.get(above, 0), v * 0.5**k)
+    tree = {p: max(under[p[: max(0, len(p) - 1 - k)]] * 0.5**k for k in range(min(NEAR, len(p)) if p else 1)) for p in raw}
+    cues = path_cues({p: x[0] - x[3] for p, x in sums.items()})
+    return {p: (0.5 * raw[p] + 0.25 * sum(along[p]) / len(along[p]) + 0.25 * tree[p]) * (1 - sums[p][3] / sums[p][0]) ** 2 * cues[p] for p in raw}
 
 
-def main_text(page: str | None, threshold: float = 0.1) -> str:
-    """The blocks under paths whose score reaches ``threshold`` times the best one, joined by line feeds.
+def path_cues(chars: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], float]:
+    """The factor that tags and names give each path. chars: characters outside links of each path."""
+    inner = {p: next((k for k in range(len(p) - 1, -1, -1) if p[k] in ("article", "main")), -1) for p in chars}
+    any_article = max(inner.values(), default=-1) >= 0
+    held: dict[tuple[str, ...], int] = {}  # by marked element
+    for p, n in chars.items():
+        for k in range(inner[p] + 1, len(p)):
+            if p[k].endswith("!"):
+                held[p[: k + 1]] = held.get(p[: k + 1], 0) + n
+    most = sum(chars.values()) / 2
+    marks = {e for e, n in held.items() if any_article or n <= most}
+    return {p: (1 if inner[p] >= 0 else 0.25) * (0.05 if any(p[k].endswith("!") and p[: k + 1] in marks for k in range(inner[p] + 1, len(p))) else 1) for p in chars}
+
 
-    A path also passes if it lies in the same innermost article or main element as the best path, unless most
-    of its text is in links.
-    """
+def main_text(page: str | None, threshold: float = 0.1) -> str:
+    """The blocks under paths whose score reaches ``threshold`` times the best one, joined by line feeds."""
     if not page:
         return ""
-    found = page_blocks(page) or page_blocks(page, names=False)  # a page that lies in one oddly named element
+    found = page_blocks(page)
     if not found:
         return ""
     scores = path_scores(found)
-    best = max(scores, key=lambda p: (scores[p], len(p), p))
-    cut = threshold * scores[best]
-    inner = next((best[: k + 1] for k in range(len(best) - 1, -1, -1) if best[k] in ("article", "main")), None)
-    if inner:
-        kept = {p for p, s in scores.items() if p[: len(inner)] == inner and s > 0}
-    else:
-        kept = {p for p, s in scores.items() if s >= cut}
+    cut = threshold * max(scores.values())
+    kept = {p for p, s in scores.items() if s >= cut}
     return "\n".join(text for path, text, _ in found if path in kept)
 
 

@@ -47,6 +47,24 @@ def test_oddly_named_page():
     assert html_extract.main_text("<body><div class='with-sidebar'><p>All, of it.</p></div></body>") == "All, of it."
 
 
+STORY = "".join(f"<p>Paragraph {i}, of some length, with commas, and more words to say. And an end.</p>" for i in range(8))
+
+
+def test_scores_decide_inside_an_article():
+    text = html_extract.main_text(f"<body><article>{STORY}<div><div><div>{'<div><ul><li>Tag</li></ul></div>' * 9}</div></div></div></article></body>")
+    assert text.count("Paragraph") == 8 and "Tag" not in text
+    two = html_extract.main_text(f"<body><article>{STORY}</article><div><section><article><div>{STORY}</div></article></section></div></body>")
+    assert two.count("Paragraph") == 16
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='with-nav'", "form"])
+def test_named_wrappers_keep_their_article(wrapper):
+    tag = wrapper.split()[0]
+    assert html_extract.main_text(f"<body><p>Top.</p><{wrapper}><article>{STORY}</article></{tag}></body>").count("Paragraph") == 8
+    page = f"<body><p>A line, on its own, that is not the story at all.</p><{wrapper}>{STORY}<div class='sidebar'><p>Side, bar.</p></div></{tag}></body>"
+    assert html_extract.main_text(page).count("Paragraph") == 8 and "Side" not in html_extract.main_text(page)
+
+
 def test_extract_query(spark):
     rows = queries.op1_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
