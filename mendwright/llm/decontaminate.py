@@ -11,7 +11,8 @@ Each retrieved item is then verified: its question (all but the last line or sen
 one) must both recur in the passage, as shares of their word trigrams.
 
 The index of one block of items is sent to the executors; blocks hold ``block_items`` items at most and are
-worked off one after the other, so a large benchmark takes more passes, not more memory.
+worked off one after the other, so a large benchmark takes more passes, not more memory. Document frequencies, mean
+length and longest item are those of all items, whatever the blocks.
 
 Defined cases: null and empty texts and items match nothing; an item of one sentence is question and answer
 in one; case and punctuation don't count; of an item's passages in one document the best is returned (by
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendwright.llm.common import blocks, texts_of
+from mendwright.llm.common import blocks, texts_of, written
 
 WORDS = re.compile(r"\w+").findall
 ANSWER = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -57,16 +58,17 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Bm25Index:
     """Postings of a block of items with weights relative to each item's own score, and maxima by term and by block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, least: float = 0.5, block: int = 8) -> None:
+    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, least: float = 0.5, block: int = 8, whole: tuple[int, int, int, dict[str, int]] | None = None) -> None:
+        """whole: number of all items, of their words and of the longest one's, and of the items with each term; None if these are all."""
         items = [(i, t) for i, t in items if t and words_of(t)]
         self.ids = [i for i, _ in items]
         split = [words_of(t) for _, t in items]
         self.parts = [tuple(map(_grams, question_and_answer(t))) for _, t in items]
-        self.longest = max(map(len, split), default=1)
-        mean = sum(map(len, split)) / max(1, len(split))
         counts = [Counter(w) for w in split]
         df = Counter(t for c in counts for t in c)
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        n_all, n_words, self.longest, df_all = whole or (len(split), sum(map(len, split)), max(map(len, split), default=1), df)
+        mean = n_words / max(1, n_all)
+        idf = {t: math.log(1 + (n_all - df_all[t] + 0.5) / (df_all[t] + 0.5)) for t in df}
         self.terms = {t: k + 1 for k, t in enumerate(df)}  # 0: not in the index
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
         for i, c in enumerate(counts):
@@ -182,10 +184,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
     n_blocks = max(1, -(-items.count() // block_items))
+    if n_blocks > 1:
+
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                words = [words_of(t) for t in frame["text"]]
+                yield frame.assign(words=[len(w) for w in words], terms=[list(set(w)) for w in words])
+
+        items = written(items.mapInPandas(split, "item_id long, text string, words long, terms array<string>"))
+        totals = items.where("words > 0").agg(F.count("*"), F.sum("words"), F.max("words")).first()
+        frequencies = written(items.select(F.explode("terms").alias("term")).groupBy("term").count())
     parts = []
     for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        index = Bm25Index([(r["item_id"], r["text"]) for r in rows], least=least)
+        own_items = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
+        rows = own_items.select("item_id", "text").orderBy("item_id", "text").collect()
+        whole = None
+        if n_blocks > 1:
+            df = own_items.select(F.explode("terms").alias("term")).distinct().join(frequencies, "term").collect()
+            whole = (totals[0], totals[1] or 0, totals[2] or 1, {r["term"]: r["count"] for r in df})
+        index = Bm25Index([(r["item_id"], r["text"]) for r in rows], least=least, whole=whole)
         shared = own.sparkSession.sparkContext.broadcast(index)
 
         def work(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

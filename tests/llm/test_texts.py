@@ -231,6 +231,17 @@ def test_leaks_odd(spark):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_blocks_of_items_change_nothing(spark):
+    r = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(40)]
+    texts = [" ".join(r.choices(vocabulary, k=r.choice((8, 12, 60)))) + ". " + " ".join(r.choices(vocabulary, k=4)) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    altered = [" ".join(w if r.random() > 0.2 else "zz" for w in t.split()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts + altered)), "doc_id long, text string")
+    one, many = ({(x["doc_id"], x["item_id"], x["passage"], round(x["score"], 9)) for x in decontaminate.find_leaks(docs, items, question=0.1, answer=0.0, block_items=n).collect()} for n in (5000, 4))
+    assert one == many and len(one) > 12
+
+
 # language ID
 
 
