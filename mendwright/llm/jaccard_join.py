@@ -9,10 +9,12 @@ similarity is at least ``percent`` / 100. Steps:
    Rare shingles come first in the order, ties by hash.
 3. A pair at the limit shares one of the first n - ceil(percent * n / 100) + 1 shingles of each. Those that occur
    in one node alone can't be shared, so a node keeps its other ones as postings; nodes without are done.
-4. Candidates, without all pairs of a group: in rounds, each node is held against one other node of a
-   posting group, and linked nodes become one component. Groups inside one component need no more. What then
-   still stands in different components within a group is compared pair by pair, behind two exact filters: the
-   sizes, and parity bits of the sets, whose differing bits never exceed the differing shingles.
+4. Candidates, without all pairs of a group: in rounds, each node is held against a few other nodes of its
+   posting groups, and linked nodes become one component. Groups inside one component need no more. What then
+   still stands in different components within a group is compared behind exact filters. Nodes meet by key and
+   size band; the key must be the first that the two share, so its place in either set bounds the overlap (with
+   sets of one size it lies among the first ninth, so texts that share a passage and have a ninth of their own
+   don't meet at all); differing parity bits of the sets never exceed the differing shingles.
 5. Vertical partitioning: a node's set is cut into fragments of the key range. For each candidate pair the
    overlaps of fragments are counted apart and summed per pair, which decides the link.
 
@@ -38,8 +40,8 @@ from mendwright.llm.common import blocks, byte_words, texts_of, trim, written
 from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
-#: Edges that one task may join to components; some 100 bytes each.
-ONE_TASK = 2_000_000
+#: Chunks for each bucket of the key space: messages go from every chunk to every bucket, and a bucket's keys must fit in a task.
+CHUNKS_A_BUCKET = 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _HASHES: dict[bytes, int] = {}
 
@@ -80,7 +82,7 @@ def _node(s: np.ndarray) -> int:
 
 
 def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, n, node) of each row; node is null for an empty set."""
+    """(doc_id, row, n, node) of each row; row is a hash of id and text, node is null for an empty set."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames):
@@ -88,9 +90,10 @@ def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
             for s in shingle_sets(frame["text"].tolist(), size):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": n, "node": pd.array(node, dtype="Int64")})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "row": frame["row"].to_numpy(), "n": n, "node": pd.array(node, dtype="Int64")})
 
-    return docs.mapInPandas(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.withColumn("row", F.xxhash64("doc_id", "text")).mapInPandas(work, f"doc_id {kind}, row long, n long, node long")
 
 
 def _parity(s: np.ndarray) -> list[int]:
@@ -105,10 +108,10 @@ def _fragments(s: np.ndarray) -> list[bytes]:
 
 
 def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percent: int) -> DataFrame:
-    """(node, n, keys, segments, parity): nodes that share a shingle of their prefix with others. nodes: (doc_id, node), a row for each node."""
-    buckets = max(8, chunks)
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
-    dealt, reps = docs.withColumn("chunk", chunk), nodes.withColumn("chunk", chunk)
+    """(node, n, keys, places, segments, parity): nodes that share a shingle of their prefix with others. nodes: (node, row), one row's hash for each node."""
+    buckets = max(8, -(-chunks // CHUNKS_A_BUCKET))
+    dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    reps = nodes.select("node", F.pmod("row", F.lit(chunks)).cast("int").alias("chunk"))
 
     def own_sets(frame: pd.DataFrame, wanted: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(node, set) of the chunk's nodes, each once, by node."""
@@ -142,7 +145,7 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
 
     def choose(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         trim()
-        columns = ["node", "n", "keys", "segments", *(f"p{k}" for k in range(PARITY_WORDS))]
+        columns = ["node", "n", "keys", "places", "segments", *(f"p{k}" for k in range(PARITY_WORDS))]
         wanted = told[told["bucket"] < 0]
         if not len(wanted) or not len(frame):
             return pd.DataFrame(columns=columns)
@@ -155,15 +158,15 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
             own = df[at : at + n]
             at += n
             first = np.lexsort((s, own))[: n - (-(-percent * n // 100)) + 1]
-            first = first[own[first] > 1]
-            if len(first):
-                rows.append((node, n, s[first].view(np.int64).tolist(), _fragments(s), *_parity(s)))
+            places = np.flatnonzero(own[first] > 1)
+            if len(places):
+                rows.append((node, n, s[first[places]].view(np.int64).tolist(), places.tolist(), _fragments(s), *_parity(s)))
         return pd.DataFrame(rows, columns=columns)
 
     sent = dealt.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInPandas(ask, "chunk int, bucket int, keys binary, counts binary")
     told = sent.groupBy("bucket").applyInPandas(add, "chunk int, bucket int, totals binary, node long")
     told = told.unionByName(reps.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "node"))
-    schema = "node long, n long, keys array<long>, segments array<binary>, " + ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
+    schema = "node long, n long, keys array<long>, places array<long>, segments array<binary>, " + ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(choose, schema)
 
 
@@ -181,36 +184,12 @@ def links(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, comp) for the edges (u, v) of one task, by union and find."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := above.setdefault(x, x)) != x:
-            above[x] = x = above[y]
-        return x
-
-    for frame in frames:
-        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
-            u, v = top(u), top(v)
-            if u != v:
-                above[max(u, v)] = min(u, v)
-    nodes = list(above)
-    yield pd.DataFrame({"node": np.array(nodes, np.int64), "comp": np.array([top(x) for x in nodes], np.int64)})
-
-
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable.
-
-    Up to ``one_task`` edges (their number is checked) go through one executor task; more, through alternating large
-    and small stars until nothing changes. The result is the same.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): comp is the smallest node reachable; by alternating large and small stars until nothing changes."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     state = e.agg(mark).first()[0]
-    if state[0] <= one_task:
-        return written(e.coalesce(1).mapInPandas(_forest, "node long, comp long"))
-    while True:
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -234,38 +213,68 @@ def _with_comp(df: DataFrame, comps: DataFrame | None, node: str = "node", comp:
     return df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
 
+def _could_link(x: str, y: str, percent: int) -> Column:
+    """If this is the first shingle that the sets share in the global order, may they link? Both ends of it count:
+    sizes, and what either set has from this place on."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
+    return _near_in_size(n, m, percent) & ((100 + percent) * rest >= percent * (n + m))
+
+
+def postings(kept: DataFrame) -> DataFrame:
+    """(key, place, before, node, n) of the shared shingles of the prefixes; before is the key that precedes in the node's prefix."""
+    before = F.concat(F.array(F.lit(None).cast("long")), "keys")
+    posts = kept.select("node", "n", F.explode(F.arrays_zip("keys", "places", before.alias("before"))).alias("p")).select(F.col("p.keys").alias("key"), F.col("p.places").alias("place"), "p.before", "node", "n").where("key is not null")
+    # keys with the same nodes say the same: the first of them in the order is enough, it has the least places
+    group = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum("place").alias("places")).where("c > 1")
+    return posts.join(group.groupBy("c", "x", "y").agg(F.min_by("key", "places").alias("key")).select("key"), "key", "left_semi")
+
+
+def candidates(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d): pairs of nodes in different components whose first shared key could make them link; d: differing parity bits.
+
+    left: postings with comp and parity. Nodes meet by key and band of sizes. The smaller set of a pair must have the
+    first shared key among its first n - o + 1, with o the overlap that two sets of its size need: few postings can be
+    the smaller side. A key whose predecessor is the same in both is not the first one.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))  # the 1 lets rounding errors pass
+    x = left.where((100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")).withColumn("band", band).alias("x")
+    y = left.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
+    differing = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    # |A - B| + |B - A| <= (|A| + |B|) * (1 - t) / (1 + t)
+    near = differing * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    first = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.comp") != F.col("y.comp")) & first & _could_link("x", "y", percent) & near)
+    return met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min(differing).alias("d"))
+
+
 def node_components(kept: DataFrame, percent: int, rounds: int = 2, centers: int = 4) -> DataFrame:
     """(node, comp) of the nodes that link with another."""
-    posts = kept.select("node", "n", F.explode("keys").alias("key"))
-    # keys with the same nodes say the same: one of them is enough
-    group = posts.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
-    posts = written(posts.join(group.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
-    found = comps = None
+    posts = written(postings(kept))
+    comps = None
+
+    def joined_by(new: DataFrame) -> DataFrame:
+        return components(new if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new))
+
     # rounds: a node is held against a few other ones, which stand for its groups in other components
     for r in range(rounds):
-        own = _with_comp(posts, comps)
+        own = _with_comp(posts, comps).alias("own")
         turns = [F.xxhash64("node", F.lit(r * centers + j)) for j in range(centers)]
-        center = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min_by(F.struct("node", "n", "comp"), t).alias(f"c{j}") for j, t in enumerate(turns)])
+        center = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min_by(F.struct("node", "n", "comp", "place"), t).alias(f"c{j}") for j, t in enumerate(turns)])
         met = own.join(center.where("low != high").drop("low", "high"), "key")
         picks = []
         for j in range(centers):
             other = F.col(f"c{j}.node")
-            ok = (F.col("comp") != F.col(f"c{j}.comp")) & _near_in_size(F.col("n"), F.col(f"c{j}.n"), percent)
+            ok = (F.col("own.comp") != F.col(f"c{j}.comp")) & _could_link("own", f"c{j}", percent)
             picks.append(F.min_by(F.when(ok, other), F.when(ok, F.xxhash64(other, F.lit(r * centers + j)))))
-        pairs = met.groupBy(F.col("node").alias("b")).agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("a")).select(F.explode("a").alias("a"), "b")
-        new = links(pairs, kept, percent)
-        found = written(new if found is None else found.unionByName(new))
-        comps = components(found)
+        pairs = met.groupBy(F.col("own.node").alias("b")).agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("a")).select(F.explode("a").alias("a"), "b")
+        comps = joined_by(links(pairs, kept, percent))
     # what is left between components, behind exact filters
     own = _with_comp(posts, comps)
     mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     left = written(own.join(mixed, "key").join(kept.select("node", *(f"p{k}" for k in range(PARITY_WORDS))), "node"))
-    x, y = left.alias("x"), left.alias("y")
-    differing = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
-    # |A - B| + |B - A| <= (|A| + |B|) * (1 - t) / (1 + t)
-    near = differing * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near_in_size(F.col("x.n"), F.col("y.n"), percent) & near)
-    rest = written(rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min(differing).alias("d")))
+    rest = written(candidates(left, percent))
     # first the likeliest pair of each two components, then all that still stand apart
     for last in (False, False, True):
         apart = _with_comp(_with_comp(rest, comps, "a", "ca"), comps, "b", "cb").where("ca != cb")
@@ -277,8 +286,7 @@ def node_components(kept: DataFrame, percent: int, rounds: int = 2, centers: int
         pairs = written(pairs)
         if pairs.isEmpty():
             break
-        found = written(found.unionByName(links(pairs, kept, percent)))
-        comps = components(found)
+        comps = joined_by(links(pairs, kept, percent))
     return comps
 
 
@@ -286,7 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """One row per document: doc_id, n_shingles, component_id."""
     own = texts_of(docs, id_col, text_col)
     sets = written(set_table(own, size))
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
     chunks = max(1, -(-sets.count() // chunk_docs))
     kept = written(kept_nodes(own, nodes, chunks, size, percent))
     comps = node_components(kept, percent)

@@ -131,13 +131,41 @@ def test_join_odd_and_chained(spark):
     assert jaccard_join.classes(df.limit(0)).count() == 0
 
 
-def test_components_both_ways(spark):
+def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + k, 1001 + k) for k in range(40)]
-    df = spark.createDataFrame(edges, "a long, b long")
-    one = {(x["node"], x["comp"]) for x in jaccard_join.components(df).collect() if x["node"] != x["comp"]}
-    many = {(x["node"], x["comp"]) for x in jaccard_join.components(df, one_task=0).collect() if x["node"] != x["comp"]}
-    assert one == many and (1040, 1000) in one
+    got = {x["node"]: x["comp"] for x in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    above = {x: x for e in edges for x in e}
+    for _ in range(len(above)):
+        for a, b in edges:
+            above[a] = above[b] = min(above[a], above[b])
+    assert {x: got.get(x, x) for x in above} == above and got[1040] == 1000
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_passage_makes_no_pairs(spark):
+    """5,000 texts share a passage; none links. They must not be held against each other."""
+    r = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(90))
+    docs = [(k, f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(14))) for k in range(5000)]
+    docs += [(6000 + k, f"{passage} " + " ".join(f"x{j}" for j in range(14)) + f" y{k}") for k in range(3)]
+    own = jaccard_join.texts_of(spark.createDataFrame(docs, "doc_id long, text string"))
+    nodes = jaccard_join.set_table(own).groupBy("node").agg({"row": "min"}).withColumnRenamed("min(row)", "row")
+    kept = jaccard_join.kept_nodes(own, nodes, 4, 5, 80)
+    alone = jaccard_join.postings(kept).join(kept.drop("n", "keys", "places", "segments"), "node").withColumn("comp", jaccard_join.F.col("node"))
+    assert 3 <= jaccard_join.candidates(alone, 80).count() <= 10
+    classes = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(own).collect()}
+    assert all(classes[i] == (6000 if i >= 6000 else i) for i in classes)
+
+
+def test_join_repeated_and_null_ids(spark):
+    r = random.Random(6)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    one, two = text(), text()
+    rows = [(None, one), (None, two), (None, one + " x"), (7, one), (7, two), (7, None)]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, chunk string, bucket int")
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(df, chunk_docs=2).collect()), key=repr)
+    assert got == sorted([(None, 26, 7), (None, 26, 7), (None, 27, 7), (7, 26, 7), (7, 26, 7), (7, 0, 7)], key=repr)
 
 
 def test_packing():
