@@ -41,7 +41,7 @@ from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
 #: Chunks for each bucket of the key space: messages go from every chunk to every bucket, and a bucket's keys must fit in a task.
-CHUNKS_A_BUCKET = 16
+CHUNKS_A_BUCKET = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _HASHES: dict[bytes, int] = {}
 
