@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,35 +27,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (local runs), one of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, one of our own: in the warehouse, which all executors share, or, in local runs, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or f"file://{tempfile.mkdtemp(prefix='mendwright-')}"
-        if not kept:
-            spark.sparkContext.setCheckpointDir(folder)
+        local = spark.sparkContext.master.startswith("local")
+        folder = f"file://{tempfile.mkdtemp(prefix='mendwright-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/mendwright-checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors. The files go when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mendwright-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/mendwright-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def looked_up(facts: DataFrame, table: DataFrame, keys: list[str], most_sent: int = 200_000, salts: int = 16) -> DataFrame:
+    """``facts`` joined with the one row of ``table`` for their keys. Facts may have hot keys: the table is sent to all
+    executors if it has up to ``most_sent`` rows; a larger one is repeated ``salts`` times, and the facts are dealt over the copies."""
+    table = written(table)
+    if table.count() <= most_sent:
+        return facts.join(F.broadcast(table), keys)
+    salt = free_name(facts, "salt")
+    dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns if c not in keys]), F.lit(salts)).cast("int"))
+    return dealt.join(table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, salt]).drop(salt)
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, a null text as the empty one; extra columns, whatever their names, go no further."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def blocks(frames: Iterator[pd.DataFrame], most_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def blocks(frames: Iterator[pd.DataFrame], most_chars: int = 4_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
     """Cuts each batch into blocks of about ``most_chars`` characters, a row at least, so a batch of long texts is worked off piece by piece."""
     for frame in frames:
         if not len(frame):
             continue
-        ends = frame["text"].str.len().cumsum().to_numpy()
+        ends = frame[column].str.len().fillna(0).cumsum().to_numpy()
         if ends[-1] <= most_chars:
             yield frame
             continue
@@ -66,6 +88,18 @@ def blocks(frames: Iterator[pd.DataFrame], most_chars: int = 4_000_000) -> Itera
     trim()
 
 
+def row_blocks(batch: pa.RecordBatch, column: str = "text", most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The Arrow batch in slices of about ``most_chars`` characters of a column, a row at least."""
+    sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most_chars:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    yield batch.slice(at)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, since a worker process outlives its tasks and stages."""
     gc.collect()

@@ -7,25 +7,26 @@ passphrase, pwd, pin and key values, long base64 words) and endpoints (URLs and
 candidate alone says nothing. The parts of each scope (a run of text without a blank line) are joined; a weak
 candidate is reported only if its scope holds a secret, an identifier and, where both of these are weak, an
 endpoint too. ``scan`` and ``redact`` join whole scopes; with a ``reach`` only parts that lie within so many
-characters of each other meet. Base spans always stay.
+characters of each other meet. The join is one of intervals: by scope and kind, parts stand sorted by start with the
+highest end so far, so one search tells whether any part meets a candidate. Base spans always stay.
 
 Defined cases: null and empty texts have no spans; equal spans of one kind count once; rows are independent,
-so repeated rows repeat their result; extra columns are ignored. Whole scopes take one pass over the parts, a
-``reach`` a sweep over sorted intervals.
+so repeated rows repeat their result; extra columns are ignored (``redact`` keeps them). Time is that of a sort of
+the parts, whatever their lengths.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mendwright.llm.common import blocks, texts_of
+from mendwright.llm.common import blocks, row_blocks, texts_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -60,34 +61,30 @@ def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[S
     weak += [("identifier", m.start(), m.end()) for m in WEAK_IDENTIFIER.finditer(text)]
     if "://" in text or ":" in text or "=" in text:
         weak += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    strong = [(a, b) for _, a, b in base]
-    ends = sorted(strong)
-    weak = [w for w in dict.fromkeys(weak) if not _covered(w, ends)]
+    taken = merged([(a, b) for _, a, b in base])
+    weak = [w for w in dict.fromkeys(weak) if not _covered(w, taken)]
     if not weak:
         return []
     fences = [m.start() for m in BLANK_LINE.finditer(text)]
-    parts = sorted([*base, *weak], key=_order)
-    if reach is None:
-        met: dict[int, set[str]] = {}
-        for kind, a, _ in parts:
-            met.setdefault(bisect_left(fences, a), set()).add(kind)
-        # what a rule asks for beside a part is never of the part's own kind, so the part itself may count
-        return [w for w in weak if _linked(w[0], met[bisect_left(fences, w[1])])]
-    starts = [p[1] for p in parts]
-    longest = max(p[2] - p[1] for p in parts)
-    out = []
-    for kind, a, b in weak:
-        scope = bisect_left(fences, a)
-        near = set()
-        k = bisect_left(starts, a - reach - longest)
-        while k < len(parts) and parts[k][1] <= b + reach:
-            other, x, y = parts[k]
-            k += 1
-            if y >= a - reach and (other, x, y) != (kind, a, b) and bisect_left(fences, x) == scope:
-                near.add(other)
-        if _linked(kind, near):
-            out.append((kind, a, b))
-    return out
+    within = reach if reach is not None else len(text)
+    index: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
+    for kind, a, b in sorted([*base, *weak], key=_order):
+        starts, ends = index.setdefault((bisect_left(fences, a), kind), ([], []))
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+
+    def meets(a: int, b: int) -> set[str]:
+        """The kinds with a part in this scope whose interval, widened by the reach, overlaps this one."""
+        scope, found = bisect_left(fences, a), set()
+        for kind in KINDS:
+            if part := index.get((scope, kind)):
+                k = bisect_right(part[0], b + within)
+                if k and part[1][k - 1] >= a - within:
+                    found.add(kind)
+        return found
+
+    # what a rule asks for beside a part is never of the part's own kind, so the part itself may count
+    return [w for w in weak if _linked(w[0], meets(w[1], w[2]))]
 
 
 def _linked(kind: str, met: set[str]) -> bool:
@@ -101,10 +98,21 @@ def _linked(kind: str, met: set[str]) -> bool:
     return secret and identifier
 
 
-def _covered(span: Span, strong: list[tuple[int, int]]) -> bool:
-    """Does a base span (or the one before it) overlap this one?"""
-    k = bisect_left(strong, (span[2], 0))
-    return any(strong[i][1] > span[1] and strong[i][0] < span[2] for i in range(max(0, k - 3), k))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of the spans, as disjoint ascending ones."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _covered(span: Span, taken: list[tuple[int, int]]) -> bool:
+    """Does one of the disjoint ascending spans overlap this one?"""
+    k = bisect_left(taken, (span[2], 0))
+    return k > 0 and taken[k - 1][1] > span[1]
 
 
 def scan_text(text: str, reach: int | None = 200) -> tuple[list[Span], list[Span]]:
@@ -152,13 +160,14 @@ def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     counted = "n_chars" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [None if t is None else redacted(t, scan_text(t, reach)[1]) for t in batch.column("text").to_pylist()]
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
-            if counted:
-                at = batch.schema.get_field_index("n_chars")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array([len(t or "") for t in text], batch.schema.field(at).type))
-            yield batch
+        for whole in batches:
+            for batch in row_blocks(whole):
+                text = [None if t is None else redacted(t, scan_text(t, reach)[1]) for t in batch.column("text").to_pylist()]
+                at = batch.schema.get_field_index("text")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
+                if counted:
+                    at = batch.schema.get_field_index("n_chars")
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array([len(t or "") for t in text], batch.schema.field(at).type))
+                yield batch
 
     return docs.mapInArrow(work, docs.schema)
