@@ -21,7 +21,8 @@ A row is rejected if its text has no letters, if its best posterior is below ``s
 likely trigrams explain the text better than the likeliest language does, as for texts in a language nobody declares.
 
 Defined cases: null and empty texts have a flat likelihood (other evidence decides) and are rejected; without
-any declared language there is the one language ``und``; ties go to the first code; extra columns are ignored.
+any declared language there is the one language ``und``; ``en-us`` declares ``en``, what isn't such a code declares nothing;
+ties go to the first code; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwright.llm.common import blocks, written
+from mendwright.llm.common import blocks, looked_up, written
 
 PLACES = 1 << 15
 #: Log probability of a trigram if all places are equally likely, less what 32-bit numbers may err.
 UNIFORM = -np.log(PLACES) - 1e-3
 LETTER = re.compile(r"[^\W\d_]")
+#: A language's code; regions and scripts after it don't count, other values say nothing.
+LANGUAGE_CODE = r"^([a-z]{2,3})(?:[-_].*)?$"
 #: Country domains by the language that they mostly stand for.
 DOMAIN_LANGUAGE = {"at": "de", "br": "pt", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pt": "pt", "uk": "en", "us": "en"}
 
@@ -112,7 +115,7 @@ def _smoothed(counts: DataFrame, keys: list[str], above: Column | None, table: D
 def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, host: Column, site: Column, suffix: Column, strength: float = 60.0, sure: float = 0.5, host_weight: float = 20.0) -> DataFrame:
     """One row per row of ``df``: id, language, posterior, text_language, declared, rejected."""
     rows = df.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.nullif(F.lower(F.trim(declared)), F.lit("")).alias("declared"),
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.nullif(F.regexp_extract(F.lower(F.trim(declared)), LANGUAGE_CODE, 1), F.lit("")).alias("declared"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.nullif(F.lower(suffix), F.lit("")).alias("suffix"),
     )
     model = fit(rows)
@@ -139,7 +142,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, host:
         return each.select(column, F.array(*logs).alias(f"e_{column}"))
 
     zeros = F.array(*[F.lit(0.0)] * n)
-    fused = told.join(by_host, ["host", "site"]).join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
+    fused = looked_up(told, by_host, ["host", "site"]).join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
     fused = fused.withColumns({"lp": F.transform("p", lambda x: F.ln(x)), "ed": F.coalesce("e_declared", zeros), "es": F.coalesce("e_suffix", zeros)})
     log_post = F.transform(F.arrays_zip("ll", "lp", "ed", "es"), lambda z: z["ll"] + z["lp"] + z["ed"] + z["es"])
     fused = fused.withColumn("post", log_post).withColumn("high", F.array_max("post"))
