@@ -11,7 +11,7 @@ most of the page's text. Blocks under paths that pass form the main text.
 
 Defined cases: null or empty html gives an empty text; html without any tag is one block; unclosed comments,
 tags and scripts reach to the end; repeated rows give equal results; extra columns are ignored. Time and
-memory are linear in the page.
+memory are linear in the page, however deep its elements nest and whatever it leaves open.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendwright.llm.common import blocks
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math object".split())
 #: Never part of an article, whatever their text looks like.
@@ -33,7 +35,6 @@ DROPPED = RAW | frozenset("head button select canvas audio video map datalist".s
 AROUND = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
-ITEM = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 CONTAINER = frozenset("article main section div td body html".split())
 #: Words in class, id or role names that mark what surrounds an article.
 NOISE = frozenset(
@@ -43,6 +44,7 @@ NOISE = frozenset(
     "sponsor sponsored subscribe taboola teaser toolbar topbar widget widgets navigationbar contentinfo complementary alert alertdialog".split()
 )
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+TAG_BEGINS, LOOSE_TAG = re.compile(r"</?[A-Za-z]"), re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；？！]")
@@ -68,12 +70,48 @@ def _cue(tag: str, attributes: str) -> str:
     return found
 
 
-def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+class PathTree:
+    """Tag paths as numbers: each has its parent's number and its last step; 0 is the empty path."""
+
+    def __init__(self) -> None:
+        self.parents, self.steps = [0], [""]
+        self.depths = [0]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def child(self, path: int, step: str) -> int:
+        found = self._known.get((path, step))
+        if found is None:
+            found = self._known[path, step] = len(self.parents)
+            self.parents.append(path)
+            self.steps.append(step)
+            self.depths.append(self.depths[path] + 1)
+        return found
+
+    def near(self, path: int) -> list[int]:
+        """The parent and the ancestors up to NEAR levels above the path; the empty path is its own."""
+        out = []
+        for _ in range(min(NEAR, max(1, self.depths[path]))):
+            path = self.parents[path]
+            out.append(path)
+        return out
+
+
+#: Groups of elements that end the open one of their group when they begin, and the tags that bar the way to it. The first is ended by CLOSES_P.
+ENDS = [("p", (*CONTAINER, "table", "blockquote")), ("li", ("ul", "ol", "menu")), ("dt dd", ("dl",)), ("tr", ("table",)), ("td th", ("tr", "table"))]
+GROUP_OF = {tag: g for g, (same, _) in enumerate(ENDS) for tag in same.split()}
+BARRED_BY = {tag: [g for g, (_, until) in enumerate(ENDS) if tag in until] for tag in {t for _, until in ENDS for t in until}}
+NOTHING_OPEN = (-1,) * len(ENDS)
+
+
+def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
     """(path, text, characters of it in links) of each text block in page order, without dropped elements; marked ones have a ! in the path."""
-    stack: list[tuple[str, bool]] = []  # tag, noisy
+    tree = PathTree()
+    # open block elements: tag, dropped, path of the element before it, and the nearest element that each group of ENDS would end
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    open_tags: dict[str, int] = {}
+    inline: dict[str, list[bool]] = {}  # open inline elements of the innermost block: none reaches over the next one
     out, parts, links = [], [], 0
-    path: tuple[str, ...] = ()
-    noisy = in_link = 0
+    path = noisy = 0
 
     def flush() -> None:
         nonlocal parts, links
@@ -83,14 +121,19 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 out.append((path, text, links))
             parts, links = [], 0
 
+    def close_inline() -> None:
+        nonlocal noisy
+        if inline:
+            noisy -= sum(map(sum, inline.values()))
+            inline.clear()
+
     def pop(to: int) -> None:
-        nonlocal noisy, in_link, path
+        nonlocal noisy, path
+        close_inline()
         while len(stack) > to:
-            tag, bad = stack.pop()
+            tag, bad, path, _ = stack.pop()
             noisy -= bad
-            in_link -= tag == "a"
-            if tag not in INLINE:
-                path = path[:-1]
+            open_tags[tag] -= 1
 
     at, end, lower = 0, len(page), None
     no_tag_end = False
@@ -100,7 +143,7 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             lt = end
         if lt > at and not noisy:
             parts.append(page[at:lt])
-            if in_link:
+            if inline.get("a"):
                 links += lt - at
         if lt == end:
             break
@@ -114,12 +157,12 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         m = None if no_tag_end else TAG.match(page, lt)
         if not m:
-            if re.match(r"</?[A-Za-z]", page[lt : lt + 3]):
+            if TAG_BEGINS.match(page, lt):
                 close = page.find(">", lt)
                 if close < 0:
                     break  # a tag that never ends
                 no_tag_end = True  # an odd quote: from here on tags end at the first >
-                m = re.match(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", page[lt : close + 1])
+                m = LOOSE_TAG.match(page[lt : close + 1])
                 at = close + 1
             if not m:
                 if not noisy:
@@ -130,23 +173,18 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             at = m.end()
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         if closing:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
+            if tag in INLINE:
+                if inline.get(tag):
+                    noisy -= inline[tag].pop()
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE:
-                        if all(t in INLINE for t, _ in stack[k:]):
-                            bad = sum(b for _, b in stack[k : k + 1])
-                            noisy -= bad
-                            in_link -= tag == "a"
-                            del stack[k]
-                    else:
-                        flush()
-                        pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if open_tags.get(tag):
+                flush()
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
+            elif tag == "p":
+                flush()
             continue
         if tag in RAW and not attributes.endswith("/"):
             lower = page.lower() if lower is None else lower
@@ -164,45 +202,38 @@ def page_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag == "img":
                 continue
             bad = _cue(tag, attributes) != ""  # no step of a path, so a named span or link goes
-            stack.append((tag, bad))
+            inline.setdefault(tag, []).append(bad)
             noisy += bad
-            in_link += tag == "a"
             continue
         flush()
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in CONTAINER or stack[k][0] in ("table", "blockquote"):
-                    break
-        if tag in ITEM:
-            same, until = ITEM[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same.split():
-                    pop(k)
-                    break
-                if stack[k][0] in until:
-                    break
+        group = GROUP_OF.get(tag, 0)
+        for g in {0, group} if tag in CLOSES_P else {group} if group else ():
+            if stack and stack[-1][3][g] >= 0:
+                pop(stack[-1][3][g])
         if tag in VOID:
             continue
-        # an inline element left open does not reach over the next block
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] not in INLINE:
-                pop(k + 1)
-                break
-        cue = _cue(tag, attributes) or ("mark" if tag == "header" and not any(t in ("article", "main") for t, _ in stack) else "")
+        close_inline()
+        cue = _cue(tag, attributes) or ("mark" if tag == "header" and not open_tags.get("article") and not open_tags.get("main") else "")
         bad = cue == "drop"
-        stack.append((tag, bad))
+        near = stack[-1][3] if stack else NOTHING_OPEN
+        if tag in BARRED_BY or tag in GROUP_OF:
+            changed = list(near)
+            for g in BARRED_BY.get(tag, ()):
+                changed[g] = -1
+            if tag in GROUP_OF:
+                changed[group] = len(stack)
+            near = tuple(changed)
+        stack.append((tag, bad, path, near))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         noisy += bad
-        path = (*path, f"{tag}!" if cue == "mark" else tag)
+        path = tree.child(path, f"{tag}!" if cue == "mark" else tag)
     flush()
-    return out
+    return out, tree
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]], width: float = 1.0) -> dict[tuple[str, ...], float]:
+def path_scores(found: list[tuple[int, str, int]], tree: PathTree, width: float = 1.0) -> dict[int, float]:
     """Fused score of each tag path: text and punctuation per block, smoothed over the page and the tree."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, text, links in found:
         x = sums.setdefault(path, [0, 0, 0, 0])
         x[0] += len(text)
@@ -212,44 +243,52 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]], width: float = 1.
     raw = {p: (x[0] / x[2]) * (1 + x[1] / x[2]) * (1 - x[3] / x[0]) for p, x in sums.items()}
     # along the page
     kernel = [math.exp(-(k * k) / (2 * width * width)) for k in range(-2, 3)]
-    along: dict[tuple[str, ...], list[float]] = {}
+    along: dict[int, list[float]] = {}
     line = [raw[p] for p, _, _ in found]
     for i, (path, _, _) in enumerate(found):
         near = [(kernel[k + 2], line[i + k]) for k in range(-2, 3) if 0 <= i + k < len(line)]
-        along.setdefault(path, []).append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        x = along.setdefault(path, [0, 0])
+        x[0] += sum(w * v for w, v in near) / sum(w for w, _ in near)
+        x[1] += 1
     # along the tree: the best score under the same parent, or under an ancestor up to NEAR levels above it
-    under: dict[tuple[str, ...], float] = {}
+    under: dict[int, float] = {}
     for p, v in raw.items():
-        for k in range(min(NEAR, len(p)) if p else 1):
-            above = p[: max(0, len(p) - 1 - k)]
+        for k, above in enumerate(tree.near(p)):
             under[above] = max(under.get(above, 0), v * 0.5**k)
-    tree = {p: max(under[p[: max(0, len(p) - 1 - k)]] * 0.5**k for k in range(min(NEAR, len(p)) if p else 1)) for p in raw}
-    cues = path_cues({p: x[0] - x[3] for p, x in sums.items()})
-    return {p: (0.5 * raw[p] + 0.25 * sum(along[p]) / len(along[p]) + 0.25 * tree[p]) * (1 - sums[p][3] / sums[p][0]) ** 2 * cues[p] for p in raw}
+    shared = {p: max(under[above] * 0.5**k for k, above in enumerate(tree.near(p))) for p in raw}
+    cues = path_cues({p: x[0] - x[3] for p, x in sums.items()}, tree)
+    return {p: (0.5 * raw[p] + 0.25 * along[p][0] / along[p][1] + 0.25 * shared[p]) * (1 - sums[p][3] / sums[p][0]) ** 2 * cues[p] for p in raw}
 
 
-def path_cues(chars: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], float]:
+def path_cues(chars: dict[int, int], tree: PathTree) -> dict[int, float]:
     """The factor that tags and names give each path. chars: characters outside links of each path."""
-    inner = {p: next((k for k in range(len(p) - 1, -1, -1) if p[k] in ("article", "main")), -1) for p in chars}
-    any_article = max(inner.values(), default=-1) >= 0
-    held: dict[tuple[str, ...], int] = {}  # by marked element
+    size = len(tree.parents)
+    article = [step in ("article", "main") for step in tree.steps]
+    inside = article[:]
+    held = [0] * size  # characters under each path, but for those in an article or main below it
     for p, n in chars.items():
-        for k in range(inner[p] + 1, len(p)):
-            if p[k].endswith("!"):
-                held[p[: k + 1]] = held.get(p[: k + 1], 0) + n
+        held[p] += n
+    for p in range(size - 1, 0, -1):  # parents have lower numbers
+        if not article[p]:
+            held[tree.parents[p]] += held[p]
+    for p in range(1, size):
+        inside[p] = article[p] or inside[tree.parents[p]]
+    any_article = any(inside[p] for p in chars)
     most = sum(chars.values()) / 2
-    marks = {e for e, n in held.items() if any_article or n <= most}
-    return {p: (1 if inner[p] >= 0 else 0.25) * (0.05 if any(p[k].endswith("!") and p[: k + 1] in marks for k in range(inner[p] + 1, len(p))) else 1) for p in chars}
+    marked = [False] * size
+    for p in range(1, size):
+        marked[p] = not article[p] and (marked[tree.parents[p]] or tree.steps[p].endswith("!") and (any_article or held[p] <= most))
+    return {p: (1 if inside[p] else 0.25) * (0.05 if marked[p] else 1) for p in chars}
 
 
 def main_text(page: str | None, threshold: float = 0.1) -> str:
     """The blocks under paths whose score reaches ``threshold`` times the best one, joined by line feeds."""
     if not page:
         return ""
-    found = page_blocks(page)
+    found, tree = page_blocks(page)
     if not found:
         return ""
-    scores = path_scores(found)
+    scores = path_scores(found, tree)
     cut = threshold * max(scores.values())
     kept = {p for p, s in scores.items() if s >= cut}
     return "\n".join(text for path, text, _ in found if path in kept)
@@ -259,10 +298,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row of ``pages``."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in blocks(frames, column="html"):
             text = [main_text(h) for h in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    cols = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    cols = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     return cols.mapInPandas(work, f"page_id {kind}, url string, text string, n_chars long")
