@@ -3,10 +3,11 @@
 The items are the indexed documents; every passage of every training text is a query. Passages are windows of
 words that overlap by half and are twice as long as the longest item, so that any occurrence of an item lies
 whole in one of them. Weights are BM25's, divided by the item's score for itself, so one threshold (``least``,
-a share of the full score) holds for all items. Bounds are used as in block-max WAND: terms so common that all of
-them together stay well below the threshold for every item can't select one, so only the others' postings are
-walked, and for a passage and a block of items their block maxima, with the most that the common terms can add,
-must reach the threshold. In what remains scores are exact, and all items at or above it are retrieved.
+a share of the full score) holds for all items. Retrieval is block-max WAND in two steps. Over all passages of a text at
+once, by arrays: terms so common that all of them together stay well below the threshold for every item can't select one,
+so for a passage and a block of items the block maxima of the others, with the most that the common terms can add, must
+reach the threshold. For the passages that remain, cursors over the postings go from pivot to pivot and skip blocks whose
+maxima stay below the threshold; scores are exact, and all items at or above it are retrieved.
 Each retrieved item is then verified: its question (all but the last line or sentence) and its answer (that last
 one) must both recur in the passage, as shares of their word trigrams.
 
@@ -16,13 +17,15 @@ length and longest item are those of all items, whatever the blocks.
 
 Defined cases: null and empty texts and items match nothing; an item of one sentence is question and answer
 in one; case and punctuation don't count; of an item's passages in one document the best is returned (by
-score, then by position); extra columns are ignored.
+score, then by position); ids of items may be of any type, repeated or null (rows of one id and text count once);
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 from mendwright.llm.common import blocks, texts_of, written
 
+#: The share of the threshold that all common terms of an item may make up; any share below 1 gives the same results.
+COMMON = 0.6
 WORDS = re.compile(r"\w+").findall
 ANSWER = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -58,7 +63,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Bm25Index:
     """Postings of a block of items with weights relative to each item's own score, and maxima by term and by block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, least: float = 0.5, block: int = 8, whole: tuple[int, int, int, dict[str, int]] | None = None) -> None:
+    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, least: float = 0.5, block: int = 8, whole: tuple[int, int, int, dict[str, int]] | None = None) -> None:
         """whole: number of all items, of their words and of the longest one's, and of the items with each term; None if these are all."""
         items = [(i, t) for i, t in items if t and words_of(t)]
         self.ids = [i for i, _ in items]
@@ -90,6 +95,10 @@ class Bm25Index:
         self.block_starts = np.cumsum([0] + [len(m) for m in maxima])
         self.block_of = np.array([k for m in maxima for k in m], np.int64)
         self.block_top = np.array([w for m in maxima for w in m.values()], np.float64)
+        # for the search, as plain lists: maxima by term, and by term and block
+        self._items, self._weights = self.items.tolist(), self.weights.tolist()
+        self._tops = [max(m.values(), default=0.0) for m in maxima]
+        self._in_block = {(t, k): w for t, m in enumerate(maxima) for k, w in m.items()}
         # common terms: as many of the most frequent as leave each item well below the threshold
         light = np.zeros(len(items))
         self.essential = np.ones(len(df) + 1, bool)
@@ -97,7 +106,7 @@ class Bm25Index:
         for t, _ in sorted(df.items(), key=lambda p: (-p[1], p[0])):
             k = self.terms[t]
             i, w = self.items[self.starts[k] : self.starts[k + 1]], self.weights[self.starts[k] : self.starts[k + 1]]
-            if (light[i] + w <= 0.6 * least).all():
+            if (light[i] + w <= COMMON * least).all():
                 light[i] += w
                 self.essential[k] = False
         self.light = np.maximum.reduceat(light, np.arange(0, len(items), block)) if len(items) else np.zeros(1)
@@ -122,18 +131,51 @@ class Bm25Index:
         return ids
 
     def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that reach ``least`` for the distinct terms of a passage."""
-        terms = np.unique(terms)
-        terms = terms[terms > 0]
-        at = _runs(self.block_starts, terms)
-        bound = np.bincount(self.block_of[at], weights=self.block_top[at], minlength=self.n_blocks)
-        alive = bound >= least - 1e-9
-        if not alive.any():
+        """(item, score) of all items that reach ``least`` for the distinct terms of a passage, by block-max WAND.
+
+        Each term has a cursor on its postings, which stand by item. With the cursors in order of their items, the pivot is the
+        first item that the terms' maxima up to it could lift to the threshold; everything before it is skipped. If the maxima of the
+        pivot's block can't reach the threshold either, the cursors skip to the next block's first item, else the pivot is scored.
+        """
+        need = least - 1e-9
+        cursors = []  # [item, place, end, term]
+        for t in np.unique(terms).tolist():
+            if t and self.starts[t] < self.starts[t + 1]:
+                cursors.append([self._items[self.starts[t]], int(self.starts[t]), int(self.starts[t + 1]), t])
+        if sum(self._tops[c[3]] for c in cursors) < need:
             return []
-        at = _runs(self.starts, terms)
-        at = at[alive[self.items[at] // self.block]]
-        scores = np.bincount(self.items[at], weights=self.weights[at])
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= least - 1e-9)]
+        out, items, weights, tops, in_block = [], self._items, self._weights, self._tops, self._in_block
+        cursors.sort()
+        while cursors:
+            bound, k = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += tops[c[3]]
+                if bound >= need:
+                    break
+            else:
+                break
+            pivot = cursors[k][0]
+            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
+                k += 1
+            block = pivot // self.block
+            if sum(in_block.get((c[3], block), 0.0) for c in cursors[: k + 1]) >= need:
+                aim = pivot + 1
+                score = sum(weights[c[1] if c[0] == pivot else bisect_left(items, pivot, c[1], c[2])] for c in cursors[: k + 1] if c[0] == pivot or self._has(c, pivot))
+                if score >= need:
+                    out.append((pivot, score))
+            else:
+                aim = (block + 1) * self.block
+                if k + 1 < len(cursors):
+                    aim = max(pivot + 1, min(aim, cursors[k + 1][0]))
+            for c in cursors[: k + 1]:
+                c[1] = bisect_left(items, aim, c[1], c[2])
+                c[0] = items[c[1]] if c[1] < c[2] else -1
+            cursors = sorted(c for c in cursors if c[0] >= 0)
+        return out
+
+    def _has(self, cursor: list[int], item: int) -> bool:
+        at = bisect_left(self._items, item, cursor[1], cursor[2])
+        return at < cursor[2] and self._items[at] == item
 
     def _bounds(self, ids: np.ndarray, step: int, windows: int) -> np.ndarray:
         """For each window of two steps, the most that any item can score, over blocks of items."""
@@ -178,12 +220,14 @@ def _runs(starts: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, question: float = 0.6, answer: float = 0.5, block_items: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, question: float = 0.6, answer: float = 0.5, block_items: int = 5000, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, passage, score, question_overlap, answer_overlap) of each item found in a document."""
     own = texts_of(docs, id_col, text_col)
-    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id long, passage long, score double, question_overlap double, answer_overlap double"
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    n_blocks = max(1, -(-items.count() // block_items))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id {kind}, passage long, score double, question_overlap double, answer_overlap double"
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = items.agg(F.count("*"), F.sum(F.length("text"))).first()
+    n_blocks = max(1, -(-size[0] // block_items), -(-(size[1] or 0) // block_chars))
     if n_blocks > 1:
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,12 +235,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 words = [words_of(t) for t in frame["text"]]
                 yield frame.assign(words=[len(w) for w in words], terms=[list(set(w)) for w in words])
 
-        items = written(items.mapInPandas(split, "item_id long, text string, words long, terms array<string>"))
+        items = written(items.mapInPandas(split, f"item_id {kind}, text string, words long, terms array<string>"))
         totals = items.where("words > 0").agg(F.count("*"), F.sum("words"), F.max("words")).first()
         frequencies = written(items.select(F.explode("terms").alias("term")).groupBy("term").count())
     parts = []
     for k in range(n_blocks):
-        own_items = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
+        own_items = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         rows = own_items.select("item_id", "text").orderBy("item_id", "text").collect()
         whole = None
         if n_blocks > 1:
@@ -209,7 +253,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             index = shared.value
             for frame in blocks(frames):
                 out = [(i, *m) for i, text in zip(frame["doc_id"], frame["text"], strict=True) for m in index.matches(text, least, question, answer)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"])
+                found = pd.DataFrame(out, columns=["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"])
+                yield found.assign(item_id=pd.Series([m[1] for m in out], dtype="Int64" if kind in ("bigint", "int", "smallint", "tinyint") else object))
 
         parts.append(own.mapInPandas(work, schema))
     return reduce(DataFrame.unionByName, parts)

@@ -363,7 +363,7 @@ def test_leaks(spark):
 def test_bounds_lose_nothing():
     r = random.Random(1)
     vocabulary = [f"w{k}" for k in range(60)]
-    items = [(k, " ".join(r.choices(vocabulary, k=12)) + ".") for k in range(40)]
+    items = [(k, " ".join(r.choices(vocabulary, k=12)) + ".") for k in range(90)]
     index = decontaminate.Bm25Index(items, least=0.5)
     weights = np.zeros((len(index.terms) + 1, len(items)))
     for t in index.terms.values():
@@ -382,6 +382,12 @@ def test_leaks_odd(spark):
     items = spark.createDataFrame([(1, "One two three four five. Answer six seven."), (2, None), (3, ""), (None, "x y z"), (4, "solo")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Zero ONE two, three four five answer six seven eight"), (2, None), (3, "One two three four five. Nothing else here"), (1, "Zero ONE two, three four five answer six seven eight")], "doc_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()] == [(1, 1), (1, 1)]
+    told = items.selectExpr("if(item_id = 1, null, 'item ' || item_id) item_id", "text", "1 as score")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, told).collect()] == [(1, None), (1, None)]
+    nulls = items.selectExpr("if(item_id = 1, null, item_id) item_id", "text")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, nulls, block_items=1).collect()] == [(1, None), (1, None)]
+    long = spark.createDataFrame([(1, "pad " * 60_000 + "one two three four five answer six seven" + " pad" * 60_000)], "doc_id long, text string")
+    assert [r["item_id"] for r in decontaminate.find_leaks(long, items).collect()] == [1]
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
@@ -394,6 +400,8 @@ def test_blocks_of_items_change_nothing(spark):
     docs = spark.createDataFrame(list(enumerate(texts + altered)), "doc_id long, text string")
     one, many = ({(x["doc_id"], x["item_id"], x["passage"], round(x["score"], 9)) for x in decontaminate.find_leaks(docs, items, question=0.1, answer=0.0, block_items=n).collect()} for n in (5000, 4))
     assert one == many and len(one) > 12
+    few = {(x["doc_id"], x["item_id"], x["passage"], round(x["score"], 9)) for x in decontaminate.find_leaks(docs, items, question=0.1, answer=0.0, block_chars=150).collect()}
+    assert one == few
 
 
 # language ID
