@@ -235,9 +235,41 @@ def test_lm_sums_to_one():
         assert math.isclose(sum(model.arc(state, w) for w in ["a", "b", "c", None, "unknown"]), 1)
 
 
+def test_lm_carries_the_state():
+    """At each position the state carried on and the weight are those of the plain automaton, and the arc taken leads to that state."""
+    r = random.Random(9)
+    docs = [[r.choice("abcdefgh") for _ in range(r.randrange(0, 30))] + [None] for _ in range(60)]
+    for order in (1, 2, 3, 4):
+        plain = Automaton(docs[::2], order, 0.3)
+        tokens = np.array([ord(x) if x else 1 for w in docs for x in w], np.uint64)
+        sizes = np.array([len(w) for w in docs])
+        model = lm_score.Automaton(plain.n, plain.v, 0.3)
+        flat = [x for w in docs for x in w]
+        for n, (keys, at) in enumerate(lm_score._grams(tokens, sizes, [60] + [50] * (order - 1))):
+            distinct, place = np.unique(keys, return_inverse=True)
+            counts = np.zeros(len(distinct), np.int64)
+            counts[place] = [plain.counts[n][tuple(flat[k - n : k + 1])] for k in at]
+            model.add(counts, place, at, len(tokens))
+        _, scores, carried = model.traverse(sizes)
+        k = 0
+        for w in docs:
+            state = ()
+            for word in w:
+                total = 0.0
+                while state and not plain.counts[len(state)][(*state, word)]:
+                    total += math.log10(1 - plain.weight(state))
+                    state = state[1:]
+                total += math.log10(plain.arc(state, word))
+                state = (*state, word)[-(order - 1) :] if order > 1 else ()
+                while state and not plain.counts[len(state) - 1][state]:
+                    state = state[1:]
+                assert carried[k] == len(state) and math.isclose(scores[k], total, rel_tol=1e-9)
+                k += 1
+
+
 def test_lm_odd(spark):
     docs = [(None, None), (1, ""), (1, "a b"), (2, "A B " * 3000), (10, "x" * 10000)]
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(i, t, 1.0, "c", 2) for i, t in docs], "doc_id long, text string, score double, chunk string, bucket int")
     rows = lm_score.score(df, chunk_docs=2).collect()
     assert sorted(r["n_tokens"] for r in rows) == [1, 1, 2, 3, 6001]
     assert lm_score.score(df.limit(0)).count() == 0
