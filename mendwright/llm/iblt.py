@@ -14,13 +14,15 @@ are dealt once, by ranges of doc_id cut at sampled quantiles; the row that begin
 range before it, so no range needs to see another.
 
 Defined cases: null and empty texts have the fingerprint of no paragraphs; equal texts have equal fingerprints;
-a single row is its own next; repeated ids stand in order of their texts; extra columns are ignored.
+a single row is its own next; repeated ids stand in order of their texts, in one range; ids may be numbers, texts or
+dates; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from mendwright.llm.common import texts_of
 
@@ -134,21 +136,37 @@ def _likeness(name: str, other: str, df: DataFrame) -> DataFrame:
     return df.withColumn("alone", alone).withColumn(name, likeness).drop("peeled", "alone")
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 16_384) -> DataFrame:
-    """Each row (doc_id, text, keys) with next_text and next_keys, and its ``bucket``, by which the result is partitioned."""
+def _edges(ids: DataFrame, buckets: int) -> list:
+    """Ascending values of doc_id that cut its rows into about so many ranges; at most one edge for each range comes to the driver."""
+    if not isinstance(ids.schema["doc_id"].dataType, NumericType):
+        dealt = ids.where("doc_id is not null").repartitionByRange(buckets, "doc_id")
+        return sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).select("min(doc_id)").collect())
+    shares = [k / buckets for k in range(1, buckets)]
+    return sorted(set(ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * buckets))).first()[0] or []))
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 1 << 18) -> DataFrame:
+    """Each row (doc_id, text, keys) with next_text and next_keys, and its ``bucket``, by which the result is partitioned.
+
+    doc_id may be of any type that has an order and a text form. Beyond ``most_buckets`` ranges these get longer; their sort spills.
+    """
     ids = docs.select("doc_id")
-    n = ids.count()
-    buckets = max(1, min(most_buckets, n // bucket_rows))
-    cuts, first = [], None
-    if n:
-        shares = [k / buckets for k in range(1, buckets)] or [0.5]
-        row = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * buckets)).alias("cuts"), F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-        first = None if row["nulls"] else row["first"]
-        cuts = sorted({c for c in row["cuts"] or [] if c > row["first"]}) if buckets > 1 else []
-    edges = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    row = ids.agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    buckets = max(1, min(most_buckets, row["n"] // bucket_rows))
+    first = None if row["nulls"] else row["first"]
+    cuts = [c for c in _edges(ids, buckets) if c > row["first"]] if buckets > 1 else []
+    mark = "\x1f"  # parts the edges; no value may hold it
+    while any(mark in str(c) for c in cuts):
+        mark += "\x1e"
+
+    def values(some: list) -> Column:
+        return F.split(F.lit(mark.join(map(str, some))), mark).cast(f"array<{kind}>") if some else F.array().cast(f"array<{kind}>")
+
+    edges = values(cuts)
     # two steps find the range: first among every side-th edge, then between two of these
     side = max(1, round(len(cuts) ** 0.5))
-    coarse = F.split(F.lit(",".join(map(str, cuts[::side]))), ",").cast("array<bigint>") if cuts else edges
+    coarse = values(cuts[::side])
     block = F.size(F.filter(coarse, lambda e: e <= F.col("doc_id")))
     within = F.slice(edges, F.greatest(block - 1, F.lit(0)) * side + 1, side)
     bucket = F.when(F.col("doc_id").isNull() | (block == 0), 0).otherwise((block - 1) * side + F.size(F.filter(within, lambda e: e <= F.col("doc_id"))))
@@ -166,7 +184,7 @@ def with_next(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 16_3
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likeness to that and to the next document."""
-    own = texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("keys", digests(F.col("text")))
+    own = texts_of(docs, id_col, text_col).withColumn("keys", digests(F.col("text")))
     half = F.floor(F.length("text") / 2).cast("int")
     df = with_next(own).withColumn("n_chars", F.length("text").cast("long"))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from mendwright.llm import iblt, jaccard_join, lm_score, packed, queries
+from mendwright.llm import common, iblt, jaccard_join, lm_score, packed, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +71,16 @@ def test_next_over_many_ranges(spark):
     assert got == {i: by_id[(i + 1) % 101] for i in range(101)}
 
 
+def test_next_of_text_ids(spark):
+    ids = ["", "a,b", "é", "x\x1fy", "A"] + [f"id {k}" for k in range(90)]
+    docs = [(i, f"t{k}") for k, i in enumerate(ids)] + [(None, "n"), ("id 5", "u")]
+    df = spark.createDataFrame(docs, "doc_id string, text string").selectExpr("doc_id", "text", "array(1L) keys")
+    got = sorted(((r["doc_id"], r["text"], r["next_text"]) for r in iblt.with_next(df, bucket_rows=5).collect()), key=repr)
+    order = sorted(docs, key=lambda d: (d[0] is not None, (d[0] or "").encode(), d[1]))
+    assert got == sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=repr)
+    check_fingerprints(iblt.fingerprints(df.limit(0).unionByName(df.where("doc_id is null"))).collect(), [(None, "n")])
+
+
 def test_fingerprints_run_no_python(spark):
     plan = queries.op2_iblt_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -303,6 +313,31 @@ def test_stages(spark, stages):
     assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SF).collect()} == {i: r["n_tokens"] for i, r in rows[5].items()}
 
 
+def test_pipeline_keeps_clashing_columns(spark):
+    text = "the cat and the dog are in the house with the other one"
+    rows = [(k, f"{text} {k}" if k < 3 else text, "en", "s", 1, f"key {k}", k, "c") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key string, `row` int, component_id string")
+    whole = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == whole.columns
+    assert [(r["doc_id"], r["row_key"], r["row"], r["component_id"]) for r in docs.collect()] == [(0, "key 0", 0, "c")]
+
+
+def test_own_names_are_free(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, `_A` int")
+    assert common.free_name(df, "a") == "__a"
+    facts = spark.createDataFrame([(k % 3, k, "x") for k in range(50)], "k int, v int, salt string")
+    table = spark.createDataFrame([(0, "zero"), (1, "one")], "k int, name string")
+    one, many = ({tuple(r) for r in common.looked_up(facts, table, ["k"], most_sent=n).collect()} for n in (100, 0))
+    assert one == many and len(one) == 34
+
+
+def test_written_files_lie_in_the_shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert folder.split("file:")[-1].lstrip("/") in common.written(spark.range(3)).inputFiles()[0]
+
+
 def test_pipeline_odd(spark):
     text = "the cat and the dog are in the house with the other one"
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text + " too", "en", None, None), (2, None, "en", "s", 0), (3, "", None, None, 0)]
