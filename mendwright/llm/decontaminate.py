@@ -95,10 +95,9 @@ class Bm25Index:
         self.block_starts = np.cumsum([0] + [len(m) for m in maxima])
         self.block_of = np.array([k for m in maxima for k in m], np.int64)
         self.block_top = np.array([w for m in maxima for w in m.values()], np.float64)
-        # for the search, as plain lists: maxima by term, and by term and block
+        # for the search, as plain lists, with the maxima by term
         self._items, self._weights = self.items.tolist(), self.weights.tolist()
         self._tops = [max(m.values(), default=0.0) for m in maxima]
-        self._in_block = {(t, k): w for t, m in enumerate(maxima) for k, w in m.items()}
         # common terms: as many of the most frequent as leave each item well below the threshold
         light = np.zeros(len(items))
         self.essential = np.ones(len(df) + 1, bool)
@@ -133,18 +132,25 @@ class Bm25Index:
     def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
         """(item, score) of all items that reach ``least`` for the distinct terms of a passage, by block-max WAND.
 
-        Each term has a cursor on its postings, which stand by item. With the cursors in order of their items, the pivot is the
-        first item that the terms' maxima up to it could lift to the threshold; everything before it is skipped. If the maxima of the
-        pivot's block can't reach the threshold either, the cursors skip to the next block's first item, else the pivot is scored.
+        Blocks of items are live if the terms' maxima in them reach the threshold; the others are skipped. Each term has a cursor
+        on its postings, which stand by item. With the cursors in order of their items, the pivot is the first item that the
+        terms' maxima up to it could lift to the threshold; everything before it is skipped. If the pivot's block isn't live, the
+        cursors skip to the next live one, else the pivot is scored.
         """
         need = least - 1e-9
-        cursors = []  # [item, place, end, term]
-        for t in np.unique(terms).tolist():
-            if t and self.starts[t] < self.starts[t + 1]:
-                cursors.append([self._items[self.starts[t]], int(self.starts[t]), int(self.starts[t + 1]), t])
-        if sum(self._tops[c[3]] for c in cursors) < need:
+        terms = np.unique(terms)
+        terms = terms[terms > 0]
+        runs = _runs(self.block_starts, terms)
+        live = np.flatnonzero(np.bincount(self.block_of[runs], weights=self.block_top[runs], minlength=self.n_blocks) >= need).tolist()
+        if not live:
             return []
-        out, items, weights, tops, in_block = [], self._items, self._weights, self._tops, self._in_block
+        out, items, weights, tops = [], self._items, self._weights, self._tops
+        cursors = []  # [item, place, end, term]
+        for t in terms.tolist():
+            end = int(self.starts[t + 1])
+            at = bisect_left(items, live[0] * self.block, int(self.starts[t]), end)
+            if at < end:
+                cursors.append([items[at], at, end, t])
         cursors.sort()
         while cursors:
             bound, k = 0.0, -1
@@ -157,26 +163,26 @@ class Bm25Index:
             pivot = cursors[k][0]
             while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
                 k += 1
-            block = pivot // self.block
-            if sum(in_block.get((c[3], block), 0.0) for c in cursors[: k + 1]) >= need:
-                aim = pivot + 1
-                score = sum(weights[c[1] if c[0] == pivot else bisect_left(items, pivot, c[1], c[2])] for c in cursors[: k + 1] if c[0] == pivot or self._has(c, pivot))
+            at = bisect_left(live, pivot // self.block)
+            if at < len(live) and live[at] == pivot // self.block:
+                score, aim = 0.0, pivot + 1
+                for c in cursors[: k + 1]:
+                    c[1] = bisect_left(items, pivot, c[1], c[2])
+                    if c[1] < c[2] and items[c[1]] == pivot:
+                        score += weights[c[1]]
                 if score >= need:
                     out.append((pivot, score))
+                moved = k + 1
             else:
-                aim = (block + 1) * self.block
-                if k + 1 < len(cursors):
-                    aim = max(pivot + 1, min(aim, cursors[k + 1][0]))
-            for c in cursors[: k + 1]:
+                if at == len(live):
+                    break
+                aim, moved = live[at] * self.block, len(cursors)
+            for c in cursors[:moved]:
                 c[1] = bisect_left(items, aim, c[1], c[2])
                 c[0] = items[c[1]] if c[1] < c[2] else -1
             cursors = sorted(c for c in cursors if c[0] >= 0)
         return out
 
-    def _has(self, cursor: list[int], item: int) -> bool:
-        at = bisect_left(self._items, item, cursor[1], cursor[2])
-        return at < cursor[2] and self._items[at] == item
-
     def _bounds(self, ids: np.ndarray, step: int, windows: int) -> np.ndarray:
         """For each window of two steps, the most that any item can score, over blocks of items."""
         at = np.flatnonzero(self.essential[ids])
