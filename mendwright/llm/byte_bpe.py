@@ -93,7 +93,7 @@ class RankQueue:
 class ByteBPE:
     """Encoder and decoder over ranks; ids are ranks and must lie below 65,535."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 150_000) -> None:
         self.ranks, self.most_kept = ranks, most_kept
         self.split = exact_pattern(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -263,7 +263,7 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return _KEPT[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_chars: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most_chars: int = 3_000_000) -> DataFrame:
     """One row per document: n_tokens, digests of the ids and of their decoding; ``with_ids`` adds the ids themselves."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

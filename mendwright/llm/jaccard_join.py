@@ -41,7 +41,7 @@ from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
 #: Chunks for each bucket of the key space: messages go from every chunk to every bucket, and a bucket's keys must fit in a task.
-CHUNKS_A_BUCKET = 4
+CHUNKS_A_BUCKET = 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _HASHES: dict[bytes, int] = {}
 
@@ -141,6 +141,8 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate([unpack_counts(x) for x in frame["counts"]]), minlength=len(distinct)).astype(np.int64)
         parts = np.split(totals[place], np.cumsum([len(k) for k in keys])[:-1])
+        del keys, distinct, place
+        trim()
         return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "totals": [pack_counts(p) for p in parts], "node": np.zeros(len(frame), np.int64)})  # no nulls: pandas would make floats of them
 
     def choose(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
