@@ -86,3 +86,36 @@ def char_ngrams(x: Column, low: int = 2, high: int = 4) -> Column:
 
 def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def once(x: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def currency(x: Column, places: int = 2) -> Column:
+    """Ringgit as a reader sees it: ``RM``, a no-break space, thousands and decimals; the sign comes first."""
+    d = x.cast("double")
+    return F.concat(F.when(d < 0, "-").otherwise(""), F.lit("RM\u00a0"), F.format_number(F.abs(d), places))
+
+
+def kilometres(x: Column) -> Column:
+    return F.concat(F.format_number(x.cast("bigint"), 0), F.lit(" km"))
+
+
+def number_prefix(x: Column) -> Column:
+    """The number that a text begins with, after white space; null if there is none."""
+    return F.nullif(F.regexp_extract(x, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1), F.lit("")).cast("double")
+
+
+def progress(x: Column, whole: int) -> Column:
+    """How far into its current ``whole`` a count is, in percent; nulls are at the beginning."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(x.cast("double"), F.lit(0.0)) % whole * 100 / whole))
+
+
+def uri_part(x: Column) -> Column:
+    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+
+
+def midnight_text(x: Column) -> Column:
+    return F.concat(F.date_format(x, "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Weights of the correctors, and the patterns of one misread character each.
+# Weights of the correctors, the patterns of one misread character each, corrections by name.
 VOTE_WEIGHTS = {"rule": 0.3, "ml": 0.5, "transformer": 0.2}
-MISREAD = {"0": "o", "1": "i", "5": "s", "8": "b", "6": "g", "2": "z", "3": "e", "4": "a", "7": "t"}
+MISREAD = {"o": "0", "0": "o", "i": "1", "1": "i", "l": "1", "s": "5", "5": "s", "b": "6", "6": "b"}
 FRAMEWORK_CORRECTIONS = {"toyot": "toyota", "hond": "honda", "civicy": "civic", "camr": "camry"}
 
 
@@ -31,6 +31,16 @@ def correct(inputs: DataFrame, direct: DataFrame, fuzzy: DataFrame, later: list[
     return done.select("key", "input", "r.corrected", "r.confidence", "r.method", changed.alias("was_corrected"))
 
 
+def later_stages(learned: DataFrame, close: DataFrame, distance: DataFrame, threshold: float = 0.7, with_probability: bool = True) -> list[tuple[str, DataFrame]]:
+    """The stages after the mappings: the learned corrector from the threshold on (without probabilities its label counts 0.7),
+    the closest by weighted ratio, the first within the edit distance. Each table: (input, candidate, confidence)."""
+    if with_probability:
+        told = ("ml_model", learned.where(F.col("confidence") >= threshold))
+    else:
+        told = ("ml_model_simple", learned.withColumn("confidence", F.lit(0.7)))
+    return [told, ("fuzzy_fallback", close), ("rule_based_levenshtein", distance)]
+
+
 def unresolved(inputs: DataFrame, *mappings: DataFrame) -> DataFrame:
     """Distinct inputs that no mapping knows: what the costly stages have to look at."""
     out = inputs.select(F.trim(F.lower(F.col("input"))).alias("input")).where("input <> ''").distinct()
@@ -46,6 +56,17 @@ def build_mappings(predictions: DataFrame) -> DataFrame:
     return last.select("input", "m.correction", "m.confidence", "kind")
 
 
+def pattern_mappings(spark: SparkSession) -> DataFrame:
+    """(name, pattern_type, from_char, to_char) of the misread characters."""
+    rows = [(f"ocr_{a}_to_{b}", "ocr_substitution", a, b) for a, b in MISREAD.items()]
+    return spark.createDataFrame(rows, "name string, pattern_type string, from_char string, to_char string")
+
+
+def first_available(answers: list[Column]) -> Column:
+    """The answer of the first corrector that has one, null or blank being none."""
+    return F.coalesce(*[F.when(F.trim(a.cast("string")) != "", a) for a in answers])
+
+
 def vote(votes: DataFrame, weights: dict[str, float] = VOTE_WEIGHTS, threshold: float = 0.6) -> DataFrame:
     """(key, candidate, score) by votes (key, model, candidate, confidence): weight x confidence summed by candidate, the largest over all weights; ties to the first name."""
     w = F.create_map(*[F.lit(x) for p in weights.items() for x in p])

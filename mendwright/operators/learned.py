@@ -5,6 +5,8 @@ A radial-basis machine isn't part of Spark ML; a linear one against the rest tak
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -27,8 +29,9 @@ def classifier(kind: str):
     }[kind]()
 
 
-def featured(df: DataFrame, text: str = "input_text", low: int = 2, high: int = 4) -> DataFrame:
-    return df.withColumn("grams", char_ngrams(F.lower(F.col(text)), low, high))
+def featured(df: DataFrame, kind: str, text: str = "input_text") -> DataFrame:
+    """Adds the text's n-grams: of two to four characters, for the linear machine of two and three."""
+    return df.withColumn("grams", char_ngrams(F.lower(F.col(text)), 2, 3 if kind == "svm" else 4))
 
 
 def pipeline(kind: str, features: int = 5000) -> Pipeline:
@@ -40,13 +43,13 @@ def pipeline(kind: str, features: int = 5000) -> Pipeline:
 
 
 def fit(train: DataFrame, kind: str, features: int = 5000) -> PipelineModel:
-    return pipeline(kind, features).fit(featured(train))
+    return pipeline(kind, features).fit(featured(train, kind))
 
 
-def predict(model: PipelineModel, df: DataFrame, threshold: float | None = None) -> DataFrame:
+def predict(model: PipelineModel, df: DataFrame, threshold: float | None = None, kind: str = "naive_bayes") -> DataFrame:
     """(row_id, input_text, correct_text, predicted, confidence); below the threshold predicted is null. Labels are decoded by name."""
     labels = model.stages[0].labels
-    out = model.transform(featured(df))
+    out = model.transform(featured(df, kind))
     names = F.array(*[F.lit(x) for x in labels])
     confidence = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(1.0)
     predicted = F.element_at(names, F.col("prediction").cast("int") + 1)
@@ -57,7 +60,11 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float | None = None)
 
 def cross_validated(train: DataFrame, kind: str, folds: int = 5, features: int = 1000) -> tuple[float, float]:
     """(mean, standard deviation) of accuracy over the folds."""
-    found = CrossValidator(estimator=pipeline(kind, features), estimatorParamMaps=ParamGridBuilder().build(), evaluator=MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy"), numFolds=folds, seed=42).fit(featured(train))
+    held = featured(train, kind).persist()
+    try:
+        found = CrossValidator(estimator=pipeline(kind, features), estimatorParamMaps=ParamGridBuilder().build(), evaluator=MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy"), numFolds=folds, seed=42).fit(held)
+    finally:
+        held.unpersist()
     return found.avgMetrics[0], found.stdMetrics[0]
 
 
@@ -69,6 +76,6 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def metadata(**values) -> dict:
-    """The record that goes with a saved model."""
-    return {k: v for k, v in values.items() if v is not None}
+def metadata(kind: str, mean: float, deviation: float, features: int, labels: int, trained_at: str) -> str:
+    """The record that goes with a saved model, as JSON."""
+    return json.dumps({"model_type": kind, "accuracy": {"mean": mean, "std": deviation}, "features": features, "labels": labels, "trained_at": trained_at})

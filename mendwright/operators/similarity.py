@@ -1,9 +1,10 @@
 """String similarity, fuzzy matching to a master table, and error classes.
 
-A pair is scored once for each distinct value: distinct inputs meet distinct candidates, and results join back.
+A pair is scored once for each distinct value: distinct inputs meet distinct candidates, and results join back. Only pairs
+that have enough letters in common to reach the cutoff are scored, a bound that loses nothing and needs no Python.
 Candidates are a master table. Its size is checked: up to ``MOST_SENT`` rows it is sent to every executor; a larger
 one is dealt into blocks of about that many rows, and each partition of inputs meets each block in a task of its own.
-Both ways meet every pair within the length bound, so the size decides where pairs meet, not which.
+Both ways meet every pair within the bounds, so the size decides where pairs meet, not which.
 """
 
 from __future__ import annotations
@@ -39,14 +40,41 @@ def levenshtein_score(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
 
 
-def candidate_pairs(inputs: DataFrame, master: DataFrame, cutoff: float) -> DataFrame:
-    """(input, candidate, position) pairs that pass the length bound. inputs: (input); master: (candidate, position)."""
-    near = could_reach(F.col("input"), F.col("candidate"), cutoff)
+#: Letters are counted in so many places, each up to so often; what is beyond counts as shared.
+PLACES, DEPTH = 64, 3
+
+
+def _letters(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Adds ``name``: bit k of level d is set if a letter of place k occurs more than d times in column c, and how many letters go beyond."""
+    places = F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ""), lambda x: F.when(x == "", -1).otherwise(F.pmod(F.xxhash64(x), F.lit(PLACES)).cast("int")))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda k: F.size(F.filter(F.col(f"{name}_p"), lambda x: x == k)))
+    level = lambda d: F.aggregate(F.transform(F.col(f"{name}_n"), lambda n, k: F.when(n > d, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    beyond = F.aggregate(F.col(f"{name}_n"), F.lit(0), lambda x, n: x + F.greatest(n - DEPTH, F.lit(0)))
+    return df.withColumn(f"{name}_p", places).withColumn(f"{name}_n", counts).withColumn(name, F.struct(*[level(d).alias(f"l{d}") for d in range(DEPTH)], beyond.alias("beyond"))).drop(f"{name}_p", f"{name}_n")
+
+
+def could_share(a: Column, b: Column) -> Column:
+    """At least as many letters as two strings have in common, counted with repeats; a and b are their ``_letters``."""
+    shared = sum((F.bit_count(a[f"l{d}"].bitwiseAND(b[f"l{d}"])) for d in range(DEPTH)), F.lit(0))
+    return shared + F.least(a["beyond"], b["beyond"])
+
+
+def candidate_pairs(inputs: DataFrame, master: DataFrame, cutoff: float, near=None) -> DataFrame:
+    """(input, candidate, position) pairs that may reach the cutoff. inputs: (input); master: (candidate, position).
+
+    Neither the gestalt ratio nor 1 - distance / length exceeds 2 * (letters in common) / (sum of the lengths), so nothing is
+    lost. ``near`` puts another condition, made of the number of letters in common, in the place of this one.
+    """
     n = master.count()
-    if n <= MOST_SENT:
-        return inputs.join(F.broadcast(master), near)
-    dealt = master.repartition(-(-n // max(1, MOST_SENT)), "candidate")
-    return inputs.join(dealt.hint("shuffle_replicate_nl"), near)
+    x, y = _letters(inputs, "input", "_x"), _letters(master, "candidate", "_y")
+    if n > MOST_SENT:
+        y = y.repartition(-(-n // max(1, MOST_SENT)), "candidate").hint("shuffle_replicate_nl")
+    else:
+        y = F.broadcast(y)
+    a, b = F.length("input"), F.length("candidate")
+    share = could_share(F.col("_x"), F.col("_y"))
+    near = near(share) if near else could_reach(F.col("input"), F.col("candidate"), cutoff) & (2 * share >= cutoff * (a + b))
+    return x.join(y, near).drop("_x", "_y")
 
 
 def suggestions(inputs: DataFrame, master: DataFrame, n: int = 3, cutoff: float = 0.6, score=gestalt, reverse: bool = True) -> DataFrame:
@@ -77,7 +105,7 @@ def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold:
     """Each user row (key, brand, model, year) with its best master row: 0.4 brand + 0.4 model + 0.2 if the year is in range.
 
     The master keeps its texts as they are unless ``normalize_master``; the first master row wins ties, so master
-    rows carry a ``position``. Brand and model are scored once for each distinct pair.
+    rows carry a ``position`` of any type with an order. Brand and model are scored once for each distinct pair.
     """
     norm = lambda c: years.normalized_text(F.col(c))
     u = users.select("*", norm("brand").alias("nb"), norm("model").alias("nm"), years.match_year(F.col("year").cast("string")).alias("ny"))
@@ -92,11 +120,12 @@ def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold:
         return pairs.select(F.col("input").alias(mine), F.col("candidate").alias(theirs), score(F.col("input"), F.col("candidate")).alias(name)).where(F.col(name) >= least)
 
     brands, models = scored_pairs("nb", "cb", "sb"), scored_pairs("nm", "cm", "sm")
-    texts = u.select("nb", "nm").distinct().join(brands, "nb").join(m, "cb").join(models, ["nm", "cm"]).where(wb * F.col("sb") + wm * F.col("sm") >= threshold - wy - 1e-9)
+    # the models first, for they choose most; then their master rows, then the brands of these
+    texts = u.select("nb", "nm").distinct().join(models, "nm").join(m, "cm").join(brands, ["nb", "cb"]).where(wb * F.col("sb") + wm * F.col("sm") >= threshold - wy - 1e-9)
     both = u.join(texts, ["nb", "nm"])
     inside = F.coalesce(F.col("ny").between(F.col("year_start"), F.col("year_end")), F.lit(False))
     scored = both.withColumn("score", wb * F.col("sb") + wm * F.col("sm") + F.when(inside, wy).otherwise(0.0)).where(F.col("score") >= threshold)
-    best = scored.groupBy("key").agg(F.max_by(F.struct("mb", "mm", "year_start", "year_end", "score", "sb", "sm"), F.struct(F.col("score"), -F.col("position"))).alias("match"))
+    best = scored.groupBy("key").agg(F.min_by(F.struct("mb", "mm", "year_start", "year_end", "score", "sb", "sm"), F.struct(-F.col("score"), "position")).alias("match"))
     return u.join(best, "key", "left")
 
 
@@ -148,12 +177,107 @@ def correction_rate(corrected: DataFrame) -> DataFrame:
     return corrected.agg(F.count("*").alias("total"), n.alias("corrected"), F.coalesce(F.try_divide(n.cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("rate"))
 
 
+def _percent(a: str, b: str) -> int:
+    return round(100 * SequenceMatcher(None, a, b).ratio()) if a and b else 0
+
+
+def _part_percent(a: str, b: str) -> int:
+    """The best ratio of the shorter string with as long a part of the longer one, begun where a matching block puts it."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 0
+    best = 0.0
+    for i, j, _ in SequenceMatcher(None, short, long).get_matching_blocks():
+        part = long[max(0, j - i) : max(0, j - i) + len(short)]
+        best = max(best, SequenceMatcher(None, short, part).ratio())
+    return 100 if best > 0.995 else round(100 * best)
+
+
+def _token_percents(a: str, b: str, ratio) -> tuple[int, int]:
+    """(ratio of the sorted words, best ratio among the shared words and these with the words of either)."""
+    x, y = a.split(), b.split()
+    same = " ".join(sorted(set(x) & set(y)))
+    one, two = (f"{same} {' '.join(sorted(set(p) - set(q)))}".strip() for p, q in ((x, y), (y, x)))
+    return ratio(" ".join(sorted(x)), " ".join(sorted(y))), max(ratio(same, one), ratio(same, two), ratio(one, two))
+
+
+def weighted_percent(a: str | None, b: str | None) -> int:
+    """The weighted ratio of two strings, 0 to 100, for lower-cased letters and digits: the whole ratio, or 0.95 of those of the
+    words; where one is 1.5 times as long or longer, those of parts count, by 0.9, or by 0.6 from 8 times on."""
+    a, b = (" ".join("".join(c if c.isalnum() or c == "_" else " " for c in (x or "")).lower().split(" ")).strip() for x in (a, b))
+    if not a or not b:
+        return 0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    base = _percent(a, b)
+    if longer < 1.5:
+        return round(max(base, *(0.95 * t for t in _token_percents(a, b, _percent))))
+    scale = 0.6 if longer > 8 else 0.9
+    return round(max(base, scale * _part_percent(a, b), *(0.95 * scale * t for t in _token_percents(a, b, _part_percent))))
+
+
+def _weighted(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_percent(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def extract_one(inputs: DataFrame, master: DataFrame, threshold: int = 70) -> DataFrame:
-    """(input, candidate, score): each input's best candidate with a score of 0 to 100 at or above the threshold, ties to the first candidate.
+    """(input, candidate, score): each input's best candidate by weighted ratio at or above the threshold, ties to the first one.
 
-    The score is the gestalt ratio times 100, which stands in for a weighted ratio of a library that isn't at hand.
+    Pairs that share a word are scored, and others if they have enough letters in common: without shared words no ratio exceeds
+    2c / (c + shorter length), with c letters in common and the lengths of the distinct words.
     """
-    pairs = candidate_pairs(inputs, master, threshold / 100)
-    scored = pairs.withColumn("score", F.round(gestalt(F.col("input"), F.col("candidate")) * 100).cast("int")).where(F.col("score") >= threshold)
-    best = scored.groupBy("input").agg(F.max_by(F.struct("candidate", "score"), F.struct(F.col("score"), -F.col("position"))).alias("b"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]", " "), " "), lambda w: w != ""))
+    x = inputs.where(F.col("input").isNotNull()).withColumn("x_words", words("input"))
+    y = master.where(F.col("candidate").isNotNull()).withColumn("y_words", words("candidate"))
+    shorter = F.least(*[F.length(F.array_join(w, " ")) for w in ("x_words", "y_words")])
+    least = (threshold - 1) / 100  # what rounds to the threshold
+    lowered = lambda df, c: df.withColumns({"own": F.col(c), c: F.lower(c)}).withColumnRenamed("own", f"own_{c}")
+    pairs = candidate_pairs(lowered(x, "input"), lowered(y, "candidate"), least, lambda share: F.arrays_overlap("x_words", "y_words") | (2 * share >= least * (share + shorter)))
+    scored = pairs.withColumn("score", F.pandas_udf(_weighted, "int")(F.col("own_input"), F.col("own_candidate"))).where(F.col("score") >= threshold)
+    best = scored.groupBy(F.col("own_input").alias("input")).agg(F.min_by(F.struct(F.col("own_candidate").alias("candidate"), "score"), F.struct(-F.col("score"), "position")).alias("b"))
     return best.select("input", "b.candidate", "b.score")
+
+
+def enhanced_years(users: DataFrame, master_years: DataFrame | None, threshold: float = 0.7, cutoff: float = 0.6, score=gestalt, reverse: bool = True) -> DataFrame:
+    """Years (key, year) validated, then, where that changed them, brought to the master's most similar year above the threshold.
+
+    Adds final_year, corrections (method, from, to, reason, confidence), methods and confidence. master_years: (candidate).
+    """
+    v = years.validated(users.withColumn("year", F.col("year").cast("string")), "year", threshold)
+    v = v.withColumn("t", F.when(F.col("year_correction_applied"), F.col("year_validated")))
+    if master_years is None:
+        v = v.withColumn("s", F.lit(None).cast("struct<candidate:string,confidence:double>"))
+    else:
+        changed = v.where(F.col("t") != F.col("year_original")).select(F.col("t").alias("input")).distinct()
+        near = suggestions(changed, master_years.where("candidate is not null").distinct().withColumn("position", F.lit(0)), 1, cutoff, score, reverse)
+        near = near.where((F.col("confidence") > threshold) & (F.col("candidate") != F.col("input"))).select(F.col("input").alias("t"), F.struct("candidate", "confidence").alias("s"))
+        v = v.join(near, "t", "left")
+    entry = lambda when, *x: F.when(when, F.struct(*[c.alias(n) for n, c in zip(("method", "from", "to", "reason", "confidence"), x, strict=True)]))
+    found = F.array_compact(F.array(
+        entry(F.col("year_correction_applied"), F.lit("year_validation"), F.col("year_original"), F.col("year_validated"), F.col("year_correction_reason"), F.col("year_confidence")),
+        entry(F.col("s").isNotNull(), F.lit("autocorrect"), F.col("t"), F.col("s.candidate"), F.lit("similarity_match"), F.col("s.confidence")),
+    ))
+    return v.select("key", F.col("year_original"), F.coalesce("s.candidate", "t", "year_original").alias("final_year"), found.alias("corrections")).withColumns({
+        "methods": F.array_join(F.transform("corrections", lambda x: x["method"]), ","),
+        "confidence": F.coalesce(F.array_min(F.transform("corrections", lambda x: x["confidence"])), F.lit(1.0)),
+    })
+
+
+def enhanced_statistics(corrected: DataFrame) -> DataFrame:
+    """One row over ``enhanced_years``: counts by kind of correction, and their rates."""
+    has = lambda m: F.exists("corrections", lambda x: x["method"] == m)
+    future = F.exists("corrections", lambda x: F.contains(x["reason"], F.lit("future_year_corrected")))
+    total = F.count("*")
+    counts = [total.alias("total_records"), F.count_if(future).alias("future_years_corrected"), F.count_if(has("year_validation")).alias("validation_corrections"), F.count_if(has("autocorrect")).alias("autocorrect_corrections"), F.count_if(F.size("corrections") == 0).alias("no_corrections")]
+    per = lambda n: F.round(F.coalesce(F.try_divide(n.cast("double"), F.col("total_records").cast("double")), F.lit(0.0)), 6)
+    return corrected.agg(*counts).withColumns({"correction_rate": per(F.col("validation_corrections") + F.col("autocorrect_corrections")), "future_rate": per(F.col("future_years_corrected"))})
+
+
+def processed_inputs(users: DataFrame, master: DataFrame, score=gestalt) -> DataFrame:
+    """The 14 columns of a user input's report (plate, brand, model, year as given and normalised, the match, errors). users: (key, plate, brand, model, year)."""
+    found = error_types(best_matches(users, master, score), F.col("plate"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return found.select(
+        *[text(c).alias(f"user_input_{c}") for c in ("plate", "brand", "model", "year")], F.col("nb").alias("normalized_brand"), F.col("nm").alias("normalized_model"), F.col("ny").alias("normalized_year"),
+        *[text(f"match.{m}").alias(f"matched_{n}") for m, n in (("mb", "brand"), ("mm", "model"), ("year_start", "year_start"), ("year_end", "year_end"))],
+        "confidence_score", "error_types", "has_errors",
+    )

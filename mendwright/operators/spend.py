@@ -34,9 +34,10 @@ def total(df: DataFrame, amount: str) -> DataFrame:
 
 
 def month_total(df: DataFrame, amount: str, date: Column, as_of: str) -> DataFrame:
-    """Spend in as_of's calendar month."""
-    same = month_start(date) == month_start(F.lit(as_of))
-    return df.agg(F.coalesce(F.sum(F.when(same, money(F.col(amount)))), F.lit(0)).cast("double").alias("month_total"))
+    """Spend in as_of's calendar month; the bounds of the month reach the scan."""
+    first = F.trunc(F.to_date(F.lit(as_of)), "MM")
+    inside = (date >= first.cast("timestamp_ntz")) & (date < F.add_months(first, 1).cast("timestamp_ntz"))
+    return df.where(inside).agg(F.coalesce(F.sum(money(F.col(amount))), F.lit(0)).cast("double").alias("month_total"))
 
 
 def monthly_series(df: DataFrame, amount: str, date: Column, as_of: str, months: int = 12, until_now: bool = True) -> DataFrame:
@@ -78,3 +79,8 @@ def latest_per_owner(df: DataFrame, owner: str, stamp: str, key: str) -> DataFra
     """Each owner's latest record, ties to the larger key: an aggregate, no sort of the owner's rows."""
     best = F.max_by(F.struct(*df.columns), F.struct(F.col(stamp), F.col(key)))
     return df.groupBy(F.col(owner).alias("__owner")).agg(best.alias("r")).select("r.*")
+
+
+def first_records(df: DataFrame, owner: str, order: str, n: int = 2) -> DataFrame:
+    """Each owner's first n rows; ranks are cut before the shuffle."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(owner).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")

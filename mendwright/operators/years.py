@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwright.functions.expr import rate, trimmed
+from mendwright.functions.expr import once, rate, trimmed
 
 # Fixed values.
 MIN_YEAR, MAX_YEAR, CUTOFF = 1980, 2025, 1900
@@ -47,7 +47,10 @@ def year_text(x: Column) -> Column:
 
 def repaired_format(s: Column) -> Column:
     """struct(text, confidence, reason). A later repair's confidence and reason take the place of an earlier one's."""
-    t = F.translate(s, "oOlI", "0011")
+    return once(F.translate(s, "oOlI", "0011"), lambda t: _completed(s, t))
+
+
+def _completed(s: Column, t: Column) -> Column:
     two = t.rlike(r"^[0-9]{2}$")
     n = F.when(two, t.cast("int"))
     three = t.rlike(r"^20[012]$")
@@ -61,7 +64,10 @@ def repaired_format(s: Column) -> Column:
 def repaired_range(t: Column, low: int = MIN_YEAR, high: int = MAX_YEAR) -> Column:
     """struct(text, confidence, reason) of digits held against the allowed years. Any number of digits compares."""
     digits = F.regexp_replace(t, "^0+(?=.)", "")
-    n = F.when(t.rlike("^[0-9]+$"), F.when(F.length(digits) > 9, F.lit(999_999_999)).otherwise(digits.try_cast("int")))
+    return once(F.when(t.rlike("^[0-9]+$"), F.when(F.length(digits) > 9, F.lit(999_999_999)).otherwise(digits.try_cast("int"))), lambda n: _in_range(t, n, low, high))
+
+
+def _in_range(t: Column, n: Column, low: int, high: int) -> Column:
     top = F.lit(str(high))
     text = F.when(n.isNull(), t).when((n > high) | (n < CUTOFF), top).otherwise(t)
     confidence = F.when(n.isNull(), 0.0).when(n > high, 1.0).when(n < CUTOFF, 0.8).when(n < low, 0.9).otherwise(1.0)
@@ -72,18 +78,24 @@ def repaired_range(t: Column, low: int = MIN_YEAR, high: int = MAX_YEAR) -> Colu
 def validated(df: DataFrame, column: str, threshold: float = 0.7, prefix: str | None = None) -> DataFrame:
     """Adds <c>_original, _validated, _correction_applied, _confidence and _correction_reason. No Python code runs on rows."""
     c = prefix or column
-    original = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    original = F.when(original == "0", F.lit("")).otherwise(original) if dict(df.dtypes)[column] != "string" else original
-    out = df.withColumn("__o", original).withColumn("__f", repaired_format(year_text(F.col(column).cast("string")))).withColumn("__r", repaired_range(F.col("__f.text")))
-    empty = year_text(F.col(column).cast("string")) == ""
-    confidence = F.when(empty, 0.0).otherwise(F.least("__f.confidence", "__r.confidence"))
-    applied = ~empty & (F.col("__o") != F.col("__r.text")) & (confidence >= threshold)
-    parts = F.filter(F.array("__f.reason", "__r.reason"), lambda x: ~x.isin("no_correction_needed", "valid_year"))
-    reason = F.when(empty, "empty_or_invalid_input").when(F.size(parts) == 0, "no_correction_needed").otherwise(F.array_join(parts, "+"))
-    return out.withColumns({
-        f"{c}_original": F.col("__o"), f"{c}_validated": F.when(empty, "").when(applied, F.col("__r.text")).otherwise(F.col("__o")),
-        f"{c}_correction_applied": applied, f"{c}_confidence": confidence, f"{c}_correction_reason": reason,
-    }).drop("__o", "__f", "__r")
+    text = F.col(f"`{column}`").cast("string")
+    original = F.coalesce(text, F.lit(""))
+    if dict(df.dtypes)[column] != "string":
+        original = F.when(original == "0", F.lit("")).otherwise(original)
+
+    def judged(o: Column, s: Column, f: Column, r: Column) -> Column:
+        empty = s == ""
+        confidence = F.when(empty, 0.0).otherwise(F.least(f["confidence"], r["confidence"]))
+        applied = ~empty & (o != r["text"]) & (F.least(f["confidence"], r["confidence"]) >= threshold)
+        parts = F.filter(F.array(f["reason"], r["reason"]), lambda x: ~x.isin("no_correction_needed", "valid_year"))
+        reason = F.when(empty, "empty_or_invalid_input").otherwise(F.coalesce(F.nullif(F.array_join(parts, "+"), F.lit("")), F.lit("no_correction_needed")))
+        return F.struct(o.alias("original"), F.when(empty, "").when(applied, r["text"]).otherwise(o).alias("validated"), applied.alias("correction_applied"), confidence.alias("confidence"), reason.alias("correction_reason"))
+
+    # each step once: cut, repaired in format, held against the range
+    result = once(year_text(text), lambda s: once(repaired_format(s), lambda f: once(repaired_range(f["text"]), lambda r: judged(original, s, f, r))))
+    held = "".join(["_judged", *("_" for x in df.columns if x.startswith("_judged"))])
+    out = df.withColumn(held, result)
+    return out.withColumns({f"{c}_{x}": F.col(held)[x] for x in ("original", "validated", "correction_applied", "confidence", "correction_reason")}).drop(held)
 
 
 def report(df: DataFrame, c: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mendwright.operators import cascade, similarity
+from mendwright.operators import cascade, learned, similarity, synthetic
 from mendwright.plans.base import query, table
 
 # names with planted faults, by key: none, a letter lost, two swapped, a misread and an added letter
@@ -21,7 +21,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("candidate")).distinct()
-    return names.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("candidate")))
+    return names.withColumn("position", F.col("candidate"))
 
 
 LEV = f"""SELECT input, arg_min(candidate, position) AS candidate, arg_min(c, position) AS confidence FROM (SELECT *, 1 - levenshtein(input, candidate) / CAST(greatest(length(input), length(candidate)) AS DOUBLE) AS c
@@ -63,7 +63,7 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _master(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("brand"), F.lower("p_name").alias("model")).agg((1990 + F.min("p_size") % 10).alias("year_start"), (2015 + F.max("p_size") % 10).alias("year_end"))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("brand", "model")))
+    return rows.withColumn("position", F.struct("brand", "model"))
 
 
 MATCHED = f"""(WITH u AS (SELECT *, translate(lower(trim(brand)), '015', 'ois') AS nb, translate(lower(trim(model)), '015', 'ois') AS nm, CASE WHEN CAST(year AS INTEGER) BETWEEN 1900 AND 2030 THEN CAST(year AS INTEGER) END AS ny FROM {USERS}), m AS (SELECT * FROM {MASTER}),
@@ -71,10 +71,11 @@ MATCHED = f"""(WITH u AS (SELECT *, translate(lower(trim(brand)), '015', 'ois')
     sm AS (SELECT nm, cm, 1 - levenshtein(nm, cm) / CAST(greatest(length(nm), length(cm), 1) AS DOUBLE) AS sm FROM (SELECT DISTINCT nm FROM u), (SELECT DISTINCT model AS cm FROM m)),
     b AS (SELECT u.key AS k, m.brand AS mb, m.model AS mm, year_start, year_end, position, sb, sm, CAST(0.4 AS DOUBLE) * sb + CAST(0.4 AS DOUBLE) * sm + CASE WHEN ny BETWEEN year_start AND year_end THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM u JOIN sb USING (nb) JOIN m ON m.brand = cb JOIN sm ON sm.nm = u.nm AND sm.cm = m.model),
     w AS (SELECT * FROM b WHERE score >= CAST(0.8 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, position) = 1),
-    q AS (SELECT key, mb, mm, score, concat_ws(', ', CASE WHEN plate = 'W 1' THEN 'plate_format_error' END, CASE WHEN nb <> mb THEN CASE WHEN sb > 0.6 THEN 'typo_brand' ELSE 'wrong_brand' END END,
+    q AS (SELECT *, concat_ws(', ', CASE WHEN plate = 'W 1' THEN 'plate_format_error' END, CASE WHEN nb <> mb THEN CASE WHEN sb > 0.6 THEN 'typo_brand' ELSE 'wrong_brand' END END,
     CASE WHEN nm <> mm THEN CASE WHEN sm > 0.6 THEN 'typo_model' ELSE 'wrong_model' END END, CASE WHEN k IS NOT NULL AND ny NOT BETWEEN year_start AND year_end THEN 'invalid_year' END,
     CASE WHEN k IS NOT NULL AND ny IS NULL THEN 'missing_year' END, CASE WHEN k IS NULL THEN 'no_match_found' END) AS e FROM u LEFT JOIN w ON k = key)
-    SELECT key, mb AS matched_brand, mm AS matched_model, COALESCE(score, 0.0) AS confidence_score, CASE WHEN e = '' THEN 'correct' ELSE e END AS error_types, e <> '' AS has_errors FROM q)"""
+    SELECT plate AS user_input_plate, brand AS user_input_brand, model AS user_input_model, COALESCE(year, '') AS user_input_year, nb AS normalized_brand, nm AS normalized_model, ny AS normalized_year, COALESCE(CAST(year_start AS VARCHAR), '') AS matched_year_start, COALESCE(CAST(year_end AS VARCHAR), '') AS matched_year_end,
+    key, mb AS matched_brand, mm AS matched_model, COALESCE(score, 0.0) AS confidence_score, CASE WHEN e = '' THEN 'correct' ELSE e END AS error_types, e <> '' AS has_errors FROM q)"""
 
 
 def _classified(spark: SparkSession, sf_dir: str, score) -> DataFrame:
@@ -92,6 +93,13 @@ def error_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.error_distribution(_classified(spark, sf_dir, similarity.levenshtein_score))
 
 
+@query(f"""SELECT user_input_plate, user_input_brand, user_input_model, user_input_year, normalized_brand, normalized_model, normalized_year, COALESCE(matched_brand, '') AS matched_brand, COALESCE(matched_model, '') AS matched_model,
+    matched_year_start, matched_year_end, ROUND(confidence_score, 6) AS confidence_score, error_types, has_errors FROM {MATCHED}""")
+def processed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report on user inputs, all 14 columns."""
+    return similarity.processed_inputs(_users(spark, sf_dir), _master(spark, sf_dir), similarity.levenshtein_score).withColumn("confidence_score", F.round("confidence_score", 6))
+
+
 @query()
 def match_gestalt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, similarity.gestalt)
@@ -131,6 +139,24 @@ def cascade_exact_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.correct(inputs, direct, fuzzy, [("rule_based_levenshtein", similarity.first_levenshtein(left, _names(spark, sf_dir)))])
 
 
+@query()
+def cascade_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage of the cascade: mappings, a learned corrector where it is sure, the weighted ratio, edit distance."""
+    part = table(spark, sf_dir, "part").withColumn("input", F.expr(FAULTY))
+    key = F.col("p_partkey")
+    inputs = part.select(key.alias("key"), F.when(key % 11 == 0, " ").when(key % 13 == 0, "zzz999").otherwise(F.col("input")).alias("input"))
+    direct = part.where("p_partkey % 3 = 0 and p_partkey % 4 <> 0").groupBy("input").agg(F.min("p_name").alias("correction"), F.lit(1.0).alias("confidence"))
+    fuzzy = part.where("p_partkey % 3 = 1 and p_partkey % 4 <> 0").groupBy("input").agg(F.min("p_name").alias("correction"), (F.min(key % 10).cast("double") / 10).alias("confidence"))
+    left = cascade.unresolved(inputs, direct)
+    brands = part.select(F.lower("p_brand").alias("value")).distinct().withColumn("position", F.row_number().over(Window.orderBy("value"))).withColumn("field_type", F.lit("brand"))  # a few brands
+    model = learned.fit(synthetic.dataset(brands, 1500), "naive_bayes", 1000)
+    told = learned.predict(model, left.select("input", F.col("input").alias("row_id"), F.col("input").alias("input_text"), F.lit("").alias("correct_text")))
+    told = told.where("predicted is not null").select(F.col("input_text").alias("input"), F.col("predicted").alias("candidate"), "confidence")
+    names = _names(spark, sf_dir)
+    close = similarity.extract_one(left, names).select("input", "candidate", (F.col("score").cast("double") / 100).alias("confidence"))
+    return cascade.correct(inputs, direct, fuzzy, cascade.later_stages(told, close, similarity.first_levenshtein(left, names)))
+
+
 PREDICTED = f"(SELECT p_partkey AS position, {FAULTY} AS input, CASE WHEN p_partkey % 5 = 0 THEN 'wrong' WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS predicted, p_name AS actual, CAST(p_partkey % 10 AS DOUBLE) / 10 AS confidence, p_type FROM part)"
 
 
@@ -197,11 +223,18 @@ def rule_corrector_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.accuracy(truth.join(found, "input", "left"), "predicted", "actual")
 
 
-@query("SELECT p_partkey, COALESCE(CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 2 = 0 THEN p_type END, p_name) AS first_available FROM part")
+@query("SELECT p_partkey, COALESCE(CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN NULL END, CASE WHEN p_partkey % 2 = 0 THEN p_type END, p_name) AS first_available FROM part")
 def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first corrector that has an answer."""
+    """The first corrector that has an answer; a blank is none."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.when(key % 3 == 0, F.col("p_brand")), F.when(key % 2 == 0, F.col("p_type")), F.col("p_name")).alias("first_available"))
+    answers = [F.when(key % 3 == 0, F.col("p_brand")).when(key % 3 == 2, " "), F.when(key % 2 == 0, F.col("p_type")), F.col("p_name")]
+    return table(spark, sf_dir, "part").select("p_partkey", cascade.first_available(answers).alias("first_available"))
+
+
+@query("""SELECT 'ocr_' || a || '_to_' || b AS name, 'ocr_substitution' AS pattern_type, a AS from_char, b AS to_char
+    FROM (VALUES ('o', '0'), ('0', 'o'), ('i', '1'), ('1', 'i'), ('l', '1'), ('s', '5'), ('5', 's'), ('b', '6'), ('6', 'b')) t(a, b)""")
+def pattern_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.pattern_mappings(spark)
 
 
 @query(f"SELECT input, candidate FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY confidence DESC, candidate DESC) AS k FROM (SELECT input, candidate, 1 - levenshtein(input, candidate) / CAST(greatest(length(input), length(candidate), 1) AS DOUBLE) AS confidence FROM {INPUTS}, {NAMES} WHERE {BOUND.format(0.6)}) WHERE confidence >= 0.6) WHERE k = 1 AND confidence >= 0.8")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwright.functions.expr import shortened, size_label
-from mendwright.operators import rules, years
+from mendwright.functions.expr import currency, kilometres, midnight_text, number_prefix, progress, shortened, size_label, uri_part
+from mendwright.operators import rules, similarity, years
 from mendwright.plans.base import query, table
 
 # year texts with planted faults, by order key
@@ -51,6 +51,32 @@ def year_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.reasons(_validated(spark, sf_dir), "year")
 
 
+# the validated year, and the master's most similar one above 0.7 by edit distance, ties to the larger
+ENHANCED = f"""(WITH v AS ({VALIDATION}), c AS (SELECT DISTINCT year_validated AS t FROM v WHERE year_correction_applied), m AS (SELECT DISTINCT CAST(1980 + p_size AS VARCHAR) AS candidate FROM part),
+    s AS (SELECT t, candidate, 1 - levenshtein(t, candidate) / CAST(greatest(length(t), length(candidate), 1) AS DOUBLE) AS c FROM c, m),
+    b AS (SELECT t, candidate, c FROM s WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY t ORDER BY c DESC, candidate DESC) = 1),
+    n AS (SELECT * FROM b WHERE c > 0.7 AND candidate <> t)
+    SELECT o_orderkey AS key, year_original, CASE WHEN year_correction_applied THEN COALESCE(candidate, year_validated) ELSE year_original END AS final_year,
+    CASE WHEN NOT year_correction_applied THEN '' WHEN candidate IS NULL THEN 'year_validation' ELSE 'year_validation,autocorrect' END AS methods,
+    CAST(CASE WHEN NOT year_correction_applied THEN 1 ELSE least(year_confidence, COALESCE(c, 1)) END AS DOUBLE) AS confidence, year_correction_reason FROM v LEFT JOIN n ON year_correction_applied AND t = year_validated)"""
+
+
+def _enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    master = table(spark, sf_dir, "part").select((1980 + F.col("p_size")).cast("string").alias("candidate"))
+    return similarity.enhanced_years(_inputs(spark, sf_dir).withColumnRenamed("o_orderkey", "key"), master, score=similarity.levenshtein_score, reverse=False)
+
+
+@query(f"SELECT key, year_original, final_year, methods, ROUND(confidence, 6) AS confidence FROM {ENHANCED}")
+def enhanced_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enhanced(spark, sf_dir).select("key", "year_original", "final_year", "methods", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""SELECT *, ROUND((validation_corrections + autocorrect_corrections) / total_records, 6) AS correction_rate, ROUND(future_years_corrected / total_records, 6) AS future_rate FROM (SELECT COUNT(*) AS total_records,
+    CAST(count_if(methods <> '' AND contains(year_correction_reason, 'future_year_corrected')) AS BIGINT) AS future_years_corrected, CAST(count_if(methods <> '') AS BIGINT) AS validation_corrections, CAST(count_if(contains(methods, 'autocorrect')) AS BIGINT) AS autocorrect_corrections, CAST(count_if(methods = '') AS BIGINT) AS no_corrections FROM {ENHANCED})""")
+def enhanced_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.enhanced_statistics(_enhanced(spark, sf_dir))
+
+
 @query(f"""SELECT o_orderkey, CASE WHEN c BETWEEN 1900 AND 2030 THEN c END AS year FROM (SELECT o_orderkey, CASE WHEN i BETWEEN 0 AND 49 THEN i + 2000 WHEN i BETWEEN 50 AND 99 THEN i + 1900 ELSE i END AS c
     FROM (SELECT o_orderkey, CASE WHEN abs(TRY_CAST(y AS DOUBLE)) < 2000000000 THEN CAST(trunc(TRY_CAST(y AS DOUBLE)) AS INTEGER) END AS i FROM {INPUTS}))""")
 def year_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,3 +184,30 @@ def coerce_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN n_chars >= 1000 THEN ((n_chars + 50) // 1000) || '.' || ((n_chars + 50) // 100 % 10) || ' KB' ELSE n_chars || ' B' END AS size FROM documents""")
 def summary_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", shortened(F.col("text")).alias("summary"), size_label(F.col("n_chars")).alias("size"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN v < 0 THEN '-' ELSE '' END || 'RM\u00a0' || format('{:,.2f}', abs(v)) AS amount, format('{:,}', CAST(o_custkey * 37 AS BIGINT)) || ' km' AS distance, TRY_CAST(regexp_extract(text, '^\\s*([+-]?[0-9]+\\.?[0-9]*)', 1) AS DOUBLE) AS number,
+    CAST((o_custkey * 37) % 100000 AS DOUBLE) / 1000 AS progress, lpad(CAST(o_custkey % 1000 AS VARCHAR), 6, '0') AS padded, base64(encode(o_clerk)) AS coded, url_encode(text) AS uri, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00.000Z' AS midnight
+    FROM (SELECT *, CAST(o_totalprice AS DOUBLE) * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS v, CASE o_orderkey % 3 WHEN 0 THEN ' 12.5 km' WHEN 1 THEN '-7' ELSE 'none & all' END AS text FROM (SELECT *, o_orderpriority AS o_clerk FROM orders))""".replace("\\u00a0", "\u00a0"))
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How amounts, distances, texts and days are shown."""
+    key, far = F.col("o_orderkey"), F.col("o_custkey") * 37
+    text = F.when(key % 3 == 0, " 12.5 km").when(key % 3 == 1, "-7").otherwise("none & all")
+    amount = F.col("o_totalprice").cast("double") * F.when(key % 5 == 0, -1).otherwise(1)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", currency(amount).alias("amount"), kilometres(far).alias("distance"), number_prefix(text).alias("number"), progress(far, 100_000).alias("progress"),
+        F.lpad((F.col("o_custkey") % 1000).cast("string"), 6, "0").alias("padded"), F.base64(F.col("o_orderpriority").cast("binary")).alias("coded"), uri_part(text).alias("uri"), midnight_text("o_orderdate").alias("midnight"),
+    )
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ') AS title FROM part")
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("title"))
+
+
+@query("""SELECT o_orderkey, c ->> '$.kind' AS kind, CAST(c ->> '$.amount' AS DOUBLE) AS amount, CAST(c ->> '$.paid' AS BOOLEAN) AS paid
+    FROM (SELECT o_orderkey, CAST('{"kind": "' || o_orderpriority || '", "amount": ' || o_custkey || '.5, "paid": ' || CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS JSON) AS c FROM orders)""")
+def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON payload parsed into typed columns, once a row."""
+    text = F.concat(F.lit('{"kind": "'), "o_orderpriority", F.lit('", "amount": '), F.col("o_custkey").cast("string"), F.lit('.5, "paid": '), F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("false"), F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.from_json(text, "kind string, amount double, paid boolean").alias("c")).select("o_orderkey", "c.*")

@@ -149,10 +149,10 @@ OFFSETS = {"insurance": 100, "roadtax": 80, "service": 60}
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = {k: (_date() + F.expr(f"interval {n} days")).alias(f"{k}_date") for k, n in OFFSETS.items()}
-    return table(spark, sf_dir, "orders").where(_date() >= F.lit("2001-06-01").cast("timestamp_ntz")).select("o_orderkey", "o_custkey", *days.values())
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *days.values())
 
 
-RECORDS = "(SELECT o_orderkey, o_custkey, " + ", ".join(f"o_orderdate + INTERVAL {n} DAY AS {k}_date" for k, n in OFFSETS.items()) + " FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01') r"
+RECORDS = "(SELECT o_orderkey, o_custkey, " + ", ".join(f"o_orderdate + INTERVAL {n} DAY AS {k}_date" for k, n in OFFSETS.items()) + " FROM orders) r"
 
 
 def _elapsed(c: str) -> str:
@@ -257,3 +257,30 @@ def event_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's daily counts over a table."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
+
+
+STORED = "['Fuel', 'Maintenance', 'Service', 'Parts', 'Insurance', 'RoadTax', 'Tax', 'Toll_Parking', 'Toll', 'General', 'Other', 'Unheard'][o_orderkey % 12 + 1]"
+
+
+@query(f"""SELECT CASE WHEN c IN ('Service', 'Parts') THEN 'Maintenance' WHEN c IN ('RoadTax', 'Tax') THEN 'Road Tax' WHEN c IN ('Toll_Parking', 'Toll') THEN 'Toll/Parking' WHEN c IN ('General', 'Unheard') THEN 'Other' ELSE c END AS category,
+    CAST(SUM({MONEY}) AS DOUBLE) AS total, COUNT(*) AS n FROM (SELECT *, {STORED} AS c FROM orders) GROUP BY 1""")
+def stored_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spend by shown category: stored values with older aliases."""
+    names = F.array(*[F.lit(c) for c in [*spend.CATEGORY_LABELS, "Unheard"]])
+    stored = F.element_at(names, (F.col("o_orderkey") % 12 + 1).cast("int"))
+    shown = spend.relabelled(stored, spend.CATEGORY_LABELS, "Other")
+    return table(spark, sf_dir, "orders").groupBy(shown.alias("category")).agg(F.sum(spend.money(F.col("o_totalprice"))).cast("double").alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2")
+def first_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each owner's first two records in the order of the server."""
+    return spend.first_records(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 2).select("o_custkey", "o_orderkey")
+
+
+@query(f"""SELECT d AS class, COUNT(*) AS n FROM (SELECT CASE WHEN l_shipdate IS NULL THEN 'none' WHEN x < 0 THEN 'expired' WHEN x <= 30 THEN 'expiring' ELSE 'valid' END AS d
+    FROM (SELECT *, date_diff('day', CAST(TIMESTAMP '2000-03-15 09:30:00' AS DATE), CAST(l_shipdate AS DATE)) AS x FROM (SELECT CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate FROM lineitem))) GROUP BY 1""")
+def expiry_every_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day amid the data, and dates that are missing."""
+    date = F.when(F.col("l_linenumber") % 5 != 0, _ship())
+    return table(spark, sf_dir, "lineitem").groupBy(expiry.calendar_class(date, F.lit("2000-03-15 09:30:00").cast("timestamp_ntz")).alias("class")).agg(F.count("*").alias("n"))

@@ -1,5 +1,8 @@
 """Golden cases of the operators, and their behaviour on nulls and empty tables."""
 
+import json
+import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -163,3 +166,96 @@ def test_stream(spark, tmp_path):
     spark.sql("select cast(id as bigint) event_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) ts, 'a' event_type from range(48)").write.parquet(f"{tmp_path}/e")
     got = events.drained(events.daily_counts(events.event_stream(spark, f"{tmp_path}/e")), "daily")
     assert sorted(r["n"] for r in got.collect()) == [24, 24]
+
+
+def test_letter_bound_loses_nothing(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcé1 ", k=r.randrange(0, 9)))
+    ins, cands = [sorted({word() for _ in range(60)}) for _ in range(2)]
+    inputs, master = spark.createDataFrame([(x,) for x in ins], "input string"), spark.createDataFrame([(x, x) for x in cands], "candidate string, position string")
+    for cutoff in (0.3, 0.6, 0.8):
+        kept = {(p["input"], p["candidate"]) for p in similarity.candidate_pairs(inputs, master, cutoff).collect()}
+        reach = {(a, b) for a in ins for b in cands if a and b and SequenceMatcher(None, a, b).ratio() >= cutoff}
+        assert reach <= kept and (cutoff < 0.8 or len(kept) < 0.5 * len(ins) * len(cands))
+
+
+@pytest.mark.parametrize("a,b,score", [("honda", "honda", 100), ("Honda!", "honda", 100), ("hond", "honda", 89), ("civic honda", "honda civic", 95), ("honda", "honda civic type r", 90), ("", "x", 0), (None, "x", 0), ("abc", "xyz", 0), ("ab", "ab cd ef gh ij kl", 60)])
+def test_weighted_ratio(a, b, score):
+    assert similarity.weighted_percent(a, b) == score
+
+
+def test_extract_one_is_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["honda", "civic", "toyota", "corolla", "type", "r", "x1", "city"]
+    text = lambda: " ".join(r.choices(words, k=r.randrange(1, 4)))
+    spoil = lambda t: "".join(c for c in t if r.random() > 0.15).replace("o", "0")
+    cands = sorted({text() for _ in range(40)})
+    ins = sorted({spoil(text()) for _ in range(40)} | {"", "Civic, Honda!"})
+    expected = {}
+    for x in ins:
+        score, best = max(((similarity.weighted_percent(x, c), c) for c in cands), key=lambda p: (p[0], [-ord(ch) for ch in p[1]]))
+        if score >= 70:
+            expected[x] = score
+    inputs, master = spark.createDataFrame([(x,) for x in ins], "input string"), spark.createDataFrame([(x, x) for x in cands], "candidate string, position string")
+    for most in (100_000, 7):
+        monkeypatch.setattr(similarity, "MOST_SENT", most)
+        got = similarity.extract_one(inputs, master).collect()
+        assert {g["input"]: g["score"] for g in got} == expected
+        assert all(g["candidate"] == min(c for c in cands if similarity.weighted_percent(g["input"], c) == g["score"]) for g in got)
+
+
+def test_enhanced_years(spark):
+    users = spark.createDataFrame([(1, "2030"), (2, "2019"), (3, None), (4, "l9"), (5, "abc")], "key long, year string")
+    plain = {r["key"]: r for r in similarity.enhanced_years(users, None).collect()}
+    assert [plain[k]["final_year"] for k in range(1, 6)] == ["2025", "2019", "", "2019", "abc"]
+    assert plain[1]["methods"] == "year_validation" and plain[2]["corrections"] == [] and plain[2]["confidence"] == 1.0
+    master = spark.createDataFrame([("2024",), ("1999",)], "candidate string")
+    near = {r["key"]: r for r in similarity.enhanced_years(users, master).collect()}
+    assert (near[1]["final_year"], near[1]["methods"], near[1]["confidence"]) == ("2024", "year_validation,autocorrect", 0.75)
+    assert [near[k]["final_year"] for k in (2, 3, 5)] == ["2019", "", "abc"]
+    stats = similarity.enhanced_statistics(similarity.enhanced_years(users, master)).first()
+    assert (stats["total_records"], stats["future_years_corrected"], stats["validation_corrections"], stats["no_corrections"]) == (5, 1, 2, 3)
+    assert similarity.enhanced_statistics(similarity.enhanced_years(users.limit(0), master)).first()["correction_rate"] == 0.0
+
+
+def test_inputs_from_csv_to_csv(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("key,plate,brand,model,year\n1,WXY 1234,T0yota,Corola,2015\n2,W 1,,zzz,\n")
+    users = spark.read.csv(str(tmp_path / "in.csv"), header=True, schema="key long, plate string, brand string, model string, year string")
+    master = spark.createDataFrame([("toyota", "corolla", 2000, 2020, 1)], "brand string, model string, year_start int, year_end int, position int")
+    similarity.processed_inputs(users, master).write.csv(str(tmp_path / "out"), header=True)
+    rows = {r["user_input_plate"]: r for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()}
+    assert len(rows["W 1"]) == 14 and rows["W 1"]["error_types"] == "plate_format_error, no_match_found" and rows["W 1"]["matched_brand"] is None
+    assert (rows["WXY 1234"]["matched_model"], rows["WXY 1234"]["error_types"], rows["WXY 1234"]["normalized_brand"]) == ("corolla", "typo_model", "toyota")
+
+
+def test_nearest_in_blocks(spark):
+    r = random.Random(5)
+    rows = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(200)] + [(200, None), (201, [0.0] * 4), (202, None)]
+    rows[7] = (7, rows[3][1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    expected = {}
+    for k, v in rows:
+        if k % 3 == 0 and v and any(v):
+            s, t = min((-round(cos(v, w), 9), i) for i, w in rows if i != k and w and any(w))
+            if -s >= 0.5:
+                expected[k] = t
+    for block in (2000, 7):
+        got = {x["vec_id"]: x["target"] for x in reports.nearest(df.where("vec_id % 3 = 0"), df, 0.5, block).collect()}
+        assert got == expected
+
+
+def test_faults_of_a_dataset(spark):
+    values = spark.createDataFrame([("brand", "toyota", 1), ("model", "corolla", 1), ("combined", "toyota corolla", 1)], "field_type string, value string, position int")
+    rows = synthetic.dataset(values, 300).collect()
+    assert {r["field_type"]: max(x["n_faults"] for x in rows if x["field_type"] == r["field_type"]) for r in rows} == {"brand": 2, "model": 2, "combined": 3}
+    assert all(abs(len(r["input_text"]) - len(r["correct_text"])) <= r["n_faults"] for r in rows) and {r["correction_type"] for r in rows} == {"synthetic"}
+
+
+@pytest.mark.parametrize("kind", ["svm", "gradient_boosting"])
+def test_slow_classifiers_on_two_labels(spark, kind):
+    rows = [(str(k), ("toyota" if k % 2 else "honda") + "x" * (k % 3), "toyota" if k % 2 else "honda") for k in range(24)]
+    train = spark.createDataFrame(rows, "row_id string, input_text string, correct_text string")
+    told = learned.predict(learned.fit(train, kind, 50), train, kind=kind).collect()
+    assert all(r["predicted"] == r["correct_text"] for r in told)
+    assert json.loads(learned.metadata(kind, 0.9, 0.1, 50, 2, "2024-01-01"))["accuracy"] == {"mean": 0.9, "std": 0.1}

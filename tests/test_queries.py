@@ -44,7 +44,7 @@ def test_matches_sql(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["suggest_gestalt", "match_gestalt", "comprehensive_correct", "integrated_pipeline", "synthetic_dataset", "suggest_years_top5"])
+@pytest.mark.parametrize("name", ["suggest_gestalt", "match_gestalt", "comprehensive_correct", "integrated_pipeline", "synthetic_dataset", "suggest_years_top5", "extract_one", "rule_corrector_accuracy", "cascade_full", "nb_classifier", "nb_cross_validation"])
 def test_python_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
@@ -54,6 +54,16 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_only_the_month_is_read(spark):
+    plan = registry.QUERIES["month_spend"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+def test_each_pattern_runs_once(spark):
+    plan = registry.QUERIES["year_validation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") <= 12
+
+
 @pytest.mark.parametrize("name", ["year_validation", "cross_check", "typo_ops", "alerts_smart"])
 def test_no_python_in_plans(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
