@@ -91,11 +91,10 @@ def validated(df: DataFrame, column: str, threshold: float = 0.7, prefix: str |
         reason = F.when(empty, "empty_or_invalid_input").otherwise(F.coalesce(F.nullif(F.array_join(parts, "+"), F.lit("")), F.lit("no_correction_needed")))
         return F.struct(o.alias("original"), F.when(empty, "").when(applied, r["text"]).otherwise(o).alias("validated"), applied.alias("correction_applied"), confidence.alias("confidence"), reason.alias("correction_reason"))
 
-    # each step once: cut, repaired in format, held against the range
-    result = once(year_text(text), lambda s: once(repaired_format(s), lambda f: once(repaired_range(f["text"]), lambda r: judged(original, s, f, r))))
-    held = "".join(["_judged", *("_" for x in df.columns if x.startswith("_judged"))])
-    out = df.withColumn(held, result)
-    return out.withColumns({f"{c}_{x}": F.col(held)[x] for x in ("original", "validated", "correction_applied", "confidence", "correction_reason")}).drop(held)
+    # each step once: cut, repaired in format, held against the range; as generated columns, so no filter repeats the steps
+    result = F.transform(F.array(year_text(text)), lambda s: once(repaired_format(s), lambda f: once(repaired_range(f["text"]), lambda r: judged(original, s, f, r))))
+    names = [f"{c}_{x}" for x in ("original", "validated", "correction_applied", "confidence", "correction_reason")]
+    return df.select(*[F.col(f"`{x}`") for x in df.columns if x not in names], F.inline(result).alias(*names))
 
 
 def report(df: DataFrame, c: str) -> DataFrame:
