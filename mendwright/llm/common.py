@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +70,11 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def chunks_for(rows: int, size: int, most_rows: int, most_bytes: int) -> int:
+    """Into how many chunks rows are dealt by a hash, so that a chunk has about ``most_rows`` rows and ``most_bytes`` bytes of text at most."""
+    return max(1, -(-rows // most_rows), -(-size // most_bytes))
+
+
 def blocks(frames: Iterator[pd.DataFrame], most_chars: int = 4_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
     """Cuts each batch into blocks of about ``most_chars`` characters, a row at least, so a batch of long texts is worked off piece by piece."""
     for frame in frames:
@@ -108,10 +112,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 #: Lower-cases A-Z alone, unlike str.lower().
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

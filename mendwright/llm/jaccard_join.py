@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwright.llm.common import blocks, byte_words, texts_of, trim, written
+from mendwright.llm.common import blocks, byte_words, chunks_for, texts_of, trim, written
 from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
@@ -82,7 +82,7 @@ def _node(s: np.ndarray) -> int:
 
 
 def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, row, n, node) of each row; row is a hash of id and text, node is null for an empty set."""
+    """(doc_id, row, size, n, node) of each row; row is a hash of id and text, size the text's bytes, node is null for an empty set."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames):
@@ -90,10 +90,10 @@ def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
             for s in shingle_sets(frame["text"].tolist(), size):
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "row": frame["row"].to_numpy(), "n": n, "node": pd.array(node, dtype="Int64")})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "row": frame["row"].to_numpy(), "size": frame["size"].to_numpy(), "n": n, "node": pd.array(node, dtype="Int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.withColumn("row", F.xxhash64("doc_id", "text")).mapInPandas(work, f"doc_id {kind}, row long, n long, node long")
+    return docs.withColumns({"row": F.xxhash64("doc_id", "text"), "size": F.octet_length("text")}).mapInPandas(work, f"doc_id {kind}, row long, size long, n long, node long")
 
 
 def _parity(s: np.ndarray) -> list[int]:
@@ -292,12 +292,13 @@ def node_components(kept: DataFrame, percent: int, rounds: int = 2, centers: int
     return comps
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 1500) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 1500, chunk_bytes: int = 6_000_000) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Chunks have about ``chunk_docs`` rows and ``chunk_bytes`` of text at most."""
     own = texts_of(docs, id_col, text_col)
     sets = written(set_table(own, size))
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
-    chunks = max(1, -(-sets.count() // chunk_docs))
+    total = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    chunks = chunks_for(*total, chunk_docs, chunk_bytes)
     kept = written(kept_nodes(own, nodes, chunks, size, percent))
     comps = node_components(kept, percent)
     named = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))

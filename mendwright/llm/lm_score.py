@@ -13,7 +13,7 @@ at most). ``Automaton`` holds that part of the states, arcs and failure arcs tha
 weights worked out once for each arc; ``traverse`` follows them at all positions of the chunk's texts side by side,
 since the state at a position depends on the last words alone: failure arcs add their weights until there is an arc.
 
-Distribution: documents are dealt to chunks of about ``chunk_docs`` by a hash. Each chunk sends its distinct
+Distribution: documents are dealt by a hash to chunks of about ``chunk_docs`` rows and ``chunk_bytes`` of text at most. Each chunk sends its distinct
 n-grams, as sorted hashed keys packed into one binary value for each bucket of the key space; each bucket adds
 the chunks' training counts and sends back, for each chunk, the totals in the order of its keys. Nothing is
 pruned, capped or sampled, no model is broadcast (N and V alone are), and a frequent n-gram is one key a chunk.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwright.llm.common import blocks, byte_words, texts_of
+from mendwright.llm.common import blocks, byte_words, chunks_for, texts_of
 from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
 
 #: Bits of a word's key, and bits of a longer n-gram's key beyond those that count the training tokens.
@@ -121,10 +121,11 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, top: float = 0.3, chunk_docs: int = 3000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, top: float = 0.3, chunk_docs: int = 3000, chunk_bytes: int = 12_000_000) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score (words alone) and score (the model)."""
     own = texts_of(docs, id_col, text_col)
-    chunks = max(1, -(-own.count() // chunk_docs))
+    total = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = chunks_for(*total, chunk_docs, chunk_bytes)
     buckets = max(8, -(-chunks // CHUNKS_A_BUCKET))
     n_all, v_all = corpus_totals(own, buckets)
     bits = _key_bits(n_all, order)

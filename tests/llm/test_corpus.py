@@ -138,6 +138,7 @@ def test_join_odd_and_chained(spark):
     docs += [(300 + k, " ".join(base[:60] + r.choices(vocabulary, k=60))) for k in range(5)]
     df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, component_id string")
     assert rows_of(jaccard_join.classes(df, chunk_docs=7)) == brute_components(docs)
+    assert rows_of(jaccard_join.classes(df, chunk_bytes=2000)) == brute_components(docs)
     assert jaccard_join.classes(df.limit(0)).count() == 0
 
 
@@ -178,6 +179,10 @@ def test_join_repeated_and_null_ids(spark):
     assert got == sorted([(None, 26, 7), (None, 26, 7), (None, 27, 7), (7, 26, 7), (7, 26, 7), (7, 0, 7)], key=repr)
 
 
+def test_long_texts_make_more_chunks():
+    assert [common.chunks_for(*x, 10, 100) for x in [(0, 0), (11, 5), (11, 901)]] == [1, 2, 10]
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
@@ -282,6 +287,7 @@ def test_lm_odd(spark):
     df = spark.createDataFrame([(i, t, 1.0, "c", 2) for i, t in docs], "doc_id long, text string, score double, chunk string, bucket int")
     rows = lm_score.score(df, chunk_docs=2).collect()
     assert sorted(r["n_tokens"] for r in rows) == [1, 1, 2, 3, 6001]
+    assert sorted(lm_score.score(df, chunk_bytes=1000).collect(), key=repr) == sorted(rows, key=repr)
     assert lm_score.score(df.limit(0)).count() == 0
 
 
