@@ -259,3 +259,12 @@ def test_slow_classifiers_on_two_labels(spark, kind):
     told = learned.predict(learned.fit(train, kind, 50), train, kind=kind).collect()
     assert all(r["predicted"] == r["correct_text"] for r in told)
     assert json.loads(learned.metadata(kind, 0.9, 0.1, 50, 2, "2024-01-01"))["accuracy"] == {"mean": 0.9, "std": 0.1}
+
+
+def test_logs_and_inspection(spark, tmp_path):
+    lines = [{"level": "INFO", "message": "a", "timestamp": "2024-01-01T00:00:00Z", "service": "s", "more": 1}, {"level": "ERROR", "message": None}]
+    (tmp_path / "app.log").write_text("\n".join(map(json.dumps, lines)))
+    logs = files.read_logs(spark, f"{tmp_path}/app.log")
+    assert [tuple(r) for r in logs.orderBy("level").collect()] == [("ERROR", None, None, None), ("INFO", "a", "2024-01-01T00:00:00Z", "s")]
+    rows, columns, some = files.inspect(logs, 1)
+    assert (rows, columns, some.count()) == (2, ["level", "message", "timestamp", "service"], 1)
