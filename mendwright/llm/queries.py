@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwright.llm import byte_bpe, decontaminate, html_extract, iblt, jaccard_join, language_id, lm_score, quality_cnn, secret_scan, token_counts
+from mendwright.llm import byte_bpe, chat_format, decontaminate, html_extract, iblt, jaccard_join, language_id, lm_score, periodic_runs, quality_cnn, secret_scan, source_divergence, token_counts
 from mendwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,5 +62,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op4_token_counts, op5_byte_bpe, op6_decontamination, op7_jaccard_join, op8_language_id, op9_quality_cnn, op10_lm_score, language_id_pages)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.segments(chat_format.with_trap(table(spark, sf_dir, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_iblt_fingerprints, op3_secret_scan, op4_token_counts, op5_byte_bpe, op6_decontamination, op7_jaccard_join, op8_language_id, op9_quality_cnn, op10_lm_score, op11_chat_format, op12_periodic_runs, op13_source_divergence, language_id_pages)}
+ORACLE_SQL: dict[str, str] = {"op11_chat_format": chat_format.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL}
