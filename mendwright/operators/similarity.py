@@ -1,10 +1,8 @@
 """String similarity, fuzzy matching to a master table, and error classes.
 
-A pair is scored once for each distinct value: distinct inputs meet distinct candidates, and results join back. Only pairs
-that have enough letters in common to reach the cutoff are scored, a bound that loses nothing and needs no Python.
-Candidates are a master table. Its size is checked: up to ``MOST_SENT`` rows it is sent to every executor; a larger
-one is dealt into blocks of about that many rows, and each partition of inputs meets each block in a task of its own.
-Both ways meet every pair within the bounds, so the size decides where pairs meet, not which.
+A pair is scored once for each distinct value: distinct inputs meet distinct candidates through an exact index
+(``candidates``), by edit distance where that is the score, by letters in common otherwise, and results join back. The index
+loses no pair that reaches the cutoff, and no table meets another whole.
 """
 
 from __future__ import annotations
@@ -15,15 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendwright.operators import rules, years
+from mendwright.functions.gestalt import ratios
+from mendwright.operators import candidates, rules, years
 
-MOST_SENT = 100_000
 # Weights of brand, model and year in a match, its threshold, and where a typo ends.
 WEIGHTS, THRESHOLD, TYPO = (0.4, 0.4, 0.2), 0.8, 0.6
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([0.0 if not x or not y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def gestalt(a: Column, b: Column) -> Column:
@@ -31,50 +29,19 @@ def gestalt(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def could_reach(a: Column, b: Column, cutoff: float) -> Column:
-    """No ratio exceeds 2 * min / (sum) of the lengths: what fails here can't reach the cutoff."""
-    return 2 * F.least(F.length(a), F.length(b)) >= cutoff * (F.length(a) + F.length(b))
-
-
 def levenshtein_score(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
 
 
-#: Letters are counted in so many places, each up to so often; what is beyond counts as shared.
-PLACES, DEPTH = 64, 3
-
-
-def _letters(df: DataFrame, c: str, name: str) -> DataFrame:
-    """Adds ``name``: bit k of level d is set if a letter of place k occurs more than d times in column c, and how many letters go beyond."""
-    places = F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ""), lambda x: F.when(x == "", -1).otherwise(F.pmod(F.xxhash64(x), F.lit(PLACES)).cast("int")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda k: F.size(F.filter(F.col(f"{name}_p"), lambda x: x == k)))
-    level = lambda d: F.aggregate(F.transform(F.col(f"{name}_n"), lambda n, k: F.when(n > d, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    beyond = F.aggregate(F.col(f"{name}_n"), F.lit(0), lambda x, n: x + F.greatest(n - DEPTH, F.lit(0)))
-    return df.withColumn(f"{name}_p", places).withColumn(f"{name}_n", counts).withColumn(name, F.struct(*[level(d).alias(f"l{d}") for d in range(DEPTH)], beyond.alias("beyond"))).drop(f"{name}_p", f"{name}_n")
-
+def candidate_pairs(inputs: DataFrame, master: DataFrame, cutoff: float, score=None) -> DataFrame:
+    """(input, candidate, position) pairs that may reach the cutoff (above 0). inputs: (input); master: (candidate, position).
 
-def could_share(a: Column, b: Column) -> Column:
-    """At least as many letters as two strings have in common, counted with repeats; a and b are their ``_letters``."""
-    shared = sum((F.bit_count(a[f"l{d}"].bitwiseAND(b[f"l{d}"])) for d in range(DEPTH)), F.lit(0))
-    return shared + F.least(a["beyond"], b["beyond"])
-
-
-def candidate_pairs(inputs: DataFrame, master: DataFrame, cutoff: float, near=None) -> DataFrame:
-    """(input, candidate, position) pairs that may reach the cutoff. inputs: (input); master: (candidate, position).
-
-    Neither the gestalt ratio nor 1 - distance / length exceeds 2 * (letters in common) / (sum of the lengths), so nothing is
-    lost. ``near`` puts another condition, made of the number of letters in common, in the place of this one.
+    Neither the gestalt ratio nor 1 - distance / length exceeds 2 * (letters in common) / (sum of the lengths); where the second one is the
+    ``score``, pairs within the distance are found instead.
     """
-    n = master.count()
-    x, y = _letters(inputs, "input", "_x"), _letters(master, "candidate", "_y")
-    if n > MOST_SENT:
-        y = y.repartition(-(-n // max(1, MOST_SENT)), "candidate").hint("shuffle_replicate_nl")
-    else:
-        y = F.broadcast(y)
-    a, b = F.length("input"), F.length("candidate")
-    share = could_share(F.col("_x"), F.col("_y"))
-    near = near(share) if near else could_reach(F.col("input"), F.col("candidate"), cutoff) & (2 * share >= cutoff * (a + b))
-    return x.join(y, near).drop("_x", "_y")
+    if score is levenshtein_score and cutoff < 1:
+        return candidates.distance_pairs(inputs, master, 1 - cutoff).drop("distance")
+    return candidates.letter_pairs(inputs, master, cutoff)
 
 
 def suggestions(inputs: DataFrame, master: DataFrame, n: int = 3, cutoff: float = 0.6, score=gestalt, reverse: bool = True) -> DataFrame:
@@ -82,7 +49,7 @@ def suggestions(inputs: DataFrame, master: DataFrame, n: int = 3, cutoff: float
 
     ``reverse`` filters by the score of (candidate, input) and reports that of (input, candidate).
     """
-    pairs = candidate_pairs(inputs, master, cutoff)
+    pairs = candidate_pairs(inputs, master, cutoff, score)
     scored = pairs.withColumn("confidence", score(F.col("input"), F.col("candidate")))
     scored = scored.withColumn("filtered", score(F.col("candidate"), F.col("input")) if reverse else F.col("confidence")).where(F.col("filtered") >= cutoff)
     order = Window.partitionBy("input").orderBy(F.desc("filtered"), F.desc("candidate"))
@@ -93,8 +60,8 @@ def suggestions(inputs: DataFrame, master: DataFrame, n: int = 3, cutoff: float
 
 def first_levenshtein(inputs: DataFrame, master: DataFrame, share: float = 0.3, threshold: float = 0.7) -> DataFrame:
     """(input, candidate, confidence): the first candidate within the distance, both longer than two characters."""
-    pairs = candidate_pairs(inputs.where(F.length("input") > 2), master.where(F.length("candidate") > 2), 0.5)
-    d = F.levenshtein("input", "candidate")
+    pairs = candidates.distance_pairs(inputs.where(F.length("input") > 2), master.where(F.length("candidate") > 2), min(share, 1 - threshold))
+    d = F.col("distance")
     longest = F.greatest(F.length("input"), F.length("candidate"))
     ok = pairs.withColumn("confidence", 1 - d / longest.cast("double")).where((d <= share * longest) & (F.col("confidence") >= threshold))
     best = ok.groupBy("input").agg(F.min_by(F.struct("candidate", "confidence"), "position").alias("b"))
@@ -112,21 +79,35 @@ def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold:
     m = master.select(F.col("brand").alias("mb"), F.col("model").alias("mm"), "year_start", "year_end", "position", *[(norm(c) if normalize_master else F.col(c)).alias(a) for c, a in (("brand", "cb"), ("model", "cm"))])
     wb, wm, wy = WEIGHTS
     # without the year a match needs (threshold - wy) of brand and model, so neither may be below this
-    least = max(0.0, min((threshold - wy - wm) / wb, (threshold - wy - wb) / wm)) - 1e-9
+    least = min((threshold - wy - wm) / wb, (threshold - wy - wb) / wm) - 1e-9
+    if least <= 0:
+        raise ValueError(f"brand and model must both count: the threshold has to be above {wy + max(wb, wm)}")
 
     def scored_pairs(mine: str, theirs: str, name: str) -> DataFrame:
         """Distinct values meet distinct candidates."""
-        pairs = candidate_pairs(u.select(F.col(mine).alias("input")).distinct(), m.select(F.col(theirs).alias("candidate")).distinct().withColumn("position", F.lit(0)), max(least, 0.0))
+        pairs = candidate_pairs(u.select(F.col(mine).alias("input")).distinct(), m.select(F.col(theirs).alias("candidate")).distinct().withColumn("position", F.lit(0)), least, score)
         return pairs.select(F.col("input").alias(mine), F.col("candidate").alias(theirs), score(F.col("input"), F.col("candidate")).alias(name)).where(F.col(name) >= least)
 
     brands, models = scored_pairs("nb", "cb", "sb"), scored_pairs("nm", "cm", "sm")
     # the models first, for they choose most; then their master rows, then the brands of these
-    texts = u.select("nb", "nm").distinct().join(models, "nm").join(m, "cm").join(brands, ["nb", "cb"]).where(wb * F.col("sb") + wm * F.col("sm") >= threshold - wy - 1e-9)
-    both = u.join(texts, ["nb", "nm"])
-    inside = F.coalesce(F.col("ny").between(F.col("year_start"), F.col("year_end")), F.lit(False))
-    scored = both.withColumn("score", wb * F.col("sb") + wm * F.col("sm") + F.when(inside, wy).otherwise(0.0)).where(F.col("score") >= threshold)
-    best = scored.groupBy("key").agg(F.min_by(F.struct("mb", "mm", "year_start", "year_end", "score", "sb", "sm"), F.struct(-F.col("score"), "position")).alias("match"))
-    return u.join(best, "key", "left")
+    base = wb * F.col("sb") + wm * F.col("sm")
+    texts = u.select("nb", "nm").distinct().join(models, "nm").join(m, "cm").join(brands, ["nb", "cb"]).withColumn("base", base).where(F.col("base") >= threshold - wy - 1e-9)
+    # of master rows that cover the same years the best one is enough; the years that an input can have bound how many are left
+    first, last = F.greatest("year_start", F.lit(years.LOW_MATCH)), F.least("year_end", F.lit(years.HIGH_MATCH))
+    some = F.col("year_start").isNotNull() & F.col("year_end").isNotNull() & (first <= last)
+    row = F.struct("base", "position", "mb", "mm", "year_start", "year_end", "sb", "sm")
+    ranges = texts.groupBy("nb", "nm", F.when(some, first).alias("first"), F.when(some, last).alias("last")).agg(F.min_by(row, F.struct(-F.col("base"), "position")).alias("row"))
+    lists = ranges.groupBy("nb", "nm").agg(F.collect_list("row").alias("rows"))
+
+    def judged(r: Column) -> Column:
+        inside = F.coalesce(F.col("ny").between(r["year_start"], r["year_end"]), F.lit(False))
+        return F.struct((-(r["base"] + F.when(inside, wy).otherwise(0.0))).alias("order"), r["position"].alias("position"), r.alias("row"))
+
+    best = F.array_min(F.filter(F.transform("rows", judged), lambda x: x["order"] <= -threshold))
+    found = u.join(lists, ["nb", "nm"], "left").withColumn("_best", best).drop("rows")
+    row = F.col("_best.row")
+    match = F.struct(*[row[c].alias(c) for c in ("mb", "mm", "year_start", "year_end")], (-F.col("_best.order")).alias("score"), row["sb"].alias("sb"), row["sm"].alias("sm"))
+    return found.withColumn("match", F.when(F.col("_best").isNotNull(), match)).drop("_best")
 
 
 def error_types(df: DataFrame, plate: Column) -> DataFrame:
@@ -230,8 +211,8 @@ def extract_one(inputs: DataFrame, master: DataFrame, threshold: int = 70) -> Da
     y = master.where(F.col("candidate").isNotNull()).withColumn("y_words", words("candidate"))
     shorter = F.least(*[F.length(F.array_join(w, " ")) for w in ("x_words", "y_words")])
     least = (threshold - 1) / 100  # what rounds to the threshold
-    lowered = lambda df, c: df.withColumns({"own": F.col(c), c: F.lower(c)}).withColumnRenamed("own", f"own_{c}")
-    pairs = candidate_pairs(lowered(x, "input"), lowered(y, "candidate"), least, lambda share: F.arrays_overlap("x_words", "y_words") | (2 * share >= least * (share + shorter)))
+    lowered = lambda df, c: df.withColumns({f"own_{c}": F.col(c), c: F.lower(c)})
+    pairs = candidates.word_pairs(lowered(x, "input"), lowered(y, "candidate"), least)
     scored = pairs.withColumn("score", F.pandas_udf(_weighted, "int")(F.col("own_input"), F.col("own_candidate"))).where(F.col("score") >= threshold)
     best = scored.groupBy(F.col("own_input").alias("input")).agg(F.min_by(F.struct(F.col("own_candidate").alias("candidate"), "score"), F.struct(-F.col("score"), "position")).alias("b"))
     return best.select("input", "b.candidate", "b.score")
@@ -242,7 +223,8 @@ def enhanced_years(users: DataFrame, master_years: DataFrame | None, threshold:
 
     Adds final_year, corrections (method, from, to, reason, confidence), methods and confidence. master_years: (candidate).
     """
-    v = years.validated(users.withColumn("year", F.col("year").cast("string")), "year", threshold)
+    own = users.select("key", F.col("year").cast("string").alias("year"))
+    v = years.validated(own.select("year").distinct(), "year", threshold)  # a text is read once, however many rows have it
     v = v.withColumn("t", F.when(F.col("year_correction_applied"), F.col("year_validated")))
     if master_years is None:
         v = v.withColumn("s", F.lit(None).cast("struct<candidate:string,confidence:double>"))
@@ -256,10 +238,11 @@ def enhanced_years(users: DataFrame, master_years: DataFrame | None, threshold:
         entry(F.col("year_correction_applied"), F.lit("year_validation"), F.col("year_original"), F.col("year_validated"), F.col("year_correction_reason"), F.col("year_confidence")),
         entry(F.col("s").isNotNull(), F.lit("autocorrect"), F.col("t"), F.col("s.candidate"), F.lit("similarity_match"), F.col("s.confidence")),
     ))
-    return v.select("key", F.col("year_original"), F.coalesce("s.candidate", "t", "year_original").alias("final_year"), found.alias("corrections")).withColumns({
+    done = v.select("year", "year_original", F.coalesce("s.candidate", "t", "year_original").alias("final_year"), found.alias("corrections")).withColumns({
         "methods": F.array_join(F.transform("corrections", lambda x: x["method"]), ","),
         "confidence": F.coalesce(F.array_min(F.transform("corrections", lambda x: x["confidence"])), F.lit(1.0)),
     })
+    return own.join(done.withColumnRenamed("year", "_year"), F.col("year").eqNullSafe(F.col("_year"))).drop("year", "_year")
 
 
 def enhanced_statistics(corrected: DataFrame) -> DataFrame:
