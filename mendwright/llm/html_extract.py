@@ -3,7 +3,7 @@
 Every text block of a page belongs to a root-to-leaf tag path (block-level tags only, so unclosed inline
 markup does not split paths). Per path the text length and the punctuation count are summed over its blocks;
 their ratios to the number of blocks are smoothed, along the page (a Gaussian over neighbouring blocks) and
-along the tree (paths share with those under the same parent and, half as much a level, near ancestors), fused into one
+along the tree (paths share with those under the same parent and, less by level, near ancestors; lists and tables cost nothing), fused into one
 score and held against a threshold, inside article and main elements as elsewhere. Tags and names are factors of the
 score: paths outside article and main count a quarter, those marked as surroundings a twentieth. A mark is a step of
 the path of its own (``div!``); it says nothing about an article or main in it, nor, on a page without these, about
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 from mendwright.llm.common import blocks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp svg object annotation annotation-xml".split())
+#: Shown inside a line, so they end no block, whatever they hold; none of their text is read.
+CONTROLS = frozenset("button select canvas audio video map datalist".split())
 #: Never part of an article, whatever their text looks like.
-DROPPED = RAW | frozenset("head button select canvas audio video map datalist".split())
+DROPPED = RAW | CONTROLS | {"head"}
 #: Marked as surroundings.
 AROUND = frozenset("nav footer aside form menu dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
 CONTAINER = frozenset("article main section div td body html".split())
 #: Words in class, id or role names that mark what surrounds an article.
@@ -43,14 +46,19 @@ NOISE = frozenset(
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip social "
     "sponsor sponsored subscribe taboola teaser toolbar topbar widget widgets navigationbar contentinfo complementary alert alertdialog".split()
 )
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-TAG_BEGINS, LOOSE_TAG = re.compile(r"</?[A-Za-z]"), re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+#: Name and attributes; a quote opens a value after = alone, as in browsers, so an odd one is part of a name. No part gives back what it took.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
+TAG_BEGINS, LOOSE_TAG = re.compile(r"</?[A-Za-z]"), re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+#: Tags of a page that may search it to its end for their own; after so many, tags end at the first >.
+MOST_ODD = 16
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.IGNORECASE | re.ASCII) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；？！]")
 SPACE = re.compile(r"\s+")
-#: Levels of ancestors that a path shares with; beyond them the share is below a hundredth.
+#: Levels of ancestors that a path shares with, and what is left of a share a level up: lists and tables only wrap, plain wrappers cost less.
 NEAR = 8
+SHARE = dict.fromkeys("ul ol dl table thead tbody tfoot tr".split(), 1.0) | {"div": 0.75}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -87,12 +95,14 @@ class PathTree:
             self.depths.append(self.depths[path] + 1)
         return found
 
-    def near(self, path: int) -> list[int]:
-        """The parent and the ancestors up to NEAR levels above the path; the empty path is its own."""
-        out = []
+    def near(self, path: int) -> list[tuple[int, float]]:
+        """The parent and the ancestors up to NEAR levels above the path, with the part of a score that is shared there; the empty path is its own."""
+        out, part = [], 1.0
         for _ in range(min(NEAR, max(1, self.depths[path]))):
+            if out:
+                part *= SHARE.get(self.steps[path], 0.5)
             path = self.parents[path]
-            out.append(path)
+            out.append((path, part))
         return out
 
 
@@ -104,47 +114,62 @@ NOTHING_OPEN = (-1,) * len(ENDS)
 
 
 def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
-    """(path, text, characters of it in links) of each text block in page order, without dropped elements; marked ones have a ! in the path."""
+    """(path, text, characters of it in links) of each text block in page order, without dropped elements; marked ones have a ! in the path.
+
+    A named span or link is a part of its block; a block more than half of which stands in such (code apart) has a marked step of its own.
+    """
     tree = PathTree()
     # open block elements: tag, dropped, path of the element before it, and the nearest element that each group of ENDS would end
     stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
     open_tags: dict[str, int] = {}
-    inline: dict[str, list[bool]] = {}  # open inline elements of the innermost block: none reaches over the next one
+    inline: dict[str, list[str]] = {}  # cues of open inline elements of the innermost block: none reaches over the next one
     out, parts, links = [], [], 0
-    path = noisy = 0
+    chars = named_chars = named = code = 0  # of the block's characters, those in named inline elements; how many such are open
+    path = noisy = of_path = 0
 
-    def flush() -> None:
-        nonlocal parts, links
-        if parts:
+    def flush(ended: bool = False) -> None:
+        """Ends the block, but not from inside an element whose text isn't read, unless the page has ended."""
+        nonlocal parts, links, chars, named_chars
+        if parts and (ended or not noisy):
             text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                out.append((path, text, links))
-            parts, links = [], 0
+                out.append((tree.child(of_path, "span!") if 2 * named_chars > chars else of_path, text, links))
+            parts, links, chars, named_chars = [], 0, 0, 0
+
+    def add(text: str) -> None:
+        nonlocal of_path, links, chars, named_chars
+        if not parts:
+            of_path = path
+        parts.append(text)
+        chars += len(text)
+        if inline.get("a"):
+            links += len(text)
+        if named and not code and not inline.get("code"):
+            named_chars += len(text)
 
     def close_inline() -> None:
-        nonlocal noisy
+        nonlocal noisy, named
         if inline:
-            noisy -= sum(map(sum, inline.values()))
+            noisy -= sum(x.count("drop") for x in inline.values())
+            named = 0
             inline.clear()
 
     def pop(to: int) -> None:
-        nonlocal noisy, path
+        nonlocal noisy, path, code
         close_inline()
         while len(stack) > to:
             tag, bad, path, _ = stack.pop()
             noisy -= bad
+            code -= tag == "pre"
             open_tags[tag] -= 1
 
-    at, end, lower = 0, len(page), None
-    no_tag_end = False
+    at, end, odd = 0, len(page), 0
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
         if lt > at and not noisy:
-            parts.append(page[at:lt])
-            if inline.get("a"):
-                links += lt - at
+            add(page[at:lt])
         if lt == end:
             break
         if page.startswith("<!--", lt):
@@ -155,18 +180,18 @@ def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
             close = page.find(">", lt)
             at = end if close < 0 else close + 1
             continue
-        m = None if no_tag_end else TAG.match(page, lt)
+        m = TAG.match(page, lt) if odd < MOST_ODD else None
         if not m:
             if TAG_BEGINS.match(page, lt):
                 close = page.find(">", lt)
                 if close < 0:
                     break  # a tag that never ends
-                no_tag_end = True  # an odd quote: from here on tags end at the first >
+                odd += 1  # no > but in values
                 m = LOOSE_TAG.match(page[lt : close + 1])
                 at = close + 1
             if not m:
                 if not noisy:
-                    parts.append("<")
+                    add("<")
                 at = lt + 1
                 continue
         else:
@@ -175,7 +200,9 @@ def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
         if closing:
             if tag in INLINE:
                 if inline.get(tag):
-                    noisy -= inline[tag].pop()
+                    cue = inline[tag].pop()
+                    noisy -= cue == "drop"
+                    named -= cue == "mark"
                 continue
             if open_tags.get(tag):
                 flush()
@@ -183,36 +210,40 @@ def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
                 while stack[k][0] != tag:
                     k -= 1
                 pop(k)
+                if tag not in CONTROLS:
+                    flush()  # what a control left open had held back
             elif tag == "p":
                 flush()
             continue
-        if tag in RAW and not attributes.endswith("/"):
-            lower = page.lower() if lower is None else lower
-            close = (lower if len(lower) == end else page).find(f"</{tag}", at)
-            close = end if close < 0 else page.find(">", close)
-            at = end if close < 0 else close + 1
-            if tag not in INLINE:
-                flush()
+        if tag in RAW:
+            if not attributes.endswith("/"):  # not shown, so it ends no block
+                close = RAW_END[tag].search(page, at)
+                close = page.find(">", close.start()) if close else -1
+                at = end if close < 0 else close + 1
             continue
         if tag == "br":
             if not noisy:
-                parts.append(" ")
+                add(" ")
             continue
         if tag in INLINE:
-            if tag == "img":
+            if tag == "img" or attributes.endswith("/") and tag.startswith("m"):
                 continue
-            bad = _cue(tag, attributes) != ""  # no step of a path, so a named span or link goes
-            inline.setdefault(tag, []).append(bad)
-            noisy += bad
+            cue = _cue(tag, attributes)
+            inline.setdefault(tag, []).append(cue)
+            noisy += cue == "drop"
+            named += cue == "mark"
             continue
-        flush()
-        group = GROUP_OF.get(tag, 0)
-        for g in {0, group} if tag in CLOSES_P else {group} if group else ():
-            if stack and stack[-1][3][g] >= 0:
-                pop(stack[-1][3][g])
+        if tag not in CONTROLS:
+            flush()
+            group = GROUP_OF.get(tag, 0)
+            for g in {0, group} if tag in CLOSES_P else {group} if group else ():
+                if stack and stack[-1][3][g] >= 0:
+                    pop(stack[-1][3][g])
+                    flush()
         if tag in VOID:
             continue
-        close_inline()
+        if tag not in CONTROLS:
+            close_inline()
         cue = _cue(tag, attributes) or ("mark" if tag == "header" and not open_tags.get("article") and not open_tags.get("main") else "")
         bad = cue == "drop"
         near = stack[-1][3] if stack else NOTHING_OPEN
@@ -226,8 +257,9 @@ def page_blocks(page: str) -> tuple[list[tuple[int, str, int]], PathTree]:
         stack.append((tag, bad, path, near))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         noisy += bad
+        code += tag == "pre"
         path = tree.child(path, f"{tag}!" if cue == "mark" else tag)
-    flush()
+    flush(ended=True)
     return out, tree
 
 
@@ -253,9 +285,9 @@ def path_scores(found: list[tuple[int, str, int]], tree: PathTree, width: float
     # along the tree: the best score under the same parent, or under an ancestor up to NEAR levels above it
     under: dict[int, float] = {}
     for p, v in raw.items():
-        for k, above in enumerate(tree.near(p)):
-            under[above] = max(under.get(above, 0), v * 0.5**k)
-    shared = {p: max(under[above] * 0.5**k for k, above in enumerate(tree.near(p))) for p in raw}
+        for above, part in tree.near(p):
+            under[above] = max(under.get(above, 0), v * part)
+    shared = {p: max(under[above] * part for above, part in tree.near(p)) for p in raw}
     cues = path_cues({p: x[0] - x[3] for p, x in sums.items()}, tree)
     return {p: (0.5 * raw[p] + 0.25 * along[p][0] / along[p][1] + 0.25 * shared[p]) * (1 - sums[p][3] / sums[p][0]) ** 2 * cues[p] for p in raw}
 

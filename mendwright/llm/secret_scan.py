@@ -35,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "identifier", "short_secret", "endpoint")
 WEAK_IDENTIFIER = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.IGNORECASE | re.ASCII)
 WEAK_SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|pin|secret(?:_?key)?|token|api_?key|private_?key|access_?key|auth(?:_?key)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%-]{4,})|(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp|ssh)://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp|ssh)://[^\s"'<>]+|\b(?<![a-z0-9-])(?<![a-z0-9-]\.)[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}""", re.IGNORECASE | re.ASCII)
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 Span = tuple[str, int, int]
 

@@ -73,7 +73,8 @@ def test_names_that_sound_like_surroundings(name):
     assert html_extract.main_text(f"<body><p>Site.</p><div class='{name}'>{STORY}</div></body>").count("Paragraph") == 8
 
 
-@pytest.mark.parametrize("page", ["<div>" * 40_000 + "x", "<div><p>" * 20_000, "<p><span>" * 20_000 + "</p>" * 20_000, "<td><p>" + "<ul>" * 20_000, "<li><div>" * 10_000 + "<ul>" + "<li></li>" * 10_000, "<i>" * 10_000 + "<span>" * 10_000 + "</i>" * 10_000])
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "x", "<div><p>" * 20_000, "<p><span>" * 20_000 + "</p>" * 20_000, "<td><p>" + "<ul>" * 20_000, "<li><div>" * 10_000 + "<ul>" + "<li></li>" * 10_000, "<i>" * 10_000 + "<span>" * 10_000 + "</i>" * 10_000,
+    "<" + "a" * 1_000_000 + '"', "<" * 1_000_000, "<a " * 300_000, '<a ="' * 200_000, "<a ='\">" * 120_000, "<a =" + " " * 1_000_000, "<a " + "b=" * 400_000, "<svg>" * 150_000, "<button>" * 100_000, "İ<script>" * 100_000, "<p class='" + "x " * 400_000 + "'>y", "<!" * 400_000], ids=lambda p: p[:12])
 def test_odd_pages_take_linear_time(page):
     began = time.process_time()
     html_extract.main_text(page)
@@ -85,19 +86,18 @@ class Outline(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.stack, self.blocks, self.text, self.linked = [], [], "", 0
+        self.stack, self.blocks, self.text, self.linked, self.named = [], [], "", 0, 0
 
     def flush(self):
         text = " ".join(self.text.split())
         if text and "drop" not in [c for _, c in self.stack]:
-            self.blocks.append((tuple(t + "!" * (c == "mark") for t, c in self.stack if t not in html_extract.INLINE), text, self.linked))
-        self.text, self.linked = "", 0
+            own = ("span!",) if 2 * self.named > len(self.text) else ()
+            self.blocks.append((tuple(t + "!" * (c == "mark") for t, c in self.stack if t not in html_extract.INLINE) + own, text, self.linked))
+        self.text, self.linked, self.named = "", 0, 0
 
     def handle_starttag(self, tag, attrs):
         cue = html_extract._cue(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
-        if tag in html_extract.INLINE:
-            cue = cue and "drop"
-        elif tag not in ("br", "img"):
+        if tag not in html_extract.INLINE and tag not in ("br", "img") and tag not in html_extract.RAW:
             self.flush()
             while self.stack and (self.stack[-1][0] in html_extract.INLINE or self.stack[-1][0] == "p" and tag in html_extract.CLOSES_P):
                 self.stack.pop()  # left open
@@ -109,7 +109,7 @@ class Outline(HTMLParser):
             self.stack.append((tag, cue))
 
     def handle_endtag(self, tag):
-        if tag not in html_extract.INLINE:
+        if tag not in html_extract.INLINE and tag not in html_extract.RAW:
             self.flush()
         open_tags = [t for t, _ in self.stack]
         if tag in open_tags:
@@ -119,6 +119,7 @@ class Outline(HTMLParser):
         if "drop" not in [c for _, c in self.stack]:
             self.text += data
             self.linked += len(data) * ("a" in [t for t, _ in self.stack])
+            self.named += len(data) * any(t in html_extract.INLINE and c == "mark" for t, c in self.stack)
 
 
 def plain_main_text(page):
@@ -139,11 +140,12 @@ def plain_main_text(page):
     for i in range(len(line)):
         w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(len(line), i + 3))}
         smooth.append(sum(w[j] * line[j] for j in w) / sum(w.values()))
-    ups = lambda p: [p[: len(p) - 1 - k] for k in range(min(8, len(p)))] if p else [()]
+    lose = lambda t: {"ul": 1, "ol": 1, "dl": 1, "table": 1, "thead": 1, "tbody": 1, "tfoot": 1, "tr": 1, "div": 0.75}.get(t, 0.5)
+    ups = lambda p: [(p[: len(p) - 1 - k], math.prod(map(lose, p[len(p) - 1 - k : len(p) - 1]))) for k in range(min(8, len(p)))] if p else [((), 1)]
     under = {}
     for p in paths:
-        for k, u in enumerate(ups(p)):
-            under.setdefault(u, []).append(raw[p] * 0.5**k)
+        for u, part in ups(p):
+            under.setdefault(u, []).append(raw[p] * part)
     bare = {p: chars[p] - linked[p] for p in paths}
     inner = {p: max([k for k, t in enumerate(p) if t in ("article", "main")], default=-1) for p in paths}
     some = max(inner.values()) >= 0
@@ -159,7 +161,7 @@ def plain_main_text(page):
     score = {}
     for p in paths:
         own = [s for s, (q, _, _) in zip(smooth, blocks, strict=True) if q == p]
-        tree = max(max(under[u]) * 0.5**k for k, u in enumerate(ups(p)))
+        tree = max(max(under[u]) * part for u, part in ups(p))
         score[p] = (0.5 * raw[p] + 0.25 * sum(own) / len(own) + 0.25 * tree) * (1 - linked[p] / chars[p]) ** 2 * factor(p)
     return "\n".join(t for p, t, _ in blocks if score[p] >= 0.1 * max(score.values()))
 
@@ -182,6 +184,31 @@ def test_extract_query(spark):
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_extract.extract(odd).collect()) == [(0, "x"), (1, ""), (1, "")]
 
 
+FIVE = "".join(f"<p>Paragraph {i}, of some length, with commas, and more words to say. And an end of it, by and by.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("part,kept", [
+    ("<section><h2>References</h2><ol><li>A. B.</li><li>C</li></ol></section>", "References\nA. B.\nC"),
+    ("<div><div><div><ul><li>One</li><li>Two</li></ul></div></div></div>", "One\nTwo"),
+    ("<figure><img src=x><figcaption>A caption</figcaption></figure><table><tr><td>1</td><td>2</td></tr></table>", "A caption\n1\n2"),
+    ("<pre><code>x = 1 <span class='hljs-comment'># all of it</span></code></pre>", "x = 1 # all of it"),
+    ("<pre><span class='hljs-comment'># a comment alone</span></pre>", "# a comment alone"),
+    ("<p>You can <a class='search-link' href='/q'>search</a> for the rest of this story.</p>", "You can search for the rest of this story."),
+    ("<p>One two three <script>x</script> four <style>p{}</style>five<svg><text>no</text></svg>.</p>", "One two three four five."),
+    ("<p>See <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>", "See x=1."),
+    ("<p>Press <button><b>OK</b></button> or <select><option>a<option>b</select> go on.</p>", "Press or go on."),
+    ("<p>İ <SCRIPT>var x;</SCRIPT>and then on.</p>", "İ and then on."),
+    ("<p><img alt=\"5\" 6\"></p><p data-x=\"1>2\">Then, it went on.</p>", "Then, it went on."),
+])
+def test_article_text_stays(part, kept):
+    assert html_extract.main_text(f"<body><article>{FIVE}{part}</article></body>").split("\n", 5)[5] == kept
+
+
+def test_a_block_of_named_text_goes():
+    page = f"<body><article>{FIVE}<p><span class='sponsored'>Buy this now, please.</span></p><p>Press <button>x<p>Last, of all.</p></article></body>"
+    assert html_extract.main_text(page).split("\n")[5:] == ["Press", "Last, of all."]
+
+
 # secrets
 
 
@@ -227,6 +254,18 @@ def test_many_parts_take_no_square_time():
     assert time.process_time() - began < 3
 
 
+@pytest.mark.parametrize("part", ["ab.", "a-", "a", "a.b-", "host ", "host=a.", "user" + " " * 40, "a1+/", "\n ", "AKIA", "://", "1.2:", "=", "token=", "key:a.b:80 "])
+def test_long_runs_take_linear_time(part):
+    began = time.process_time()
+    secret_scan.scan_text("password: " + part * (1_000_000 // len(part)), None)
+    assert time.process_time() - began < 2
+
+
+def test_hosts_with_ports():
+    text = "user: bob pwd: hunter2 (db.example.com:5432) x..a-b.c:80 a.b:123456 _h.i:90"
+    assert [text[a:b] for k, a, b in secret_scan.scan_text(text, None)[1] if k == "endpoint"] == ["db.example.com:5432", "a-b.c:80"]
+
+
 def brute_scan(text, reach):
     """Spans by plain patterns and all pairs of parts."""
     base = [("assign", m.start(), m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.A) if len(m[2]) >= 12]
