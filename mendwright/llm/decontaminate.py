@@ -60,6 +60,10 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+#: Cells of the matrix of windows and blocks of items that are worked off at once.
+MOST_CELLS = 1_000_000
+
+
 class Bm25Index:
     """Postings of a block of items with weights relative to each item's own score, and maxima by term and by block of items."""
 
@@ -184,7 +188,11 @@ class Bm25Index:
         return out
 
     def _bounds(self, ids: np.ndarray, step: int, windows: int) -> np.ndarray:
-        """For each window of two steps, the most that any item can score, over blocks of items."""
+        """For each window of two steps, the most that any item can score, over blocks of items. Windows of long texts are worked off in slices."""
+        most = max(1, MOST_CELLS // self.n_blocks)
+        return np.concatenate([self._bounds_of(ids[w * step : (w + most + 1) * step], step, min(most, windows - w)) for w in range(0, windows, most)])
+
+    def _bounds_of(self, ids: np.ndarray, step: int, windows: int) -> np.ndarray:
         at = np.flatnonzero(self.essential[ids])
         terms = ids[at]
         runs = _runs(self.block_starts, terms)

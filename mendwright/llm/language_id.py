@@ -170,5 +170,5 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     by_domain = F.create_map(*[F.lit(x) for p in DOMAIN_LANGUAGE.items() for x in p])
     suffix = F.coalesce(F.nullif(part, F.lit("")), F.try_element_at(by_domain, domain))
     lang = F.regexp_extract(F.col("html"), r"(?is)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
-    text = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    text = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", " "), r"<[^<>]*+>", " ")  # linear, whatever is left open
     return identify(pages.withColumn("plain", text), "page_id", "plain", lang, host, site, suffix)

@@ -1,5 +1,6 @@
 """HTML extraction, secret scans, token counts, BPE, decontamination, language ID and the classifier, row by row."""
 
+import collections
 import hashlib
 import math
 import random
@@ -443,6 +444,16 @@ def test_blocks_of_items_change_nothing(spark):
     assert one == few
 
 
+def test_slices_of_windows_change_nothing(monkeypatch):
+    r = random.Random(8)
+    items = [(k, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=12)) + ".") for k in range(40)]
+    text = " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5000)) + " " + items[3][1] + " x" * 2000
+    index = decontaminate.Bm25Index(items, least=0.3)
+    whole = index.matches(text, 0.3, 0.0, 0.0)
+    monkeypatch.setattr(decontaminate, "MOST_CELLS", 3)
+    assert index.matches(text, 0.3, 0.0, 0.0) == whole and len(whole) > 1
+
+
 # language ID
 
 
@@ -454,6 +465,62 @@ def test_languages(spark):
     assert sum(r["language"] == r["declared"] for r in pages) >= 0.98 * len(pages)
 
 
+def brute_languages(rows):
+    """rows: (id, text, declared, host). Everything from counts to posteriors, row by row."""
+    seen = lambda t: collections.Counter(((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 17 for a, b, c in zip(*(f" {t.lower()} ".encode()[k:] for k in range(3)), strict=False))
+    langs = sorted({d for _, t, d, _ in rows if d and t})
+    n = len(langs)
+    model = {}
+    for x in langs:
+        total = collections.Counter()
+        for _, t, d, _ in rows:
+            if d == x and t:
+                total.update({g: min(k, 50) for g, k in seen(t).items()})
+        whole = sum(total.values()) + 0.1 * 2**15
+        model[x] = {g: math.log((total[g] + 0.1) / whole) for g in range(2**15)}
+    told = []
+    for i, t, d, h in rows:
+        c = seen(t) if t else {}
+        size = sum(c.values())
+        ll = [sum(k * model[x][g] for g, k in c.items()) * (min(size, 60) / size if size else 0) for x in langs]
+        told.append((i, d, h, ll, ll.index(max(ll)), bool(re.search(r"[^\W\d_]", t or ""))))
+    count = lambda keep: [sum(1 for r in told if r[5] and r[4] == k and keep(r)) for k in range(n)]
+    smooth = lambda c, above: [(x + 20 * q) / (sum(c) + 20) for x, q in zip(c, above, strict=True)]
+    whole = count(lambda r: True)
+    site = smooth(whole, [(c + 1 / n) / (sum(whole) + 1) for c in whole])
+    hosts = {h: smooth(count(lambda r, h=h: r[2] == h), site) for h in {r[2] for r in told}}
+    given = {d: count(lambda r, d=d: r[1] == d) for d in {r[1] for r in told if r[1]}}
+    sums = [sum(c[k] for c in given.values()) for k in range(n)]
+    out = {}
+    for i, d, h, ll, _, letters in told:
+        e = [math.log((given[d][k] + 0.5) / (sums[k] + 0.5 * (len(given) + 1))) if d else 0.0 for k in range(n)]
+        post = [a + math.log(b) + c for a, b, c in zip(ll, hosts[h], e, strict=True)]
+        out[i] = (langs[post.index(max(post))], 1 / sum(math.exp(x - max(post)) for x in post), letters)
+    return out
+
+
+def test_languages_are_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    expected = brute_languages([(d["doc_id"], d["text"], d["lang"], d["source"] or "") for d in docs])
+    rows = queries.op8_language_id(spark, SF).collect()
+    assert len(rows) == len(expected) == len(docs)
+    for r in rows:
+        language, posterior, letters = expected[r["doc_id"]]
+        assert r["language"] == language and math.isclose(r["posterior"], posterior, abs_tol=1e-3)
+        assert letters or r["rejected"]
+
+
+def test_languages_of_odd_pages(spark):
+    en = "the cat and the dog are in the house with the other one " * 3
+    pages = [("p1", "https://a.example.uk/x", f"<html lang=en><p>{en}</p></html>"), ("p2", None, None), ("p3", "", ""), ("p1", "https://a.example.uk/x", f"<html lang=en><p>{en}</p></html>"), (None, "not an address", f"<html lang='en'><script>var x"), ("p5", "https://b.example.fr/en/", "<" * 200_000), ("p6", "https://b.example.fr/en/", "<script " * 100_000 + en)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id string, url string, html string, plain string")
+    began = time.time()
+    got = sorted((r["page_id"] or "", r["language"], r["rejected"]) for r in language_id.identify_pages(df).collect())
+    assert time.time() - began < 60
+    assert got == [("", "en", True), ("p1", "en", False), ("p1", "en", False), ("p2", "en", True), ("p3", "en", True), ("p5", "en", True), ("p6", "en", True)]
+    assert language_id.identify_pages(df.limit(0)).count() == 0
+
+
 def test_languages_odd(spark):
     en, fr = "the cat and the dog are in the house with the other one " * 3, "le chat et le chien sont dans la maison avec les autres " * 3
     rows = [(1, en, "en", "a.x"), (2, fr, "fr", "a.x"), (3, None, None, None), (4, "", "en", "a.x"), (5, "123 456", "fr", None), (6, fr, "en", "a.x"), (7, fr, None, "b.y")]
@@ -503,6 +570,13 @@ def test_pooling_is_the_plain_convolution():
         assert np.allclose(got, np.hstack([np.mean(chunks, 0), np.max(steps, 0)]), atol=1e-4)
 
 
+def test_quality_learns_from_long_texts(spark):
+    rows = [(k, ("good words here " if k % 2 else "zzqq xxvv ") * 4000, k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_cnn.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in quality_cnn.score(df.select("doc_id", "text"), model).collect())
+
+
 def test_quality_odd(spark):
     model = quality_cnn.fit(odd_docs(spark), spark.createDataFrame([], "doc_id long, quality int"))
     rows = quality_cnn.score(odd_docs(spark, "predicted"), model).collect()
