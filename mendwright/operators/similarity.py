@@ -91,7 +91,9 @@ def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold:
     brands, models = scored_pairs("nb", "cb", "sb"), scored_pairs("nm", "cm", "sm")
     # the models first, for they choose most; then their master rows, then the brands of these
     base = wb * F.col("sb") + wm * F.col("sm")
-    texts = u.select("nb", "nm").distinct().join(models, "nm").join(m, "cm").join(brands, ["nb", "cb"]).withColumn("base", base).where(F.col("base") >= threshold - wy - 1e-9)
+    # few distinct texts make many pairs: they are dealt out first, and stay so until each has its list
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = u.select("nb", "nm").distinct().repartition(parts, "nb", "nm").join(models, "nm").join(m, "cm").join(brands, ["nb", "cb"]).withColumn("base", base).where(F.col("base") >= threshold - wy - 1e-9)
     # of master rows that cover the same years the best one is enough; the years that an input can have bound how many are left
     first, last = F.greatest("year_start", F.lit(years.LOW_MATCH)), F.least("year_end", F.lit(years.HIGH_MATCH))
     some = F.col("year_start").isNotNull() & F.col("year_end").isNotNull() & (first <= last)
