@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,41 +37,3 @@ def status_breakdown(df: DataFrame, kind: str, status: str, seconds: str) -> Dat
 def throughput(df: DataFrame, kind: str, seconds: str) -> DataFrame:
     """Rows a second and mean latency in milliseconds by kind."""
     return df.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.try_divide(F.count("*").cast("double"), F.sum(seconds)), 6).alias("per_second"), F.round(1000 * F.avg(seconds), 4).alias("latency_ms"))
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.full_like(vectors, np.nan), where=norms > 0)
-
-
-def nearest(queries: DataFrame, targets: DataFrame, threshold: float = 0.7, block: int = 2000) -> DataFrame:
-    """(vec_id, target, similarity) of each query vector's most similar other target at or above the threshold, ties to the smaller id.
-
-    ``queries`` is a stated set. It meets all targets in blocks of about ``block`` vectors, each sent to the targets' partitions; these
-    keep the best of each query, so what is shuffled are partitions times queries. Vectors without length or value are like none.
-    """
-    q = queries.where("embedding is not null").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    t = targets.where("embedding is not null").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    blocks = max(1, -(-q.count() // block))
-    parts = []
-    for k in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toPandas()
-        if not len(rows):
-            continue
-        ids, unit = rows["vec_id"].to_numpy(), _unit(np.array(rows["v"].tolist(), np.float64))
-
-        def work(frames: Iterator[pd.DataFrame], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
-            for frame in (whole.iloc[a : a + block] for whole in frames for a in range(0, len(whole), block)):
-                own = frame["vec_id"].to_numpy()
-                order = np.argsort(own, kind="stable")  # of equals the first is the smallest
-                likeness = np.round(unit @ _unit(np.array(frame["v"].tolist(), np.float64)).T, 9)[:, order]
-                likeness[np.isnan(likeness) | (ids[:, None] == own[order][None, :])] = -2
-                best = likeness.argmax(1)
-                found = pd.DataFrame({"vec_id": ids, "target": own[order][best], "s": likeness[np.arange(len(ids)), best]})
-                yield found[found["s"] >= threshold]
-
-        parts.append(t.mapInPandas(work, f"vec_id {queries.schema['vec_id'].dataType.simpleString()}, target {targets.schema['vec_id'].dataType.simpleString()}, s double"))
-    if not parts:
-        return q.select("vec_id", F.col("vec_id").alias("target"), F.lit(0.0).alias("similarity")).limit(0)
-    best = reduce(DataFrame.unionByName, parts).groupBy("vec_id").agg(F.min_by(F.struct("target", "s"), F.struct(-F.col("s"), "target")).alias("b"))
-    return best.select("vec_id", "b.target", F.round("b.s", 5).alias("similarity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import char_ngrams
-from mendwright.operators import expiry, learned, records, reports, synthetic
+from mendwright.operators import expiry, learned, nearest, records, reports, synthetic
 from mendwright.plans.base import query, table
 
 WHO = 7
@@ -169,7 +169,7 @@ def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated set of queries, the ids divisible by 20, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    return reports.nearest(vectors.where("vec_id % 20 = 0"), vectors, 0.2)
+    return nearest.nearest(vectors.where("vec_id % 20 = 0"), vectors, 0.2)
 
 
 def _pick(salt: str, n: str) -> str:

@@ -1,7 +1,6 @@
 """Golden cases of the operators, and their behaviour on nulls and empty tables."""
 
 import json
-import math
 import random
 from difflib import SequenceMatcher
 
@@ -196,23 +195,6 @@ def test_inputs_from_csv_to_csv(spark, tmp_path):
     assert (rows["WXY 1234"]["matched_model"], rows["WXY 1234"]["error_types"], rows["WXY 1234"]["normalized_brand"]) == ("corolla", "typo_model", "toyota")
 
 
-def test_nearest_in_blocks(spark):
-    r = random.Random(5)
-    rows = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(200)] + [(200, None), (201, [0.0] * 4), (202, None)]
-    rows[7] = (7, rows[3][1])
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
-    expected = {}
-    for k, v in rows:
-        if k % 3 == 0 and v and any(v):
-            s, t = min((-round(cos(v, w), 9), i) for i, w in rows if i != k and w and any(w))
-            if -s >= 0.5:
-                expected[k] = t
-    for block in (2000, 7):
-        got = {x["vec_id"]: x["target"] for x in reports.nearest(df.where("vec_id % 3 = 0"), df, 0.5, block).collect()}
-        assert got == expected
-
-
 def test_faults_of_a_dataset(spark):
     values = spark.createDataFrame([("brand", "toyota", 1), ("model", "corolla", 1), ("combined", "toyota corolla", 1)], "field_type string, value string, position int")
     rows = synthetic.dataset(values, 300).collect()
