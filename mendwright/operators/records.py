@@ -20,6 +20,7 @@ def owned_latest_first(df: DataFrame, owner: str, who, stamps: list[str], key: s
 
 
 def lookup(df: DataFrame, owner: str, who, key: str, value) -> DataFrame:
+    """The caller's row of a key, a value or a column that gives one."""
     return owned(df, owner, who).where(F.col(key) == F.lit(value)).limit(1)
 
 

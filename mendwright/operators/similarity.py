@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwright.functions.gestalt import ratios
+from mendwright.functions.names import jaro_winkler
 from mendwright.operators import candidates, rules, years
 
 # Weights of brand, model and year in a match, its threshold, and where a typo ends.
@@ -68,6 +69,22 @@ def first_levenshtein(inputs: DataFrame, master: DataFrame, share: float = 0.3,
     return best.select("input", "b.candidate", "b.confidence")
 
 
+def closest_name(inputs: DataFrame, master: DataFrame, threshold: float = 0.9, alike: float = 0.8) -> DataFrame:
+    """(input, candidate, similarity): the candidate with the highest Jaro-Winkler similarity at or above the threshold, ties to the first name.
+
+    Of pairs whose lengths are ``alike`` (twice the smaller by their sum). With m letters in common Jaro is (m/a + m/b + 1) / 3 at most, and
+    the first letters add 0.4 of the rest at most, so 2 * m / (a + b) can't be below the bound that the threshold implies.
+    """
+    jaro_least = (threshold - 0.4) / 0.6
+    a, b = F.length("input"), F.length("candidate")
+    # m/a + m/b >= 3j - 1 with a, b no less alike than told: m/a + m/b <= 2m/(a+b) * 2/(alike * (2 - alike))
+    least = max(0.01, (3 * jaro_least - 1) / 2 * alike * (2 - alike))
+    pairs = candidates.letter_pairs(inputs, master, least).where(2 * F.least(a, b) >= alike * (a + b))
+    scored = pairs.withColumn("similarity", F.round(jaro_winkler(F.col("input"), F.col("candidate")), 9)).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("input").agg(F.min_by(F.struct("candidate", "similarity"), F.struct(-F.col("similarity"), "candidate")).alias("b"))
+    return best.select("input", "b.candidate", "b.similarity")
+
+
 def best_matches(users: DataFrame, master: DataFrame, score=gestalt, threshold: float = THRESHOLD, normalize_master: bool = False) -> DataFrame:
     """Each user row (key, brand, model, year) with its best master row: 0.4 brand + 0.4 model + 0.2 if the year is in range.
 

@@ -44,6 +44,12 @@ def suggest_gestalt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.suggestions(_inputs(spark, sf_dir), _names(spark, sf_dir))
 
 
+@query(f"SELECT input, arg_min(candidate, struct_pack(s := -s, c := candidate)) AS candidate, -MIN(-s) AS similarity FROM (SELECT input, candidate, ROUND(jaro_winkler_similarity(input, candidate), 9) AS s FROM {INPUTS}, {NAMES} WHERE 2 * least(length(input), length(candidate)) >= 0.8 * (length(input) + length(candidate))) WHERE s >= 0.9 GROUP BY input")
+def match_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar name of about the same length by Jaro-Winkler, from 0.9 on."""
+    return similarity.closest_name(_inputs(spark, sf_dir), _names(spark, sf_dir), 0.9, 0.8)
+
+
 @query()
 def suggest_years_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "part").select((1980 + F.col("p_size")).cast("string").alias("candidate")).distinct().withColumn("position", F.lit(0))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import char_ngrams
+from mendwright.functions.storage import shared_folder
 from mendwright.operators import expiry, learned, nearest, records, reports, synthetic
+from mendwright.operators.stored import StoredTable
 from mendwright.plans.base import query, table
 
 WHO = 7
@@ -20,7 +24,7 @@ def owner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = {WHO} AND o_orderkey = (SELECT MIN(o_orderkey) FROM orders WHERE o_custkey = {WHO})")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    key = orders.where(F.col("o_custkey") == WHO).agg(F.min("o_orderkey")).first()[0]
+    key = orders.where(F.col("o_custkey") == WHO).agg(F.min("o_orderkey")).scalar()
     return records.lookup(orders, "o_custkey", WHO, "o_orderkey", key).select("o_orderkey", "o_totalprice")
 
 
@@ -38,6 +42,18 @@ def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.without(table(spark, sf_dir, "orders").select("o_orderkey"), gone, "o_orderkey")
 
 
+@query(f"""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'DONE' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_custkey = {WHO})
+    UNION ALL SELECT -o_orderkey, o_custkey, 'NEW' FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey > 0""")
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders stored, then updated, added to, and an owner's own deleted, each as a version; what is read is the last one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    stored = StoredTable.create(orders, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", "o_orderkey", "o_custkey", buckets=16)
+    stored.update(orders.where("o_orderkey % 10 = 0"), {"o_orderstatus": "DONE"})
+    stored.upsert(orders.where("o_orderkey % 100 = 0 and o_orderkey > 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("NEW").alias("o_orderstatus")))
+    stored.delete(orders.where("o_orderkey % 3 = 0"), who=WHO)
+    return stored.read()
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def owners_with_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
