@@ -1,6 +1,7 @@
-"""Learned correctors: character n-gram features and classifiers of Spark ML.
+"""Learned correctors: character n-gram features and classifiers of Spark ML, and two of our own.
 
-A radial-basis machine isn't part of Spark ML; a linear one against the rest takes its place (``svm``).
+``svm`` is a radial-basis machine with probabilities (a linear one over random waves), ``gradient_boosting`` grows the trees of all
+labels in the same jobs (``machines``).
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -17,20 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import char_ngrams
+from mendwright.operators.machines import FourierFeatures, SoftmaxBoosting
 
 
 def classifier(kind: str):
     return {
         "random_forest": lambda: RandomForestClassifier(labelCol="label_index", numTrees=100, seed=42),
-        "gradient_boosting": lambda: OneVsRest(labelCol="label_index", classifier=GBTClassifier(maxIter=5, seed=42)),
-        "svm": lambda: OneVsRest(labelCol="label_index", classifier=LinearSVC(maxIter=20)),
+        "gradient_boosting": lambda: SoftmaxBoosting(labelCol="label_index"),
+        "svm": lambda: LogisticRegression(labelCol="label_index", featuresCol="waves", maxIter=30),
         "logistic": lambda: LogisticRegression(labelCol="label_index", maxIter=20),
         "naive_bayes": lambda: NaiveBayes(labelCol="label_index", modelType="multinomial"),
     }[kind]()
 
 
 def featured(df: DataFrame, kind: str, text: str = "input_text") -> DataFrame:
-    """Adds the text's n-grams: of two to four characters, for the linear machine of two and three."""
+    """Adds the text's n-grams: of two to four characters, for the radial-basis machine of two and three."""
     return df.withColumn("grams", char_ngrams(F.lower(F.col(text)), 2, 3 if kind == "svm" else 4))
 
 
@@ -39,6 +41,8 @@ def pipeline(kind: str, features: int = 5000) -> Pipeline:
     steps = [StringIndexer(inputCol="correct_text", outputCol="label_index", handleInvalid="skip"), CountVectorizer(inputCol="grams", outputCol="features" if kind == "naive_bayes" else "counts", vocabSize=features)]
     if kind != "naive_bayes":
         steps += [IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features")]
+    if kind == "svm":
+        steps.append(FourierFeatures(inputCol="features", outputCol="waves", size=features))
     return Pipeline(stages=[*steps, classifier(kind)])
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import char_ngrams
+from mendwright.functions.numbering import numbered
 from mendwright.functions.storage import shared_folder
 from mendwright.operators import expiry, learned, nearest, records, reports, synthetic
 from mendwright.operators.stored import StoredTable
@@ -210,7 +211,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     each = {"brand": F.lower("p_brand"), "model": F.lower("p_name"), "combined": F.lower(F.concat_ws(" ", "p_brand", "p_name"))}
     own = part.select(F.inline(F.array(*[F.struct(F.lit(k).alias("field_type"), v.alias("value")) for k, v in each.items()]))).distinct()
-    return own.withColumn("position", F.row_number().over(Window.partitionBy("field_type").orderBy("value")))
+    return own.transform(numbered, ["value"], by="field_type")
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +227,7 @@ def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     brands, names = part.select(F.lit(0).alias("k"), F.lower("p_brand").alias("label")).distinct(), part.select(F.lit(1).alias("k"), F.lower("p_name").alias("label")).distinct()
-    labels = brands.unionByName(names).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k", "label")).cast("bigint"))
-    return synthetic.label_index(labels)
+    return synthetic.label_index(numbered(brands.unionByName(names), ["k", "label"]))
 
 
 @query("""SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '42'), p_partkey) <= ceil(COUNT(*) OVER (PARTITION BY p_type) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM part""")
@@ -261,6 +261,16 @@ def rf_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir, "random_forest")
 
 
+@query()
+def svm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, "svm")
+
+
+@query()
+def boosting_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, "gradient_boosting")
+
+
 @query()
 def nb_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of accuracy over five folds."""
