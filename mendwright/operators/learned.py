@@ -53,7 +53,7 @@ def fit(train: DataFrame, kind: str, features: int = 5000) -> PipelineModel:
 def predict(model: PipelineModel, df: DataFrame, threshold: float | None = None, kind: str = "naive_bayes") -> DataFrame:
     """(row_id, input_text, correct_text, predicted, confidence); below the threshold predicted is null. Labels are decoded by name."""
     labels = model.stages[0].labels
-    out = model.transform(featured(df, kind))
+    out = PipelineModel(model.stages[1:]).transform(featured(df, kind))  # rows need no known label
     names = F.array(*[F.lit(x) for x in labels])
     confidence = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(1.0)
     predicted = F.element_at(names, F.col("prediction").cast("int") + 1)

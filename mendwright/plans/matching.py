@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mendwright.operators import cascade, learned, similarity, synthetic
+from mendwright.functions.expr import char_ngrams
+from mendwright.functions.numbering import numbered
+from mendwright.operators import cascade, harness, learned, nearest, similarity, synthetic
 from mendwright.plans.base import query, table
 
 # names with planted faults, by key: none, a letter lost, two swapped, a misread and an added letter
@@ -189,6 +191,94 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.vote(table(spark, sf_dir, "part").select(key.alias("key"), F.inline(votes)))
 
 
+def _gram_vector(x: str, dims: int = 64) -> Column:
+    """How often the n-grams of a text fall into each of ``dims`` places."""
+    places = F.transform(char_ngrams(F.lower(F.col(x)), 2, 3), lambda g: F.pmod(F.xxhash64(g), F.lit(dims)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+
+
+def _rule(names: DataFrame) -> harness.Corrector:
+    return lambda inputs: similarity.extract_one(inputs, names).select("input", "candidate", (F.col("score") / 100.0).alias("confidence"), F.lit("weighted_ratio").alias("method"))
+
+
+def _embedding(names: DataFrame, threshold: float = 0.7) -> harness.Corrector:
+    """The name with the most similar n-gram vector."""
+    vectors = lambda df, c, mark: df.select(F.concat(F.lit(mark), F.col(c)).alias("vec_id"), _gram_vector(c).alias("embedding"))
+    plain = lambda c: F.substr(F.col(c), F.lit(3))
+    return lambda inputs: nearest.nearest(vectors(inputs, "input", "i:"), vectors(names, "candidate", "n:"), threshold).select(plain("vec_id").alias("input"), plain("target").alias("candidate"), F.col("similarity").alias("confidence"), F.lit("gram_vectors").alias("method"))
+
+
+def _learned(names: DataFrame, kind: str = "naive_bayes") -> harness.Corrector:
+    """A classifier that has learned names from synthetic faults."""
+    values = numbered(names.select(F.col("candidate").alias("value"), F.lit("model").alias("field_type")), ["value"])
+
+    def one(inputs: DataFrame) -> DataFrame:
+        model = learned.fit(synthetic.dataset(values, 2000), kind, 1000)
+        told = learned.predict(model, inputs.select(F.col("input").alias("row_id"), F.col("input").alias("input_text"), F.lit("").alias("correct_text")), kind=kind)
+        return told.select(F.col("input_text").alias("input"), F.col("predicted").alias("candidate"), "confidence", F.lit(kind).alias("method"))
+
+    return one
+
+
+def _correctors(spark: SparkSession, sf_dir: str) -> dict[str, harness.Corrector]:
+    names = _names(spark, sf_dir)
+    return {"rule": _rule(names), "ml": _learned(names), "transformer": _embedding(names)}
+
+
+def _ensemble(spark: SparkSession, sf_dir: str) -> harness.Corrector:
+    """The weighted vote of three correctors."""
+
+    def one(inputs: DataFrame) -> DataFrame:
+        votes = None
+        for name, corrector in _correctors(spark, sf_dir).items():
+            own = harness.answers(corrector, inputs).select(F.col("input").alias("key"), F.lit(name).alias("model"), "candidate", "confidence")
+            votes = own if votes is None else votes.unionByName(own)
+        return cascade.vote(votes).select(F.col("key").alias("input"), "candidate", F.col("score").alias("confidence"), F.lit("ensemble").alias("method"))
+
+    return one
+
+
+@query()
+def ensemble_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid ensemble over real correctors: weighted ratio, naive Bayes, n-gram vectors."""
+    return harness.answers(_ensemble(spark, sf_dir), _inputs(spark, sf_dir)).select("input", "candidate", "confidence")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's faulty name, by kind of fault, with the name it should be."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("none", "lost_letter", "swapped_letters", "misread_and_added")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(kind.alias("kind"), F.expr(FAULTY).alias("input"), F.col("p_name").alias("expected"))
+
+
+@query()
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, coverage and their product of each corrector and the ensemble over all parts, the best first."""
+    rows = harness.tried(_correctors(spark, sf_dir) | {"ensemble": _ensemble(spark, sf_dir)}, _cases(spark, sf_dir))
+    return cascade.accuracy(rows, "actual", "expected", "corrector").orderBy(F.desc("pseudo_f1"), "corrector")
+
+
+def _first_letter(text: str) -> tuple[str | None, float, str]:
+    """A plug-in as users write them: it knows one fault, and has one of its own."""
+    if text.startswith("green"):
+        raise ValueError("no green ones")
+    return (text.rstrip("x").replace("0", "o"), 0.8, "plain") if text.endswith("x") else (None, 0.0, "plain")
+
+
+@query(f"""WITH c AS (SELECT ['none', 'lost_letter', 'swapped_letters', 'misread_and_added'][p_partkey % 4 + 1] AS kind, {FAULTY} AS input, p_name AS expected FROM part),
+    l AS ({LEV}), f AS (SELECT DISTINCT input, CASE WHEN input LIKE 'green%' THEN NULL WHEN input LIKE '%x' THEN replace(rtrim(input, 'x'), '0', 'o') END AS candidate, input LIKE 'green%' AS error FROM c),
+    a AS (SELECT 'as_it_is' AS corrector, kind, expected, input AS actual, false AS error FROM c UNION ALL SELECT 'edit_distance', kind, expected, candidate, false FROM c LEFT JOIN l USING (input)
+    UNION ALL SELECT 'plug_in', kind, expected, candidate, error FROM c JOIN f USING (input) UNION ALL SELECT 'in_a_row', kind, expected, COALESCE(f.candidate, l.candidate), false FROM c JOIN f USING (input) LEFT JOIN l USING (input))
+    SELECT corrector, kind, COUNT(*) AS total, count_if(NOT error AND actual IS NOT DISTINCT FROM expected) AS passed, count_if(NOT error AND actual IS DISTINCT FROM expected) AS failed, count_if(error) AS errors FROM a GROUP BY 1, 2""")
+def corrector_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correctors of every kind tried on all parts: an expression, a join, a plugged-in function, and two of them in a row."""
+    names = _names(spark, sf_dir)
+    by_distance: harness.Corrector = lambda inputs: similarity.first_levenshtein(inputs, names)
+    plug_in = harness.of_function(_first_letter)
+    tried = harness.tried({"as_it_is": harness.of_column(lambda x: F.struct(x.alias("corrected"), F.lit(1.0).alias("confidence")), "none"), "edit_distance": by_distance, "plug_in": plug_in, "in_a_row": harness.fallback([plug_in, by_distance])}, _cases(spark, sf_dir))
+    n = lambda s: F.count_if(F.col("status") == s)
+    return tried.groupBy("corrector", "kind").agg(F.count("*").alias("total"), n("PASSED").alias("passed"), n("FAILED").alias("failed"), n("ERROR").alias("errors"))
+
+
 def _accuracy_sql(by: str) -> str:
     return f"""SELECT {by}ROUND(COALESCE(count_if(predicted = actual) / nullif(COUNT(predicted), 0), 0), 6) AS accuracy, ROUND(COUNT(predicted) / COUNT(*), 6) AS coverage,
     ROUND(COALESCE(count_if(predicted = actual) / nullif(COUNT(predicted), 0), 0) * (COUNT(predicted) / COUNT(*)), 6) AS pseudo_f1, COUNT(*) AS n FROM {PREDICTED}"""
