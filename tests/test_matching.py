@@ -150,3 +150,58 @@ MATCHING = ["match_levenshtein", "top3_levenshtein", "best_suggestion", "suggest
 def test_no_table_meets_another_whole(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def best_suggestion(x, names, n=3, cutoff=0.6):
+    """The suggestion of rank 1 (text, confidence), or None."""
+    kept = sorted(((ratio(c, x), c) for c in names if ratio(c, x) >= cutoff), reverse=True)[:n]
+    return max(((ratio(x, c), -k, c) for k, (_, c) in enumerate(kept)), default=None)
+
+
+def test_suggest_years_query(spark):
+    sizes = [r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_size").distinct().collect()]
+    names, expected = sorted(str(1980 + s) for s in sizes), []
+    for x in {str(1970 + s) for s in sizes}:
+        kept = sorted(((ratio(c, x), c) for c in names if ratio(c, x) >= 0.6), reverse=True)[:5]
+        ranked = sorted(((ratio(x, c), -k, c) for k, (_, c) in enumerate(kept)), reverse=True)
+        expected += [(x, c, s, k + 1) for k, (s, _, c) in enumerate(ranked)]
+    assert sorted(collected(spark, registry.QUERIES["suggest_years_top5"](spark, SF))) == sorted(expected)
+
+
+def test_extract_one_queries(spark):
+    names = sorted(r[0] for r in matching._names(spark, SF).collect())
+    expected = {}
+    for (x,) in matching._inputs(spark, SF).collect():
+        score, best = min((-similarity.weighted_percent(x, c), c) for c in names)
+        if -score >= 70:
+            expected[x] = (best, -score)
+    got = {r["input"]: (r["candidate"], r["score"]) for r in registry.QUERIES["extract_one"](spark, SF).collect()}
+    assert got == expected
+    rows = [(r["input"], r["expected"]) for r in matching._cases(spark, SF).collect()]
+    told = [(expected[x][0], y) for x, y in rows if x in expected]
+    accuracy, coverage = sum(a == b for a, b in told) / len(told), len(told) / len(rows)
+    r = registry.QUERIES["rule_corrector_accuracy"](spark, SF).first()
+    assert (r["accuracy"], r["coverage"], r["pseudo_f1"], r["n"]) == (round(accuracy, 6), round(coverage, 6), round(accuracy * coverage, 6), len(rows))
+
+
+def test_comprehensive_queries(spark):
+    users = {r["key"]: r for r in matching._users(spark, SF).collect()}
+    master = matching._master(spark, SF).collect()
+    lists = {"brand": {r["brand"] for r in master}, "model": {r["model"] for r in master}}
+    done = {r["key"]: r for r in registry.QUERIES["comprehensive_correct"](spark, SF).collect()}
+    whole = {r["key"]: r for r in registry.QUERIES["integrated_pipeline"](spark, SF).collect()}
+    assert done.keys() == whole.keys() == users.keys()
+    memo = {}
+    for key, u in users.items():
+        texts = {"brand": u["brand"].strip().lower(), "model": u["model"]}
+        found = {c["field"]: c for c in done[key]["corrections"]}
+        for c, text in texts.items():
+            if (c, text) not in memo:
+                memo[c, text] = best_suggestion(text, lists[c])
+            best = memo[c, text]
+            if best and best[0] >= 0.7:
+                assert (found[c]["original"], found[c]["corrected"], found[c]["confidence"], found[c]["changed"]) == (text, best[2], best[0], text != best[2])
+                assert done[key][c] == best[2] == whole[key][f"{c}_suggestion"] and whole[key][f"{c}_confidence"] == best[0]
+            else:
+                assert c not in found and done[key][c] == text and whole[key][f"{c}_suggestion"] is None
+        assert done[key]["year"] == whole[key]["year"] and (("year" in found) == (whole[key]["year_confidence"] is not None))
