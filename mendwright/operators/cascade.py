@@ -62,6 +62,13 @@ def pattern_mappings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, pattern_type string, from_char string, to_char string")
 
 
+def pattern_uses(df: DataFrame, column: str) -> DataFrame:
+    """``pattern_mappings`` with the number of texts that hold the character, and the first of these as it would be misread."""
+    x = F.col(column)
+    of = lambda a, b: F.struct(F.lit(f"ocr_{a}_to_{b}").alias("name"), F.lit("ocr_substitution").alias("pattern_type"), F.lit(a).alias("from_char"), F.lit(b).alias("to_char"), F.count_if(F.contains(x, F.lit(a))).alias("n_names"), F.min(F.when(F.contains(x, F.lit(a)), F.replace(x, F.lit(a), F.lit(b)))).alias("example"))
+    return df.agg(F.array(*[of(a, b) for a, b in MISREAD.items()]).alias("patterns")).select(F.inline("patterns"))
+
+
 def first_available(answers: list[Column]) -> Column:
     """The answer of the first corrector that has one, null or blank being none."""
     return F.coalesce(*[F.when(F.trim(a.cast("string")) != "", a) for a in answers])

@@ -52,12 +52,10 @@ def may_hold(angles: np.ndarray, low: np.ndarray, high: np.ndarray, bound: np.nd
 
 def nearest(queries: DataFrame, targets: DataFrame, threshold: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CELL, slice_rows: int = SLICE) -> DataFrame:
     """(id, target, similarity) of each query's most similar other target at or above the threshold."""
-    q = _vectors(queries, id_col, vector_col)
+    q, every = _vectors(queries, id_col, vector_col), _vectors(targets, id_col, vector_col)
+    sample = every.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-every.count() // cell_rows)))).collect()
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
-    t = _vectors(targets, id_col, vector_col).withColumn("k", F.dense_rank().over(first)).where("k <= 2").drop("k").dropDuplicates(["id", "v"])
-    t = kept(t)
-    n = t.count()
-    sample = t.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // cell_rows)))).collect()
+    t = every.withColumn("k", F.dense_rank().over(first)).where("k <= 2").drop("k").dropDuplicates(["id", "v"])
     kind, target_kind = q.schema["id"].dataType.simpleString(), t.schema["id"].dataType.simpleString()
     if not sample:
         return q.select(F.col("id").alias(id_col), F.col("id").cast(target_kind).alias("target"), F.lit(0.0).alias("similarity")).limit(0)
@@ -76,9 +74,11 @@ def nearest(queries: DataFrame, targets: DataFrame, threshold: float = 0.7, id_c
     cells = {r["cell"]: (r["n"], r["low"], r["high"]) for r in t.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}
     held = np.array([c in cells for c in range(len(pivots))])
     low, high = (np.array([cells[c][k] if c in cells else 0.0 for c in range(len(pivots))]) for k in (1, 2))
-    q = kept(q.where(fits).withColumn("row", F.monotonically_increasing_id()).mapInPandas(placed, f"id {kind}, v array<double>, row long, cell long, angle double"))
+    q = q.where(fits).withColumn("row", F.monotonically_increasing_id()).mapInPandas(placed, f"id {kind}, v array<double>, row long, cell long, angle double")
+    if len(pivots) > 1:
+        q = kept(q)
 
-    schema = f"row long, target {target_kind}, s double"
+    schema = f"row long, id {kind}, target {target_kind}, s double"
 
     def meet(visits: DataFrame) -> DataFrame:
         """The best target of each visit (row, id, v, cell, bound) in its cell."""
@@ -92,28 +92,35 @@ def nearest(queries: DataFrame, targets: DataFrame, threshold: float = 0.7, id_c
         keys = ["cell", "ts", "qs"]
 
         def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            nothing = pd.DataFrame({"row": [], "id": [], "target": [], "s": []})
             if not len(mine) or not len(theirs):
-                return pd.DataFrame({"row": [], "target": [], "s": []})
+                return nothing
             theirs = theirs.sort_values("id", kind="stable")  # of equals the first is the smallest
             unit = np.array(mine["v"].tolist())
             # the ring around the pivot that some visitor may have to look at
             a, reach = _angles(unit, pivots[int(mine["cell"].iloc[0])][None, :])[:, 0], np.arccos(np.clip(mine["bound"].to_numpy() - LIKENESS_ERROR, -1, 1)) + ANGLE_ERROR
             theirs = theirs[(theirs["angle"] >= (a - reach).min()) & (theirs["angle"] <= (a + reach).max())]
             if not len(theirs):
-                return pd.DataFrame({"row": [], "target": [], "s": []})
+                return nothing
             likeness = np.round(unit @ np.array(theirs["v"].tolist()).T, 9)
             ids = theirs["id"].to_numpy()
             likeness[mine["id"].to_numpy()[:, None] == ids[None, :]] = -2
             at = likeness.argmax(1)
-            found = pd.DataFrame({"row": mine["row"].to_numpy(), "target": ids[at], "s": likeness[np.arange(len(at)), at]})
+            found = pd.DataFrame({"row": mine["row"].to_numpy(), "id": mine["id"].to_numpy(), "target": ids[at], "s": likeness[np.arange(len(at)), at]})
             return found[found["s"] >= np.maximum(threshold, mine["bound"].to_numpy() - LIKENESS_ERROR)]
 
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
 
     def best_of(found: DataFrame) -> DataFrame:
-        return found.groupBy("row").agg(F.min_by(F.struct("target", "s"), F.struct(-F.col("s"), "target")).alias("b")).select("row", "b.target", "b.s")
+        return found.groupBy("row").agg(F.min_by(F.struct("id", "target", "s"), F.struct(-F.col("s"), "target")).alias("b")).select("row", "b.*")
 
-    own = kept(best_of(meet(q.withColumn("bound", F.lit(float(threshold))))))
+    def told(best: DataFrame) -> DataFrame:
+        return best.select(F.col("id").alias(id_col), "target", F.round("s", 5).alias("similarity"))
+
+    own = best_of(meet(q.withColumn("bound", F.lit(float(threshold)))))
+    if len(pivots) == 1:
+        return told(own)
+    own = kept(own)
 
     def visiting(frames):
         for frame in frames:
@@ -128,6 +135,4 @@ def nearest(queries: DataFrame, targets: DataFrame, threshold: float = 0.7, id_c
             yield pd.DataFrame({"row": frame["row"].to_numpy()[row], "id": frame["id"].to_numpy()[row], "v": [unit[i] for i in row], "cell": cell, "bound": bound[row]})
 
     more = q.join(own.select("row", "s"), "row", "left").mapInPandas(visiting, f"row long, id {kind}, v array<double>, cell long, bound double")
-    other = meet(kept(more)) if len(pivots) > 1 else own.limit(0)
-    best = best_of(own.unionByName(other))
-    return q.select("row", F.col("id").alias(id_col)).join(best, "row").select(id_col, "target", F.round("s", 5).alias("similarity"))
+    return told(best_of(own.unionByName(meet(kept(more)))))

@@ -327,10 +327,11 @@ def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", cascade.first_available(answers).alias("first_available"))
 
 
-@query("""SELECT 'ocr_' || a || '_to_' || b AS name, 'ocr_substitution' AS pattern_type, a AS from_char, b AS to_char
+@query("""SELECT 'ocr_' || a || '_to_' || b AS name, 'ocr_substitution' AS pattern_type, a AS from_char, b AS to_char, (SELECT count_if(contains(p_name, a)) FROM part) AS n_names, (SELECT MIN(replace(p_name, a, b)) FROM part WHERE contains(p_name, a)) AS example
     FROM (VALUES ('o', '0'), ('0', 'o'), ('i', '1'), ('1', 'i'), ('l', '1'), ('s', '5'), ('5', 's'), ('b', '6'), ('6', 'b')) t(a, b)""")
 def pattern_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.pattern_mappings(spark)
+    """Each misread character with the names of all parts that it may stand in, from one scan."""
+    return cascade.pattern_uses(table(spark, sf_dir, "part"), "p_name")
 
 
 @query(f"SELECT input, candidate FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY confidence DESC, candidate DESC) AS k FROM (SELECT input, candidate, 1 - levenshtein(input, candidate) / CAST(greatest(length(input), length(candidate), 1) AS DOUBLE) AS confidence FROM {INPUTS}, {NAMES} WHERE {BOUND.format(0.6)}) WHERE confidence >= 0.6) WHERE k = 1 AND confidence >= 0.8")
