@@ -18,7 +18,8 @@ similarity is at least ``percent`` / 100. Steps:
 5. Vertical partitioning: a node's set is cut into fragments of the key range. For each candidate pair the
    overlaps of fragments are counted apart and summed per pair, which decides the link.
 
-No link between different sets that could join two components is lost; pairs inside a component are not listed.
+No link between different sets that could join two components is lost. Where links are asked for, every pair of sets inside a component is
+verified as well, block by block, and counted for each document: links lie inside components, so none is missed. Pairs aren't listed.
 
 Defined cases: texts without words (and null texts) have an empty set and link with nothing; texts of fewer
 words than ``size`` have one shingle, the whole sequence; rows of one id count as one document's rows (the
@@ -292,17 +293,89 @@ def node_components(kept: DataFrame, percent: int, rounds: int = 2, centers: int
     return comps
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 1500, chunk_bytes: int = 6_000_000) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Chunks have about ``chunk_docs`` rows and ``chunk_bytes`` of text at most."""
+def node_links(kept: DataFrame, comps: DataFrame, copies: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(node, links): rows with another set that links with the node's, for nodes that have any. copies: (node, copies) rows of each set.
+
+    Links lie inside components. A component is cut into blocks of about ``block`` nodes, and block meets block in a group of its own, where
+    overlaps are products of matrices; what goes on are sums for each node, never pairs. Small components share groups.
+    """
+    members = _with_comp(kept.select("node"), comps)
+    sizes = members.groupBy("comp").agg(F.count("*").alias("k")).where("k > 1")
+    members = members.join(sizes, "comp")
+    inside = written(kept.select("node", "n", "segments").join(members, "node").join(copies, "node"))
+    sizes = inside.select("comp", "k").distinct()
+    small = sizes.where(F.col("k") <= block // 8).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    bundles = max(1, -(-small // block))
+    parts = F.when(F.col("k") <= block, 1).otherwise(F.ceil(F.col("k") / block)).cast("int")
+    rows = inside.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    alone = F.col("k") <= block // 8
+    rows = rows.withColumns({"bundle": F.when(alone, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(F.col("comp")), "alone": alone, "low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        out = []
+        for _, rows in frame.groupby("comp"):
+            x, y = rows[rows["own"] == low], rows[rows["own"] == high]
+            linked = _linked(_sets_of(x), _sets_of(y), percent)
+            if low == high:
+                np.fill_diagonal(linked, False)
+            out.append((x["node"].to_numpy(), linked @ y["copies"].to_numpy()))
+            if low != high:
+                out.append((y["node"].to_numpy(), linked.T @ x["copies"].to_numpy()))
+        return pd.DataFrame({"node": np.concatenate([a for a, _ in out]), "links": np.concatenate([b for _, b in out]).astype(np.int64)})
+
+    found = rows.groupBy("bundle", "alone", "low", "high").applyInPandas(met, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.concatenate([unpack(x) for x in segments]) for segments in rows["segments"]]
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """Which sets of both sides link: overlaps by products of matrices, a slice of the shingles at a time."""
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    overlap = np.zeros((len(left), len(right)))
+    if len(left) and len(right):
+        keys = [np.concatenate(side) for side in (left, right)]
+        rows = [np.repeat(np.arange(len(side)), sizes) for side, sizes in ((left, n), (right, m))]
+        shared = np.intersect1d(keys[0], keys[1])
+        places = [np.searchsorted(shared, k) for k in keys]
+        hits = [(p < len(shared)) & (shared[np.minimum(p, max(len(shared) - 1, 0))] == k) if len(shared) else np.zeros(len(k), bool) for p, k in zip(places, keys, strict=True)]
+        sides = []
+        for p, r, hit in zip(places, rows, hits, strict=True):
+            order = np.argsort(p[hit], kind="stable")
+            sides.append((p[hit][order], r[hit][order]))
+        for a in range(0, len(shared), columns):
+            there = []
+            for (p, r), count in zip(sides, (len(left), len(right)), strict=True):
+                i, j = np.searchsorted(p, [a, a + columns])
+                x = np.zeros((count, min(columns, len(shared) - a)), np.float32)
+                x[r[i:j], p[i:j] - a] = 1
+                there.append(x)
+            overlap += there[0] @ there[1].T
+    return 100 * overlap >= percent * (n[:, None] + m[None, :] - overlap)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunk_docs: int = 1500, chunk_bytes: int = 6_000_000, with_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and, if asked for, n_links, the number of other rows that it links with.
+
+    Chunks have about ``chunk_docs`` rows and ``chunk_bytes`` of text at most.
+    """
     own = texts_of(docs, id_col, text_col)
     sets = written(set_table(own, size))
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"))
     total = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     chunks = chunks_for(*total, chunk_docs, chunk_bytes)
     kept = written(kept_nodes(own, nodes, chunks, size, percent))
     comps = node_components(kept, percent)
-    named = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.join(comps, "node", "left").select("node", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, "comp").select("node", "component_id")
-    full = sets.where("node is not null").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.join(first, "comp")
+    columns = [F.col("n").alias("n_shingles"), F.col("component_id")]
+    if with_links:
+        named = named.join(node_links(kept, comps, nodes.select("node", "copies"), percent), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        columns.append(F.col("n_links"))
+    full = sets.where("node is not null").join(named.drop("doc_id", "copies", "comp", "links"), "node").select("doc_id", *columns)
+    bare = sets.where("node is null").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    return full.unionByName(bare.select("doc_id", *columns))

@@ -41,7 +41,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

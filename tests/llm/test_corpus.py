@@ -118,9 +118,48 @@ def rows_of(df):
     return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect())
 
 
+def brute_links(docs):
+    """Other rows that each row links with."""
+    sets = [shingles(t) for _, t in docs]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted(((i, sum(near(a, b) for k, b in enumerate(sets) if k != j)) for j, ((i, _), a) in enumerate(zip(docs, sets, strict=True))), key=repr)
+
+
+def links_of(df):
+    return sorted(((r["doc_id"], r["n_links"]) for r in df.collect()), key=repr)
+
+
 def test_join(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert rows_of(queries.op7_jaccard_join(spark, SF)) == brute_components(docs)
+    found = queries.op7_jaccard_join(spark, SF)
+    assert rows_of(found) == brute_components(docs) and links_of(found) == brute_links(docs)
+
+
+def test_links_in_blocks(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for k in range(90):  # one large group of near copies, some of them equal
+        t = list(base)
+        for _ in range(r.randrange(6)):
+            t[r.randrange(150)] = f"x{r.randrange(400)}"
+        docs.append((k, " ".join(t)))
+    docs += [(200 + k, " ".join(f"g{k // 3}v{j}" for j in range(40)) + f" e{k % 3}") for k in range(30)] + [(300, None), (301, ""), (None, docs[0][1]), (5, docs[5][1])]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n_links int")
+    for block in (512, 16):
+        monkeypatch.setattr(jaccard_join.node_links, "__defaults__", (block,))
+        got = jaccard_join.classes(df, chunk_docs=20, with_links=True)
+        assert links_of(got) == brute_links(docs)
+    assert jaccard_join.classes(df.limit(0), with_links=True).columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert jaccard_join.classes(df.where("doc_id >= 300"), with_links=True).count() == 2
+
+
+def test_linked_in_slices():
+    r = np.random.default_rng(2)
+    left, right = ([np.unique(r.integers(0, 60, r.integers(1, 60)).astype(np.uint64)) for _ in range(20)] for _ in range(2))
+    near = [[100 * len(np.intersect1d(a, b)) >= 40 * len(np.union1d(a, b)) for b in right] for a in left]
+    for columns in (4096, 7):
+        assert (jaccard_join._linked(left, right, 40, columns) == np.array(near)).all() and np.any(near)
 
 
 def test_join_odd_and_chained(spark):
@@ -137,7 +176,8 @@ def test_join_odd_and_chained(spark):
     docs += [(200 + k, passage + " " + " ".join(r.choices(vocabulary, k=30))) for k in range(15)]
     docs += [(300 + k, " ".join(base[:60] + r.choices(vocabulary, k=60))) for k in range(5)]
     df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, component_id string")
-    assert rows_of(jaccard_join.classes(df, chunk_docs=7)) == brute_components(docs)
+    linked = jaccard_join.classes(df, chunk_docs=7, with_links=True)
+    assert rows_of(linked) == brute_components(docs) and links_of(linked) == brute_links(docs)
     assert rows_of(jaccard_join.classes(df, chunk_bytes=2000)) == brute_components(docs)
     assert jaccard_join.classes(df.limit(0)).count() == 0
 
