@@ -268,7 +268,7 @@ def _first_letter(text: str) -> tuple[str | None, float, str]:
     l AS ({LEV}), f AS (SELECT DISTINCT input, CASE WHEN input LIKE 'green%' THEN NULL WHEN input LIKE '%x' THEN replace(rtrim(input, 'x'), '0', 'o') END AS candidate, input LIKE 'green%' AS error FROM c),
     a AS (SELECT 'as_it_is' AS corrector, kind, expected, input AS actual, false AS error FROM c UNION ALL SELECT 'edit_distance', kind, expected, candidate, false FROM c LEFT JOIN l USING (input)
     UNION ALL SELECT 'plug_in', kind, expected, candidate, error FROM c JOIN f USING (input) UNION ALL SELECT 'in_a_row', kind, expected, COALESCE(f.candidate, l.candidate), false FROM c JOIN f USING (input) LEFT JOIN l USING (input))
-    SELECT corrector, kind, COUNT(*) AS total, count_if(NOT error AND actual IS NOT DISTINCT FROM expected) AS passed, count_if(NOT error AND actual IS DISTINCT FROM expected) AS failed, count_if(error) AS errors FROM a GROUP BY 1, 2""")
+    SELECT corrector, kind, COUNT(*) AS total, CAST(count_if(NOT error AND actual IS NOT DISTINCT FROM expected) AS BIGINT) AS passed, CAST(count_if(NOT error AND actual IS DISTINCT FROM expected) AS BIGINT) AS failed, CAST(count_if(error) AS BIGINT) AS errors FROM a GROUP BY 1, 2""")
 def corrector_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correctors of every kind tried on all parts: an expression, a join, a plugged-in function, and two of them in a row."""
     names = _names(spark, sf_dir)
@@ -327,7 +327,7 @@ def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", cascade.first_available(answers).alias("first_available"))
 
 
-@query("""SELECT 'ocr_' || a || '_to_' || b AS name, 'ocr_substitution' AS pattern_type, a AS from_char, b AS to_char, (SELECT count_if(contains(p_name, a)) FROM part) AS n_names, (SELECT MIN(replace(p_name, a, b)) FROM part WHERE contains(p_name, a)) AS example
+@query("""SELECT 'ocr_' || a || '_to_' || b AS name, 'ocr_substitution' AS pattern_type, a AS from_char, b AS to_char, (SELECT CAST(count_if(contains(p_name, a)) AS BIGINT) FROM part) AS n_names, (SELECT MIN(replace(p_name, a, b)) FROM part WHERE contains(p_name, a)) AS example
     FROM (VALUES ('o', '0'), ('0', 'o'), ('i', '1'), ('1', 'i'), ('l', '1'), ('s', '5'), ('5', 's'), ('b', '6'), ('6', 'b')) t(a, b)""")
 def pattern_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each misread character with the names of all parts that it may stand in, from one scan."""
