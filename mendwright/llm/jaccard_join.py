@@ -15,8 +15,9 @@ similarity is at least ``percent`` / 100. Steps:
    size band; the key must be the first that the two share, so its place in either set bounds the overlap (with
    sets of one size it lies among the first ninth, so texts that share a passage and have a ninth of their own
    don't meet at all); differing parity bits of the sets never exceed the differing shingles.
-5. Vertical partitioning: a node's set is cut into fragments of the key range. For each candidate pair the
-   overlaps of fragments are counted apart and summed per pair, which decides the link.
+5. Vertical partitioning: a node's set is cut into fragments of the global order, at fixed frequencies. For each
+   candidate pair the overlaps of fragments are counted apart and summed per pair, which decides the link. What
+   occurs in one node alone is in no overlap: it is counted in the set's size and stands in no fragment.
 
 No link between different sets that could join two components is lost. Where links are asked for, every pair of sets inside a component is
 verified as well, block by block, and counted for each document: links lie inside components, so none is missed. Pairs aren't listed.
@@ -29,7 +30,6 @@ smallest id names a component); extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,10 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendwright.llm.common import blocks, byte_words, chunks_for, texts_of, trim, written
-from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
+from mendwright.llm.packed import filled, pack, pack_counts, unpack, unpack_counts
 
-FRAGMENTS, PARITY_WORDS, KEY_BITS = 4, 8, 48
-#: Chunks for each bucket of the key space: messages go from every chunk to every bucket, and a bucket's keys must fit in a task.
+PARITY_WORDS, KEY_BITS = 8, 48
+#: The frequencies at which the fragments of the global order begin.
+PIVOTS = np.array([2, 4, 16, 256])
+#: Chunks for each bucket of the key space: messages go from chunks to the buckets that they have keys of, and a bucket's keys must fit in a task.
 CHUNKS_A_BUCKET = 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _HASHES: dict[bytes, int] = {}
@@ -103,9 +105,10 @@ def _parity(s: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def _fragments(s: np.ndarray) -> list[bytes]:
-    cuts = bucket_cuts(s, 64, FRAGMENTS)
-    return [pack(s[i:j]) for i, j in pairwise(cuts)]
+def _fragments(s: np.ndarray, df: np.ndarray) -> list[bytes]:
+    """The shingles that others have too, by their frequencies. A shingle has one frequency, so it falls into the same fragment of every set."""
+    part = np.searchsorted(PIVOTS, df, "right")
+    return [pack(s[part == k]) for k in range(1, len(PIVOTS) + 1)]
 
 
 def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percent: int) -> DataFrame:
@@ -133,9 +136,8 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
             return pd.DataFrame(columns=columns)
         keys, _, counts = distinct_keys(own_sets(frame, wanted["node"].to_numpy()))
         trim()
-        cuts = bucket_cuts(keys, KEY_BITS, buckets)
         number = int(frame["chunk"].iloc[0])
-        return pd.DataFrame([(number, b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(pairwise(cuts)) if j > i], columns=columns)
+        return pd.DataFrame([(number, b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, i, j in filled(keys, KEY_BITS, buckets)], columns=columns)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack(x) for x in frame["keys"]]
@@ -163,7 +165,7 @@ def kept_nodes(docs: DataFrame, nodes: DataFrame, chunks: int, size: int, percen
             first = np.lexsort((s, own))[: n - (-(-percent * n // 100)) + 1]
             places = np.flatnonzero(own[first] > 1)
             if len(places):
-                rows.append((node, n, s[first[places]].view(np.int64).tolist(), places.tolist(), _fragments(s), *_parity(s)))
+                rows.append((node, n, s[first[places]].view(np.int64).tolist(), places.tolist(), _fragments(s, own), *_parity(s)))
         return pd.DataFrame(rows, columns=columns)
 
     sent = dealt.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInPandas(ask, "chunk int, bucket int, keys binary, counts binary")
@@ -316,7 +318,7 @@ def node_links(kept: DataFrame, comps: DataFrame, copies: DataFrame, percent: in
         out = []
         for _, rows in frame.groupby("comp"):
             x, y = rows[rows["own"] == low], rows[rows["own"] == high]
-            linked = _linked(_sets_of(x), _sets_of(y), percent)
+            linked = _linked(_sets_of(x), _sets_of(y), percent, sizes=(x["n"].to_numpy(), y["n"].to_numpy()))
             if low == high:
                 np.fill_diagonal(linked, False)
             out.append((x["node"].to_numpy(), linked @ y["copies"].to_numpy()))
@@ -332,13 +334,15 @@ def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.concatenate([unpack(x) for x in segments]) for segments in rows["segments"]]
 
 
-def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
-    """Which sets of both sides link: overlaps by products of matrices, a slice of the shingles at a time."""
-    n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, columns: int = 4096, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which sets of both sides link: overlaps by products of matrices, a slice of the shingles at a time. sizes: those of
+    the whole sets, where what no other set has is left out of ``left`` and ``right``."""
+    here = tuple(np.array([len(s) for s in side], np.int64) for side in (left, right))
+    n, m = sizes or here
     overlap = np.zeros((len(left), len(right)))
     if len(left) and len(right):
         keys = [np.concatenate(side) for side in (left, right)]
-        rows = [np.repeat(np.arange(len(side)), sizes) for side, sizes in ((left, n), (right, m))]
+        rows = [np.repeat(np.arange(len(side)), count) for side, count in ((left, here[0]), (right, here[1]))]
         shared = np.intersect1d(keys[0], keys[1])
         places = [np.searchsorted(shared, k) for k in keys]
         hits = [(p < len(shared)) & (shared[np.minimum(p, max(len(shared) - 1, 0))] == k) if len(shared) else np.zeros(len(k), bool) for p, k in zip(places, keys, strict=True)]

@@ -28,7 +28,6 @@ rows with one id are scored apart; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendwright.llm.common import blocks, byte_words, chunks_for, texts_of
-from mendwright.llm.packed import bucket_cuts, pack, pack_counts, unpack, unpack_counts
+from mendwright.llm.packed import filled, pack, pack_counts, unpack, unpack_counts
 
 #: Bits of a word's key, and bits of a longer n-gram's key beyond those that count the training tokens.
 WORD_BITS, KEY_BITS = 60, 20
@@ -107,8 +106,7 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
         for frame in blocks(frames, 12_000_000):
             tokens, _ = _tokens(frame["text"].tolist())
             keys = np.unique(tokens)
-            cuts = bucket_cuts(keys, WORD_BITS, buckets)
-            yield pd.DataFrame([(b, pack(keys[i:j]), 0) for b, (i, j) in enumerate(pairwise(cuts)) if j > i] + [(0, pack(keys[:0]), len(tokens))], columns=["bucket", "keys", "n"])
+            yield pd.DataFrame([(b, pack(keys[i:j]), 0) for b, i, j in filled(keys, WORD_BITS, buckets)] + [(0, pack(keys[:0]), len(tokens))], columns=["bucket", "keys", "n"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(0, np.uint64)
@@ -134,16 +132,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         tokens, sizes = _tokens(frame["text"].tolist())
         train = np.repeat(~frame["held_out"].to_numpy(bool), sizes)
-        rows: list[list] = [[int(frame["chunk"].iloc[0]), b] for b in range(buckets)]
-        filled = np.zeros(buckets, bool)
+        none = [pack(tokens[:0]), pack_counts(np.zeros(0, np.int64))]
+        rows: dict[int, list[bytes]] = {}
         for n, (keys, at) in enumerate(_grams(tokens, sizes, bits)):
             distinct, place = np.unique(keys, return_inverse=True)
             counts = np.bincount(place, weights=train[at], minlength=len(distinct)).astype(np.int64)
-            cuts = bucket_cuts(distinct, bits[n], buckets)
-            for b, (i, j) in enumerate(pairwise(cuts)):
-                filled[b] |= j > i
-                rows[b] += [pack(distinct[i:j]), pack_counts(counts[i:j])]
-        return pd.DataFrame([r for r, on in zip(rows, filled, strict=True) if on], columns=["chunk", "bucket", *(f"{x}{n}" for n in range(1, order + 1) for x in ("keys", "counts"))])
+            for b, i, j in filled(distinct, bits[n], buckets):
+                rows.setdefault(b, none * order)[2 * n : 2 * n + 2] = pack(distinct[i:j]), pack_counts(counts[i:j])
+        number = int(frame["chunk"].iloc[0])
+        return pd.DataFrame([(number, b, *r) for b, r in rows.items()], columns=["chunk", "bucket", *(f"{x}{n}" for n in range(1, order + 1) for x in ("keys", "counts"))])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         out = {"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy()}

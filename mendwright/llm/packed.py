@@ -41,7 +41,10 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return counts
 
 
-def bucket_cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's share of the ascending keys begins; buckets cut the key space evenly."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def filled(keys: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the buckets that the ascending keys of ``bits`` bits fall into; others cost nothing. Buckets, at
+    most 2^32, cut the key space evenly by the upper 32 bits."""
+    high = keys >> np.uint64(bits - 32) if bits >= 32 else keys << np.uint64(32 - bits)
+    bucket = (high * np.uint64(buckets)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(starts) else []

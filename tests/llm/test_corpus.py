@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -232,6 +233,35 @@ def test_packing():
         assert (packed.unpack_counts(packed.pack_counts(counts)) == counts).all()
 
 
+def test_only_filled_buckets_are_messages():
+    """A chunk's work grows with its own keys, not with the number of buckets; all chunks cut alike."""
+    rng = np.random.default_rng(4)
+    every = {}
+    for bits in (21, 48, 60, 64):
+        for buckets in (1, 7, 8, 5000, 3 * 10**6):
+            keys = np.unique(rng.integers(0, 2**64, 300, np.uint64) >> np.uint64(64 - bits))
+            parts = packed.filled(keys, bits, buckets)
+            assert len(parts) <= min(len(keys), buckets) and all(j > i for _, i, j in parts)
+            assert [i for _, i, _ in parts] == [0, *(j for *_, j in parts)][:-1] and parts[-1][2] == len(keys)
+            assert all(b == (int(k) * buckets) >> bits for b, i, j in parts for k in keys[i:j]) or bits > 32
+            assert [b for b, *_ in parts] == sorted({b for b, *_ in parts}) and parts[-1][0] < buckets
+            for b, i, j in parts:
+                every.update({(bits, buckets, int(k)): b for k in keys[i:j]})
+            assert all(every[bits, buckets, int(k)] == packed.filled(keys[n : n + 1], bits, buckets)[0][0] for n, k in enumerate(keys[:20]))
+    assert packed.filled(np.zeros(0, np.uint64), 48, 9) == []
+    start = time.perf_counter()
+    for _ in range(10_000):  # chunks of a very large corpus
+        packed.filled(keys[:50], 64, 5000)
+    assert time.perf_counter() - start < 5
+
+
+def test_fragments_cut_the_global_order():
+    s = np.arange(10, dtype=np.uint64) * np.uint64(3)
+    df = np.array([1, 2, 3, 4, 15, 16, 255, 256, 9999, 1])
+    parts = [packed.unpack(x).tolist() for x in jaccard_join._fragments(s, df)]
+    assert parts == [[3, 6], [9, 12], [15, 18], [21, 24]]
+
+
 # LM scoring
 
 
