@@ -120,7 +120,7 @@ def test_best_matches_are_brute_force(spark):
 EVEN = [(2, "old gear", "Brand#2", 39), (3, "old gear", "Brand#2", 40), (4, "new gear", "Brand#2", 39), (8, "old gear", "Brand#21", 39)]
 
 
-@pytest.mark.parametrize("name", ["error_classes", "error_distribution"])
+@pytest.mark.parametrize("name", ["error_classes", "error_distribution", "processed_inputs"])
 def test_scores_even_out_with_the_year(spark, tmp_path, name):
     spark.createDataFrame(EVEN, "p_partkey bigint, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     df = registry.QUERIES[name](spark, str(tmp_path))
