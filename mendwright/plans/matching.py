@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mendwright.functions.expr import char_ngrams
+from mendwright.functions.expr import char_ngrams, once
 from mendwright.functions.numbering import numbered
+from mendwright.functions.storage import kept
 from mendwright.operators import cascade, harness, learned, nearest, similarity, synthetic
 from mendwright.plans.base import query, table
 
@@ -194,7 +195,7 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gram_vector(x: str, dims: int = 64) -> Column:
     """How often the n-grams of a text fall into each of ``dims`` places."""
     places = F.transform(char_ngrams(F.lower(F.col(x)), 2, 3), lambda g: F.pmod(F.xxhash64(g), F.lit(dims)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    return once(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (F.size(p) - F.size(F.array_remove(p, k))).cast("double")))
 
 
 def _rule(names: DataFrame) -> harness.Corrector:
@@ -202,8 +203,8 @@ def _rule(names: DataFrame) -> harness.Corrector:
 
 
 def _embedding(names: DataFrame, threshold: float = 0.7) -> harness.Corrector:
-    """The name with the most similar n-gram vector."""
-    vectors = lambda df, c, mark: df.select(F.concat(F.lit(mark), F.col(c)).alias("vec_id"), _gram_vector(c).alias("embedding"))
+    """The name with the most similar n-gram vector. Vectors are kept: filters on them would else move below the ``distinct`` of the texts, to every row."""
+    vectors = lambda df, c, mark: kept(df.select(F.concat(F.lit(mark), F.col(c)).alias("vec_id"), _gram_vector(c).alias("embedding")))
     plain = lambda c: F.substr(F.col(c), F.lit(3))
     return lambda inputs: nearest.nearest(vectors(inputs, "input", "i:"), vectors(names, "candidate", "n:"), threshold).select(plain("vec_id").alias("input"), plain("target").alias("candidate"), F.col("similarity").alias("confidence"), F.lit("gram_vectors").alias("method"))
 

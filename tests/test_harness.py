@@ -59,6 +59,18 @@ def test_the_ensemble_is_the_vote_of_its_correctors(spark):
     assert got.keys() == expected.keys() and all(got[x][0] == expected[x][0] and got[x][1] == pytest.approx(expected[x][1], abs=2e-6) for x in got)
 
 
+def test_gram_vectors_are_made_once_a_text(spark, monkeypatch):
+    real, given = matching.nearest.nearest, []
+    monkeypatch.setattr(matching.nearest, "nearest", lambda q, t, *more: given.extend((q, t)) or real(q, t, *more))
+    assert matching._embedding(matching._names(spark, SF))(matching._inputs(spark, SF)).count() > 20
+    for df in given:  # a filter on the vectors doesn't bring them back to the rows before distinct
+        plan = df.where("embedding[0] > 0")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "xxhash64" not in plan
+        for r in df.collect():
+            n = len(r["vec_id"]) - 2
+            assert len(r["embedding"]) == 64 and sum(r["embedding"]) == n - 1 + max(n - 2, 0)
+
+
 def test_model_comparison(spark):
     rows = registry.QUERIES["model_comparison"](spark, SF).collect()
     assert {r["corrector"] for r in rows} == {"rule", "ml", "transformer", "ensemble"}
