@@ -226,12 +226,12 @@ def _correctors(spark: SparkSession, sf_dir: str) -> dict[str, harness.Corrector
     return {"rule": _rule(names), "ml": _learned(names), "transformer": _embedding(names)}
 
 
-def _ensemble(spark: SparkSession, sf_dir: str) -> harness.Corrector:
-    """The weighted vote of three correctors."""
+def _ensemble(correctors: dict[str, harness.Corrector]) -> harness.Corrector:
+    """The weighted vote of the correctors."""
 
     def one(inputs: DataFrame) -> DataFrame:
         votes = None
-        for name, corrector in _correctors(spark, sf_dir).items():
+        for name, corrector in correctors.items():
             own = harness.answers(corrector, inputs).select(F.col("input").alias("key"), F.lit(name).alias("model"), "candidate", "confidence")
             votes = own if votes is None else votes.unionByName(own)
         return cascade.vote(votes).select(F.col("key").alias("input"), "candidate", F.col("score").alias("confidence"), F.lit("ensemble").alias("method"))
@@ -242,7 +242,7 @@ def _ensemble(spark: SparkSession, sf_dir: str) -> harness.Corrector:
 @query()
 def ensemble_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid ensemble over real correctors: weighted ratio, naive Bayes, n-gram vectors."""
-    return harness.answers(_ensemble(spark, sf_dir), _inputs(spark, sf_dir)).select("input", "candidate", "confidence")
+    return harness.answers(_ensemble(_correctors(spark, sf_dir)), _inputs(spark, sf_dir)).select("input", "candidate", "confidence")
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,10 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, coverage and their product of each corrector and the ensemble over all parts, the best first."""
-    rows = harness.tried(_correctors(spark, sf_dir) | {"ensemble": _ensemble(spark, sf_dir)}, _cases(spark, sf_dir))
+    cases = _cases(spark, sf_dir)
+    # each corrector is asked once: the ensemble votes over the same answers
+    given = {name: lambda inputs, found=kept(harness.answers(c, cases)): found for name, c in _correctors(spark, sf_dir).items()}
+    rows = harness.tried(given | {"ensemble": _ensemble(given)}, cases)
     return cascade.accuracy(rows, "actual", "expected", "corrector").orderBy(F.desc("pseudo_f1"), "corrector")
 
 

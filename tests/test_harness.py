@@ -71,6 +71,18 @@ def test_gram_vectors_are_made_once_a_text(spark, monkeypatch):
             assert len(r["embedding"]) == 64 and sum(r["embedding"]) == n - 1 + max(n - 2, 0)
 
 
+def test_the_comparison_asks_each_corrector_once(spark, monkeypatch):
+    asked = []
+
+    def corrector(name):
+        return lambda inputs: asked.append(name) or inputs.select("input", F.col("input").alias("candidate"), F.lit(0.9).alias("confidence"))
+
+    monkeypatch.setattr(matching, "_correctors", lambda spark, sf_dir: {name: corrector(name) for name in cascade.VOTE_WEIGHTS})
+    rows = {r["corrector"]: (r["accuracy"], r["coverage"], r["n"]) for r in registry.QUERIES["model_comparison"](spark, SF).collect()}
+    same = matching._cases(spark, SF).where("input = expected").count()
+    assert sorted(asked) == sorted(cascade.VOTE_WEIGHTS) and rows == dict.fromkeys([*cascade.VOTE_WEIGHTS, "ensemble"], (round(same / 200, 6), 1.0, 200))
+
+
 def test_model_comparison(spark):
     rows = registry.QUERIES["model_comparison"](spark, SF).collect()
     assert {r["corrector"] for r in rows} == {"rule", "ml", "transformer", "ensemble"}
