@@ -68,6 +68,16 @@ def dataset(values: DataFrame, n: int, salt: str = "set") -> DataFrame:
     return out
 
 
+def faults_of_each(values: DataFrame) -> DataFrame:
+    """(row_id, input_text, correct_text, n_faults): each distinct value (value) with every kind of fault, six times alone and once before every
+    kind as a second one, so 72 rows a value, however many there are. Where faults strike hangs on the value alone; null values have no rows."""
+    every = F.array(*[F.struct(F.lit(n).alias("n_faults"), F.lit(a).alias("first"), F.lit(b).alias("second")) for n in (1, 2) for a in KINDS for b in KINDS])
+    rows = values.select("value").where("value is not null").distinct().select("value", F.inline(every)).withColumn("row_id", F.concat_ws("|", "value", "n_faults", "first", "second"))
+    rows = rows.withColumn("input_text", faulty(F.col("value"), F.col("row_id"), F.col("first"), "each-0"))
+    rows = rows.withColumn("input_text", F.when(F.col("n_faults") == 2, faulty(F.col("input_text"), F.col("row_id"), F.col("second"), "each-1")).otherwise(F.col("input_text")))
+    return rows.select("row_id", "input_text", F.col("value").alias("correct_text"), "n_faults")
+
+
 def label_index(labels: DataFrame) -> DataFrame:
     """(label, index): labels (label, position) numbered from 0; a label that stands twice has its last number."""
     return labels.groupBy("label").agg((F.max("position") - 1).alias("index"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendwright.functions.expr import char_ngrams, once
-from mendwright.functions.numbering import numbered
 from mendwright.functions.storage import kept
 from mendwright.operators import cascade, harness, learned, nearest, similarity, synthetic
 from mendwright.plans.base import query, table
@@ -210,11 +209,11 @@ def _embedding(names: DataFrame, threshold: float = 0.7) -> harness.Corrector:
 
 
 def _learned(names: DataFrame, kind: str = "naive_bayes") -> harness.Corrector:
-    """A classifier that has learned names from synthetic faults."""
-    values = numbered(names.select(F.col("candidate").alias("value"), F.lit("model").alias("field_type")), ["value"])
+    """A classifier that has learned every name from its synthetic faults."""
+    values = names.select(F.col("candidate").alias("value"))
 
     def one(inputs: DataFrame) -> DataFrame:
-        model = learned.fit(synthetic.dataset(values, 2000), kind, 1000)
+        model = learned.fit(synthetic.faults_of_each(values), kind, 1000)
         told = learned.predict(model, inputs.select(F.col("input").alias("row_id"), F.col("input").alias("input_text"), F.lit("").alias("correct_text")), kind=kind)
         return told.select(F.col("input_text").alias("input"), F.col("predicted").alias("candidate"), "confidence", F.lit(kind).alias("method"))
 

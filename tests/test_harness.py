@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mendwright.operators import cascade, harness, reports
+from mendwright.operators import cascade, harness, reports, synthetic
 from mendwright.plans import matching, registry
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +89,17 @@ def test_model_comparison(spark):
     assert [r["pseudo_f1"] for r in rows] == sorted((r["pseudo_f1"] for r in rows), reverse=True)
     by = {r["corrector"]: r for r in rows}
     assert by["rule"]["accuracy"] > 0.8 and by["ensemble"]["accuracy"] > 0.9 and len({r["n"] for r in rows}) == 1
+
+
+def test_every_name_is_learned(spark):
+    # more names than any fixed number of training rows used to cover
+    words = spark.range(2200).select(F.translate(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 10), "0123456789", "ghijklmnop").alias("candidate"))
+    told = harness.answers(matching._learned(words), words.select(F.col("candidate").alias("input"))).select("input", "candidate").collect()
+    assert len(told) == 2200 and sum(r["input"] == r["candidate"] for r in told) > 2180
+
+
+def test_training_rows_of_a_name_hang_on_it_alone(spark):
+    rows = lambda *names: {tuple(r) for r in synthetic.faults_of_each(spark.createDataFrame([(x,) for x in names], "value string")).collect()}
+    few, many = rows("old gear"), rows("old gear", "red rod", None, "red rod", "x")
+    assert len(few) == 72 and len(many) == 3 * 72 and few < many
+    assert {n for *_, n in few} == {1, 2} and {t for i, t, c, n in many if c == "x"} == {"x"}
