@@ -1,5 +1,7 @@
 """Correctors that plug in, the harness, and the ensemble of real correctors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,12 @@ def test_training_rows_of_a_name_hang_on_it_alone(spark):
     few, many = rows("old gear"), rows("old gear", "red rod", None, "red rod", "x")
     assert len(few) == 72 and len(many) == 3 * 72 and few < many
     assert {n for *_, n in few} == {1, 2} and {t for i, t, c, n in many if c == "x"} == {"x"}
+
+
+def test_names_that_differ_in_rare_letters_are_told_apart(spark):
+    # over 1,000 n-grams stand in more names than the last two letters do
+    r = random.Random(1)
+    bases = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(8)]
+    names = spark.createDataFrame([(b + chr(945 + k) + chr(945 + k * 7 % 24),) for b in bases for k in range(20)], "candidate string")
+    told = harness.answers(matching._learned(names), names.select(F.col("candidate").alias("input"))).select("input", "candidate").collect()
+    assert len(told) == 160 and all(r["input"] == r["candidate"] for r in told)
